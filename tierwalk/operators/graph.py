@@ -16,7 +16,9 @@ PIECE_ROWS = 1_000_000
 # With the piece size also at least total / MAX_HUBS, no more sources than this can
 # exceed it: the bound that makes the table of hubs safe to broadcast.
 MAX_HUBS = 10_000
-BUCKET_ROWS = 20_000_000
+BUCKET_ROWS = 5_000_000
+# Spark's own limit.
+MAX_BUCKETS = 100_000
 
 
 @dataclass(frozen=True)
@@ -123,8 +125,8 @@ def lay_out(
         keys = ["src", "piece"]
 
     if buckets is None:
-        per_session = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = min(100_000, max(per_session, -(-total // BUCKET_ROWS)))
+        cores = spark.sparkContext.defaultParallelism
+        buckets = min(MAX_BUCKETS, max(cores, -(-total // BUCKET_ROWS)))
     table = f"tierwalk_edges_{uuid.uuid4().hex}"
     (
         arcs.repartition(buckets, *keys)
