@@ -29,17 +29,15 @@ from tierwalk import (
     remove_edges,
     shortest_path,
     star_answers,
-    star_batch,
     star_query,
     star_visit,
     triplets,
     visited_any,
-    with_names,
     with_type_names,
     with_wanted_type,
 )
 from tierwalk.functions import inherits
-from tierwalk.operators.graph import dedup_edges, type_counts, type_table
+from tierwalk.operators.graph import dedup_edges, type_counts
 from tierwalk.operators.visit import seen_by_star
 from tierwalk.params import COMMERCE
 from tierwalk.plans.decompose import decompose_query as decompose
@@ -202,11 +200,9 @@ def looked_up_nodes(spark, folder):
 
 
 def inherit_pairs(spark, folder):
-    types = type_table(spark, COMMERCE).select("type_id")
-    counts = type_counts(graph_of(spark, folder)).select("type_id")
-    pairs = counts.select(F.col("type_id").alias("type_a")).crossJoin(
-        F.broadcast(types.select(F.col("type_id").alias("type_b")))
-    )
+    present = type_counts(graph_of(spark, folder))
+    every_type = F.explode(F.array(*map(F.lit, range(len(COMMERCE.type_names)))))
+    pairs = present.select(F.col("type_id").alias("type_a"), every_type.alias("type_b"))
     return pairs.filter(inherits(F.col("type_a"), F.col("type_b"), COMMERCE))
 
 
@@ -421,13 +417,13 @@ def decompose_query(spark, folder):
     known = query.select(
         "query_id",
         F.lit(100).alias("unknown_id"),
-        (F.col("c_nationkey") + F.lit(5) * ID_SPAN).cast("bigint").alias("seed_id"),
+        (F.col("c_nationkey") + 5 * ID_SPAN).alias("seed_id"),
         F.lit(5).alias("seed_type"),
     ).unionByName(
         orders.select(
             F.col("o_custkey").alias("query_id"),
             F.lit(50).alias("unknown_id"),
-            (F.col("o_orderkey") + F.lit(4) * ID_SPAN).cast("bigint").alias("seed_id"),
+            (F.col("o_orderkey") + 4 * ID_SPAN).alias("seed_id"),
             F.lit(4).alias("seed_type"),
         )
     )

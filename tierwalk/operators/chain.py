@@ -46,7 +46,7 @@ def link_candidates(
         targets=targets.select(*STAR, "node_id"),
         seed_scores=star_scores(answers, "seed_id", "seed_score"),
     )
-    reached = seen_by_star(visit).select(
+    reached = seen_by_star(visit, targets).select(
         *STAR, F.col("seed_id").alias("source_id"), "node_id", "closeness"
     )
     pairs = (

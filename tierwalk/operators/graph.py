@@ -105,19 +105,20 @@ def lay_out(
     spark = graph.spark
     ws = Workspace(spark, "graph")
     root = path or ws.path
-    degrees = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    degrees, _ = ws.save(degrees, "degrees")
-    total = degrees.agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0]
+    # Written first: counting, cutting and bucketing then read it instead of assembling
+    # the edges again.
+    arcs, total = ws.save(graph.edges.select("src", "dst", "level", "dst_type"), "arcs")
 
     bounded = piece_rows is None
     size = piece_rows or max(PIECE_ROWS, -(-total // MAX_HUBS))
+    degrees = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     hubs, n_hubs = ws.save(
         degrees.filter(F.col("degree") > size).select(
             "src", F.ceil(F.col("degree") / F.lit(size)).cast("int").alias("pieces")
         ),
         "hubs",
     )
-    arcs, keys = graph.edges, ["src"]
+    keys = ["src"]
     if n_hubs:
         side = F.broadcast(hubs) if bounded else hubs
         piece = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int")

@@ -73,7 +73,7 @@ def answer_details(visit: Visit, answers: DataFrame) -> DataFrame:
         "seed_id", "dist", "n_paths", "hier", "closeness", "lower_bound", "upper_bound", "parent_id"
     )
     details = (
-        seen_by_star(visit)
+        seen_by_star(visit, answers)
         .join(answers.select(*STAR, "node_id"), [*STAR, "node_id"], "left_semi")
         .groupBy(*STAR, "node_id")
         .agg(F.sort_array(F.collect_list(part)).alias("detail"))

@@ -11,7 +11,7 @@ and never changes. Each hop is one job that writes its new rows to the shared fo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,17 +69,21 @@ def star_uses(batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
     )
 
 
-def only_ids(df: DataFrame, column: str, keys: DataFrame, key: str, rows: int) -> DataFrame:
-    """Narrow a scan to a handful of ids; beyond PUSHED_IDS rows leave it to the join."""
-    if rows > PUSHED_IDS:
-        return df
-    ids = [r[0] for r in keys.select(key).distinct().limit(PUSHED_IDS).collect()]
+def few_seeds(uses: DataFrame, n_uses: int) -> list[int]:
+    """The seed ids when they are a handful, else none."""
+    if n_uses > PUSHED_IDS:
+        return []
+    return [r[0] for r in uses.select("seed_id").limit(PUSHED_IDS).collect()]
+
+
+def only_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """Narrow a scan to the ids, if there are any; the join alone would read it all."""
     return df.filter(F.col(column).isin(*ids)) if ids else df
 
 
-def init_frontier(uses: DataFrame, n_uses: int, graph: Graph, keys) -> DataFrame:
+def init_frontier(uses: DataFrame, graph: Graph, keys, ids: list[int]) -> DataFrame:
     """One state row per walk: its seed at distance 0, if the graph has that node."""
-    nodes = only_ids(graph.nodes.select("node_id", "type_id"), "node_id", uses, "seed_id", n_uses)
+    nodes = only_ids(graph.nodes.select("node_id", "type_id"), "node_id", ids)
     starts = uses.select(*keys).distinct().withColumn("node_id", F.col("seed_id"))
     return starts.join(nodes, "node_id").select(
         *keys,
@@ -105,7 +109,7 @@ def propagate(
     steps = frontier.select(
         *keys, F.col("node_id").alias("src"), "n_paths", "hier", "lower_bound"
     )
-    edges, on = only_ids(graph.edges, "src", frontier, "node_id", rows), ["src"]
+    edges, on = graph.edges, ["src"]
     if graph.hubs is not None:
         hubs = F.broadcast(graph.hubs) if graph.hubs_bounded else graph.hubs
         pieces = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
@@ -178,7 +182,11 @@ def star_visit(
     ws = Workspace(graph.spark, "visit")
     uses, n_uses = ws.save(star_uses(batch, domain, params), "uses")
 
-    start = init_frontier(uses, n_uses, graph, keys)
+    if n_uses <= BROADCAST_ROWS:
+        uses = F.broadcast(uses)
+    ids = few_seeds(uses, n_uses)
+
+    start = init_frontier(uses, graph, keys, ids)
     schema = StructType([*start.schema.fields, StructField("dist", IntegerType())])
     rows = ws.write(start, "state/dist=0")
     hops, hop = [rows], 0
@@ -193,6 +201,7 @@ def star_visit(
     if params.early_stop:
         check_levels(graph)
 
+    near = replace(graph, edges=only_ids(graph.edges, "src", ids))
     while rows and (params.max_hops is None or hop < params.max_hops):
         frontier = state(hop, hop)
         if hop and params.prune:
@@ -207,16 +216,24 @@ def star_visit(
                 break
             active = uses.join(stops, ["query_id", "star_id"], "left_anti").select(*keys).distinct()
             frontier = frontier.join(active, list(keys), "left_semi")
-        fresh = propagate(frontier, rows, state(0, hop), graph, keys, hop + 1, params)
+        reach = graph if hop else near
+        fresh = propagate(frontier, rows, state(0, hop), reach, keys, hop + 1, params)
         hop += 1
         rows = ws.write(fresh, f"state/dist={hop}")
         hops.append(rows)
     return Visit(uses, state(0, hop), keys, params, stops, tuple(hops))
 
 
-def seen_by_star(visit: Visit) -> DataFrame:
-    """The state as each star sees it: one row per (star, seed, visited node)."""
-    rows = visit.state.join(visit.uses, list(visit.keys))
+def seen_by_star(visit: Visit, nodes: DataFrame | None = None) -> DataFrame:
+    """The state as each star sees it: one row per (star, seed, visited node).
+
+    With ``nodes(node_id)`` only those nodes; they are cut out before the state fans
+    out to the stars.
+    """
+    rows = visit.state
+    if nodes is not None:
+        rows = rows.join(nodes.select("node_id").distinct(), "node_id", "left_semi")
+    rows = rows.join(visit.uses, list(visit.keys))
     if visit.stops is not None:
         rows = rows.join(visit.stops, ["query_id", "star_id"], "left").filter(
             F.col("dist") <= F.coalesce("last_hop", F.col("dist"))
