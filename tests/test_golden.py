@@ -40,15 +40,19 @@ A = ([(1, 2), (2, 2)], 0)
 B = ([(20, 4), (21, 4)], 0)
 
 
-@pytest.fixture(scope="module", params=["plain", "bucketed", "pieces"])
-def graph(spark, request):
+@pytest.fixture(scope="module")
+def graph(spark):
+    return make_graph(spark, "pieces")
+
+
+def make_graph(spark, layout):
     nodes = spark.createDataFrame([(n, t, f"n{n}") for n, t in NODES], "node_id long, type_id int, name string")
     both = EDGES + [(d, s, -level) for s, d, level in EDGES]
     plain = build_graph(nodes, spark.createDataFrame(both, "src long, dst long, level int"))
-    if request.param == "plain":
+    if layout == "plain":
         return plain
-    laid = lay_out(plain, buckets=3, piece_rows=2 if request.param == "pieces" else None)
-    assert (laid.hubs is not None) == (request.param == "pieces")
+    laid = lay_out(plain, buckets=3, piece_rows=2 if layout == "pieces" else None)
+    assert (laid.hubs is not None) == (layout == "pieces")
     return laid
 
 
@@ -56,7 +60,9 @@ def rows(df, *columns):
     return [tuple(r[c] for c in columns) for r in df.collect()]
 
 
-def test_visit(spark, graph):
+@pytest.mark.parametrize("layout", ["plain", "bucketed", "pieces"])
+def test_visit(spark, layout):
+    graph = make_graph(spark, layout)
     visit = star_visit(graph, star_batch(spark, *A), SYNTHETIC, ScoreParams())
     got = {
         (r.node_id, r.seed_id): (
@@ -126,7 +132,7 @@ CHAIN = [
 
 
 def chain(graph, spark, stars, **params):
-    out = general_query(graph, chain_batch(spark, {7: stars}), SYNTHETIC, ScoreParams(**params))
+    out = general_query(graph, chain_batch(spark, {7: stars}), SYNTHETIC, ScoreParams(max_hops=3, **params))
     return [(ids, round(s, 6)) for ids, s in rows(out.orderBy("rank"), "node_ids", "score")]
 
 
@@ -180,5 +186,6 @@ def test_compare_hierarchy(spark, graph):
 def test_sweeps(spark, graph):
     got = top_k_sweep(graph, star_batch(spark, *A), SYNTHETIC, ScoreParams(), ks=(1, 2, 5))
     assert sorted(rows(got, "k", "node_id")) == [(1, 10), (2, 10), (2, 11), (5, 10), (5, 11), (5, 12)]
-    runs = chain_k_sweep(graph, chain_batch(spark, {1: [A, B]}), SYNTHETIC, ScoreParams(), ks=(1, 2))
+    bounded = ScoreParams(max_hops=2)
+    runs = chain_k_sweep(graph, chain_batch(spark, {1: [A, B]}), SYNTHETIC, bounded, ks=(1, 2))
     assert sorted((k, ids) for k, ids in rows(runs, "k", "node_ids")) == [(1, [10, 12]), (2, [10, 12]), (2, [11, 12])]

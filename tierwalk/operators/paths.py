@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.operators.batch import star_batch
+from tierwalk.operators.batch import small_table, star_batch
 from tierwalk.operators.graph import Graph
 from tierwalk.operators.star import STAR
 from tierwalk.operators.visit import Visit, seen_by_star, star_visit
@@ -54,8 +55,9 @@ def shortest_path(
 ) -> DataFrame:
     """One row (src, dst, path): [src] when both are the same, empty when unreachable."""
     spark = graph.spark
-    ask = spark.createDataFrame([(1, 0, dst)], "query_id bigint, star_id int, node_id bigint")
-    pair = spark.createDataFrame([(src, dst)], "src bigint, dst bigint")
+    goal = {"query_id": pa.int64(), "star_id": pa.int32(), "node_id": pa.int64()}
+    ask = small_table(spark, goal, [(1, 0, dst)])
+    pair = small_table(spark, {"src": pa.int64(), "dst": pa.int64()}, [(src, dst)])
     if src == dst:
         return pair.withColumn("path", F.array("src"))
     # With one seed the coverage rule ends the walk as soon as the target is reached.
