@@ -480,7 +480,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "candidates": candidate_nodes,
     "star_query": named_star_query,
     "star_query_no_hierarchy": lambda s, f: _star(s, f, hierarchy=False),
-    "star_query_early_stop": lambda s, f: _star(s, f, THREE, early_stop=True),
+    "star_query_early_stop": lambda s, f: _star(s, f, early_stop=True, max_hops=None),
+    "star_query_early_stop_bounded": lambda s, f: _star(s, f, THREE, early_stop=True),
     "star_query_pruned": lambda s, f: _star(s, f, THREE, prune="bound"),
     "star_query_coverage": lambda s, f: _star(s, f, THREE, stop="coverage"),
     "star_query_fixpoint": lambda s, f: _star(s, f, max_hops=None),
@@ -640,7 +641,8 @@ WHERE place % 10 = 0 AND place BETWEEN 10 AND 500"""
         " FROM answers a JOIN nodes n ON n.node_id = a.node_id",
     ),
     "star_query_no_hierarchy": _star_answers_sql(hierarchy=False),
-    "star_query_early_stop": _star_answers_sql(THREE),
+    "star_query_early_stop": _star_answers_sql(hops=8),
+    "star_query_early_stop_bounded": _star_answers_sql(THREE),
     "star_query_pruned": _star_answers_sql(THREE, prune_k=K),
     "star_query_coverage": _star_answers_sql(THREE, coverage=True),
     "star_query_fixpoint": _star_answers_sql(hops=8),

@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         # Inputs of a few rows: compiling each plan would cost more than running it.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))

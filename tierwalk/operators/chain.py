@@ -45,6 +45,7 @@ def link_candidates(
         params.with_(early_stop=False),
         targets=targets.select(*STAR, "node_id"),
         seed_scores=star_scores(answers, "seed_id", "seed_score"),
+        answers_only=True,
     )
     reached = seen_by_star(visit, targets).select(
         *STAR, F.col("seed_id").alias("source_id"), "node_id", "closeness"

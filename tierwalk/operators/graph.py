@@ -17,6 +17,8 @@ PIECE_ROWS = 1_000_000
 # exceed it: the bound that makes the table of hubs safe to broadcast.
 MAX_HUBS = 10_000
 BUCKET_ROWS = 5_000_000
+# Tables of up to this many rows (well under 100 MB) are broadcast.
+BROADCAST_ROWS = 200_000
 # Spark's own limit.
 MAX_BUCKETS = 100_000
 
@@ -138,7 +140,9 @@ def lay_out(
         .format("parquet")
         .saveAsTable(table)
     )
-    graph.nodes.write.parquet(f"{root}/nodes")
+    # Ranged by id, so that a look-up of a few nodes reads a few row groups.
+    ranged = graph.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
+    ranged.write.parquet(f"{root}/nodes")
     nodes = spark.read.schema(graph.nodes.schema).parquet(f"{root}/nodes")
     return Graph(nodes, spark.table(table), hubs if n_hubs else None, bounded)
 
@@ -223,9 +227,15 @@ def with_type_names(nodes: DataFrame, domain: Domain) -> DataFrame:
     return nodes.join(F.broadcast(names), "type_id", "left")
 
 
-def with_names(answers: DataFrame, graph: Graph) -> DataFrame:
-    """Add node names; answers without a named node drop out."""
+def with_names(answers: DataFrame, graph: Graph, rows: int | None = None) -> DataFrame:
+    """Add node names; answers without a named node drop out.
+
+    ``rows`` bounds the number of answers, if the caller knows a bound; few answers go
+    to the nodes, not the nodes to the answers.
+    """
     names = graph.nodes.filter(~F.col("implicit")).select("node_id", "name")
+    if rows is not None and rows <= BROADCAST_ROWS:
+        answers = F.broadcast(answers)
     return answers.join(names, "node_id")
 
 

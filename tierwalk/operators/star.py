@@ -49,7 +49,7 @@ def batch_star_query(
     graph: Graph, batch: Batch, domain: Domain, params: ScoreParams, k: int | None = None
 ) -> DataFrame:
     """Answers of every star of a batch, from one visit."""
-    visit = star_visit(graph, batch, domain, params)
+    visit = star_visit(graph, batch, domain, params, answers_only=True)
     return star_answers(visit, k or params.k)
 
 
@@ -64,7 +64,7 @@ def star_query(
 ) -> DataFrame:
     """One star query, answers with node names."""
     batch = star_batch(graph.spark, seeds, dst_type)
-    return with_names(batch_star_query(graph, batch, domain, params), graph)
+    return with_names(batch_star_query(graph, batch, domain, params), graph, rows=params.k)
 
 
 def answer_details(visit: Visit, answers: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, upper_bound
 from tierwalk.operators.batch import Batch
-from tierwalk.operators.graph import Graph
+from tierwalk.operators.graph import BROADCAST_ROWS, Graph
 from tierwalk.operators.pruning import prune_frontier
 from tierwalk.operators.stopping import check_levels, coverage_stops, early_stops, star_totals
 from tierwalk.params import Domain, ScoreParams
@@ -28,8 +28,6 @@ from tierwalk.workspace import Workspace
 SHARED = ("seed_id", "inherits")
 PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
 
-# Up to this many rows (well under 100 MB) a frontier is broadcast to the edges.
-BROADCAST_ROWS = 200_000
 # Up to this many ids go into the scan as a literal list; the parquet reader turns such
 # a list into exact row group tests.
 PUSHED_IDS = 10
@@ -98,6 +96,16 @@ def init_frontier(uses: DataFrame, graph: Graph, keys, ids: list[int]) -> DataFr
     )
 
 
+def wanted_edges(edges: DataFrame, uses: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """Edges into nodes that some star can take as an answer."""
+    if targets is not None:
+        ends = targets.select(F.col("node_id").alias("dst")).distinct()
+        return edges.join(ends, "dst", "left_semi")
+    # As many as the domain has types.
+    types = [r[0] for r in uses.select("dst_type").distinct().collect()]
+    return edges.filter(F.col("dst_type").isin(*types)) if types else edges
+
+
 def propagate(
     frontier: DataFrame, rows: int, visited: DataFrame, graph: Graph, keys, hop: int, params: ScoreParams
 ) -> DataFrame:
@@ -170,9 +178,12 @@ def star_visit(
     params: ScoreParams,
     targets: DataFrame | None = None,
     seed_scores: DataFrame | None = None,
+    answers_only: bool = False,
 ) -> Visit:
     """Walk from all seeds of a batch.
 
+    ``answers_only`` leaves out of the hop at ``max_hops`` the nodes that can be no
+    answer: nobody walks on from there, and the last hop is the largest.
     ``targets``      (query_id, star_id, node_id): wanted nodes, in place of all nodes of
                      the wanted type (links of a chain)
     ``seed_scores``  (query_id, star_id, seed_id, seed_score): star scores of link seeds,
@@ -202,6 +213,7 @@ def star_visit(
         check_levels(graph)
 
     near = replace(graph, edges=only_ids(graph.edges, "src", ids))
+    last = params.max_hops if answers_only else None
     while rows and (params.max_hops is None or hop < params.max_hops):
         frontier = state(hop, hop)
         if hop and params.prune:
@@ -217,6 +229,8 @@ def star_visit(
             active = uses.join(stops, ["query_id", "star_id"], "left_anti").select(*keys).distinct()
             frontier = frontier.join(active, list(keys), "left_semi")
         reach = graph if hop else near
+        if hop + 1 == last:
+            reach = replace(reach, edges=wanted_edges(reach.edges, uses, targets))
         fresh = propagate(frontier, rows, state(0, hop), reach, keys, hop + 1, params)
         hop += 1
         rows = ws.write(fresh, f"state/dist={hop}")
