@@ -13,6 +13,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "2")
         # Inputs of a few rows: compiling each plan would cost more than running it.
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.ui.enabled", "false")

@@ -74,8 +74,8 @@ def test_layout_keeps_edges_and_cuts_hubs(spark):
     plain = build_graph(nodes, spark.createDataFrame(star, "src long, dst long, level int"))
     laid = lay_out(plain, buckets=8, piece_rows=20)
     assert tuples(laid.hubs) == [(0, 15)]
-    assert tuples(laid.edges.drop("piece")) == tuples(plain.edges)
-    sizes = [r["count"] for r in laid.edges.filter("src = 0").groupBy("piece").count().collect()]
+    assert tuples(laid.edges.drop("slot")) == tuples(plain.edges)
+    sizes = [r["count"] for r in laid.edges.filter("src = 0").groupBy("slot").count().collect()]
     assert len(sizes) == 15 and max(sizes) < 60
     assert lay_out(plain, buckets=4).hubs is None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierwalk.params import Domain
@@ -28,14 +28,17 @@ class Graph:
     """nodes(node_id, type_id, name, raw_name, implicit) and edges(src, dst, level, dst_type).
 
     The edges carry the type of their target, so a walk never joins the nodes. A laid
-    out graph has its edges bucketed by source; if some sources are hubs, by source and
-    ``piece``, and ``hubs(src, pieces)`` says into how many pieces each was cut.
+    out graph has its edges in ``buckets`` by source. If some sources are hubs, they are
+    bucketed by ``slot``, a hash of source and piece; ``hubs(src, pieces)`` says into
+    how many pieces each hub was cut. One bucket column is what lets Spark skip buckets.
     """
 
     nodes: DataFrame
     edges: DataFrame
+    buckets: int | None = None
     hubs: DataFrame | None = None
     hubs_bounded: bool = False
+    n_pieces: int = 0
 
     @property
     def spark(self) -> SparkSession:
@@ -95,6 +98,11 @@ def build_graph(
     return Graph(known.withColumn("implicit", F.lit(False)).unionByName(implicit), typed)
 
 
+def slot(src: str, piece: Column) -> Column:
+    """Bucket key of one piece of a source."""
+    return F.xxhash64(src, piece.cast("bigint"))
+
+
 def lay_out(
     graph: Graph, buckets: int | None = None, piece_rows: int | None = None, path: str | None = None
 ) -> Graph:
@@ -102,7 +110,7 @@ def lay_out(
 
     Edges go to a parquet table bucketed and sorted by source. A source may hold a
     large share of all edges, so hubs are cut into pieces of about ``piece_rows`` edges
-    by a hash of the target, and the piece is part of the bucket key.
+    by a hash of the target, and each piece has a bucket key of its own.
     """
     spark = graph.spark
     ws = Workspace(spark, "graph")
@@ -120,22 +128,24 @@ def lay_out(
         ),
         "hubs",
     )
-    keys = ["src"]
+    key = "src"
+    n_pieces = 0
     if n_hubs:
+        n_pieces = hubs.agg(F.sum("pieces")).first()[0]
         side = F.broadcast(hubs) if bounded else hubs
-        piece = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1))).cast("int")
-        arcs = arcs.join(side, "src", "left").withColumn("piece", piece).drop("pieces")
-        keys = ["src", "piece"]
+        piece = F.pmod(F.xxhash64("dst"), F.coalesce("pieces", F.lit(1)))
+        arcs = arcs.join(side, "src", "left").withColumn("slot", slot("src", piece)).drop("pieces")
+        key = "slot"
 
     if buckets is None:
         cores = spark.sparkContext.defaultParallelism
         buckets = min(MAX_BUCKETS, max(cores, -(-total // BUCKET_ROWS)))
     table = f"tierwalk_edges_{uuid.uuid4().hex}"
     (
-        arcs.repartition(buckets, *keys)
-        .sortWithinPartitions(*keys)
-        .write.bucketBy(buckets, *keys)
-        .sortBy(*keys)
+        arcs.repartition(buckets, key)
+        .sortWithinPartitions(key)
+        .write.bucketBy(buckets, key)
+        .sortBy(key)
         .option("path", f"{root}/edges")
         .format("parquet")
         .saveAsTable(table)
@@ -144,7 +154,7 @@ def lay_out(
     ranged = graph.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
     ranged.write.parquet(f"{root}/nodes")
     nodes = spark.read.schema(graph.nodes.schema).parquet(f"{root}/nodes")
-    return Graph(nodes, spark.table(table), hubs if n_hubs else None, bounded)
+    return Graph(nodes, spark.table(table), buckets, hubs if n_hubs else None, bounded, n_pieces)
 
 
 def build_property_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -248,7 +258,7 @@ def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
     return replace(graph, edges=graph.edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti"))
 
 
-def _kept(node_id: str, ratio: float):
+def _kept(node_id: str, ratio: float) -> Column:
     """Whether a node falls into the fraction: a hash of its id, so both ends of an edge
     are decided without a join."""
     share = F.conv(F.substring(F.md5(F.col(node_id).cast("string")), 1, 8), 16, 10).cast("bigint")

@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, upper_bound
 from tierwalk.operators.batch import Batch
-from tierwalk.operators.graph import BROADCAST_ROWS, Graph
+from tierwalk.operators.graph import BROADCAST_ROWS, Graph, slot
 from tierwalk.operators.pruning import prune_frontier
 from tierwalk.operators.stopping import check_levels, coverage_stops, early_stops, star_totals
 from tierwalk.params import Domain, ScoreParams
@@ -28,9 +28,12 @@ from tierwalk.workspace import Workspace
 SHARED = ("seed_id", "inherits")
 PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
 
-# Up to this many ids go into the scan as a literal list; the parquet reader turns such
-# a list into exact row group tests.
-PUSHED_IDS = 10
+# A literal list of this many ids becomes exact row group tests in the parquet reader.
+ROW_GROUP_IDS = 10
+# A literal list of up to this many sources selects their buckets of a laid out graph.
+BUCKET_IDS = 2_000
+# Frontier rows a task may hold as a hash table; the edges then stream past unsorted.
+HASH_ROWS = 1_000_000
 # Path counts are summed as doubles, exact below 2^53, and held at the largest long.
 MAX_PATHS = float(2**62)
 
@@ -67,11 +70,12 @@ def star_uses(batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
     )
 
 
-def few_seeds(uses: DataFrame, n_uses: int) -> list[int]:
-    """The seed ids when they are a handful, else none."""
-    if n_uses > PUSHED_IDS:
+def few_ids(df: DataFrame, column: str, rows: int, limit: int) -> list[int]:
+    """The distinct ids of a table that has at most ``limit`` rows, else none."""
+    if rows > limit:
         return []
-    return [r[0] for r in uses.select("seed_id").limit(PUSHED_IDS).collect()]
+    ids = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
+    return ids if len(ids) <= limit else []
 
 
 def only_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
@@ -107,27 +111,51 @@ def wanted_edges(edges: DataFrame, uses: DataFrame, targets: DataFrame | None) -
 
 
 def propagate(
-    frontier: DataFrame, rows: int, visited: DataFrame, graph: Graph, keys, hop: int, params: ScoreParams
+    frontier: DataFrame,
+    rows: int,
+    walks: int,
+    visited: DataFrame,
+    graph: Graph,
+    keys,
+    hop: int,
+    params: ScoreParams,
 ) -> DataFrame:
     """One hop: send along the out-edges, reduce per (walk, node), keep the new pairs.
 
+    ``rows`` and ``walks`` are the counts of frontier rows and of walks; they decide
+    how the frontier meets the edges.
+
     The partial aggregation runs before the shuffle, so a node with many parents costs
     one row per task. The visited pairs are keyed like the groups and join in place.
     """
-    steps = frontier.select(
-        *keys, F.col("node_id").alias("src"), "n_paths", "hier", "lower_bound"
-    )
-    edges, on = graph.edges, ["src"]
-    if graph.hubs is not None:
-        hubs = F.broadcast(graph.hubs) if graph.hubs_bounded else graph.hubs
+    steps = frontier.select(*keys, F.col("node_id").alias("node"), "n_paths", "hier", "lower_bound")
+    edges, frontier_rows = graph.edges, rows
+    if graph.hubs is None:
+        key, steps = "src", steps.withColumn("key", F.col("node"))
+        same = edges["src"] == steps["key"]
+    else:
+        hubs = graph.hubs.withColumnRenamed("src", "node")
+        hubs = F.broadcast(hubs) if graph.hubs_bounded else hubs
         pieces = F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)
-        steps = steps.join(hubs, "src", "left").withColumn("piece", F.explode(pieces)).drop("pieces")
-        on = ["src", "piece"]
+        steps = steps.join(hubs, "node", "left").withColumn("piece", F.explode(pieces))
+        steps = steps.withColumn("key", slot("node", F.col("piece"))).drop("pieces", "piece")
+        key = "slot"
+        # Each walk meets each piece at most once.
+        rows += min(rows, walks) * graph.n_pieces
+        # Sources that share a slot are told apart without a second join key, which the
+        # buckets could not serve.
+        same = (edges["slot"] == steps["key"]) & (edges["src"].bitwiseXOR(steps["node"]) == 0)
+
+    # Only sources that are fewer than the buckets leave some unread.
+    limit = min(BUCKET_IDS, graph.buckets - 1) if graph.buckets else ROW_GROUP_IDS
+    edges = only_ids(edges, key, few_ids(steps, "key", frontier_rows, limit))
     if rows <= BROADCAST_ROWS:
         steps = F.broadcast(steps)
+    elif graph.buckets and rows / graph.buckets + walks <= HASH_ROWS:
+        steps = steps.hint("shuffle_hash")
 
     weight = edge_weight(F.col("level"), params)
-    sent = edges.join(steps, on).select(
+    sent = edges.join(steps, same).select(
         *keys,
         F.col("dst").alias("node_id"),
         "dst_type",
@@ -195,7 +223,7 @@ def star_visit(
 
     if n_uses <= BROADCAST_ROWS:
         uses = F.broadcast(uses)
-    ids = few_seeds(uses, n_uses)
+    ids = few_ids(uses, "seed_id", n_uses, ROW_GROUP_IDS)
 
     start = init_frontier(uses, graph, keys, ids)
     schema = StructType([*start.schema.fields, StructField("dist", IntegerType())])
@@ -212,7 +240,6 @@ def star_visit(
     if params.early_stop:
         check_levels(graph)
 
-    near = replace(graph, edges=only_ids(graph.edges, "src", ids))
     last = params.max_hops if answers_only else None
     while rows and (params.max_hops is None or hop < params.max_hops):
         frontier = state(hop, hop)
@@ -228,10 +255,10 @@ def star_visit(
                 break
             active = uses.join(stops, ["query_id", "star_id"], "left_anti").select(*keys).distinct()
             frontier = frontier.join(active, list(keys), "left_semi")
-        reach = graph if hop else near
+        reach = graph
         if hop + 1 == last:
-            reach = replace(reach, edges=wanted_edges(reach.edges, uses, targets))
-        fresh = propagate(frontier, rows, state(0, hop), reach, keys, hop + 1, params)
+            reach = replace(graph, edges=wanted_edges(graph.edges, uses, targets))
+        fresh = propagate(frontier, rows, hops[0], state(0, hop), reach, keys, hop + 1, params)
         hop += 1
         rows = ws.write(fresh, f"state/dist={hop}")
         hops.append(rows)
