@@ -2,7 +2,10 @@
 
 import pytest
 
-from tierwalk import build_graph
+from tierwalk import ScoreParams, build_graph
+from tierwalk.params import SYNTHETIC
+from tierwalk.plans.workload import size_sweep_files
+from tierwalk.sinks import write_answers, write_run_metrics
 from tierwalk.sources import (
     parse_adjacency,
     parse_edge_lines,
@@ -109,3 +112,31 @@ def test_files(spark, tmp_path):
     assert [r.query_id for r in stars.orderBy("query_id", "star_id").collect()] == [0, 1, 1]
     assert tuples(seeds) == [(0, 0, 1, 2), (1, 0, 3, 2), (1, 0, 4, 2), (1, 1, 5, 1)]
     assert tuples(read_star_sets(spark, write("s", "1,2;2,2\n"))) == [(0, 0, 1, 2), (0, 0, 2, 2)]
+
+
+def test_file_sweep_and_sinks(spark, tmp_path):
+    for ratio in (0.5, 1.0):
+        folder = tmp_path / f"graph{ratio}"
+        folder.mkdir()
+        (folder / f"nodeInfoPart{ratio}").write_text('"a+++2"\t1\n"b+++0"\t2\n"c+++0"\t3\n')
+        (folder / f"edgeListPart{ratio}").write_text("1\t2\thigher\n" + ("1\t3\tsame\n" if ratio == 1 else ""))
+        (tmp_path / f"query{ratio}").write_text("1,2;0\n")
+    got = size_sweep_files(
+        spark, f"{tmp_path}/graph", f"{tmp_path}/query", SYNTHETIC, ScoreParams(max_hops=1), (0.5, 1.0)
+    )
+    assert tuples(got.select("ratio", "rank", "node_ids")) == [(0.5, 1, [2]), (1.0, 1, [2]), (1.0, 2, [3])]
+
+    out = str(tmp_path / "out")
+    write_answers(got, out, files=1)
+    write_answers(spark.read.parquet(out).limit(2), f"{out}2")
+    write_answers(got, f"{out}3", fmt="csv")
+    write_answers(got, f"{out}4", fmt="text")
+    write_answers(got, f"{out}5", fmt="json")
+    write_answers(got.limit(1), out)
+    assert spark.read.parquet(out).count() == 1
+    assert spark.read.parquet(f"{out}2").count() == 2
+    assert spark.read.csv(f"{out}3").count() == spark.read.json(f"{out}5").count() == 3
+    assert "[3]" in "".join(r.value for r in spark.read.text(f"{out}4").collect())
+    for millis in (5, 6):
+        write_run_metrics(spark, f"{out}-runs", "star", 5, millis)
+    assert tuples(spark.read.parquet(f"{out}-runs")) == [("star", 5, 5), ("star", 5, 6)]

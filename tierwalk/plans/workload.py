@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.operators.batch import Batch
 from tierwalk.operators.chain import general_query
-from tierwalk.operators.graph import Graph, graph_fraction
+from tierwalk.operators.graph import Graph, build_graph, graph_fraction, lay_out
 from tierwalk.operators.star import batch_star_query
 from tierwalk.params import Domain, ScoreParams
+from tierwalk.sources.text import read_edge_list, read_node_info, read_queries
 
-# Fixed values of the experiments.
+# Fixed values of the experiments, and the names of their files per graph ratio.
 SWEEP_K = (1, 2, 5, 10, 15, 20, 25, 30)
 SWEEP_RATIOS = (0.1, 0.2, 0.5, 0.8, 1.0)
+EDGE_FILE = "edgeListPart"
+NODE_FILE = "nodeInfoPart"
 
 
 def run_workload(graph: Graph, batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
@@ -54,9 +57,42 @@ def size_sweep(
 ) -> DataFrame:
     """The workload on growing fractions of the graph."""
     runs = [
-        run_workload(graph_fraction(graph, ratio) if ratio < 1 else graph, batch, domain, params).select(
-            F.lit(float(ratio)).alias("ratio"), "*"
-        )
+        (ratio, run_workload(graph_fraction(graph, ratio) if ratio < 1 else graph, batch, domain, params))
         for ratio in ratios
     ]
-    return reduce(DataFrame.unionByName, runs)
+    return _by_ratio(runs)
+
+
+def _by_ratio(runs: list[tuple[float, DataFrame]]) -> DataFrame:
+    return reduce(
+        DataFrame.unionByName,
+        (rows.select(F.lit(float(ratio)).alias("ratio"), "*") for ratio, rows in runs),
+    )
+
+
+def read_ratio(
+    spark: SparkSession, graph_prefix: str, query_prefix: str, ratio: float
+) -> tuple[Graph, Batch]:
+    """Graph and queries of one ratio, from files that carry the ratio in their names."""
+    folder = f"{graph_prefix}{ratio}"
+    graph = build_graph(
+        read_node_info(spark, f"{folder}/{NODE_FILE}{ratio}"),
+        read_edge_list(spark, f"{folder}/{EDGE_FILE}{ratio}"),
+    )
+    return graph, Batch(*read_queries(spark, f"{query_prefix}{ratio}"))
+
+
+def size_sweep_files(
+    spark: SparkSession,
+    graph_prefix: str,
+    query_prefix: str,
+    domain: Domain,
+    params: ScoreParams,
+    ratios=SWEEP_RATIOS,
+) -> DataFrame:
+    """The workload of each ratio on the graph of that ratio, all read from files."""
+    runs = []
+    for ratio in ratios:
+        graph, batch = read_ratio(spark, graph_prefix, query_prefix, ratio)
+        runs.append((ratio, run_workload(lay_out(graph), batch, domain, params)))
+    return _by_ratio(runs)
