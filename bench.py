@@ -23,6 +23,7 @@ HEADLINE = (
     "chain_three",
     "run_workload",
     "nation_workload",
+    "nation_chains",
     "top_k_sweep",
     "answer_paths",
     "size_sweep",

@@ -260,11 +260,18 @@ def link_ctes(hops: int, k: int, **options) -> list[str]:
 
 
 def chain_sql(
-    chains: dict[int, list], hops: int, k: int, extra: str = "", keep=None, star_k: int | None = None, **options
+    chains: dict[int, list],
+    hops: int,
+    k: int,
+    extra: str = "",
+    keep: str | None = None,
+    star_k: int | None = None,
+    queries: list[str] | None = None,
+    **options,
 ) -> str:
     """Whole general query: all tuples of every chain, no partial pruning."""
     longest = max(len(c) for c in chains.values())
-    ctes = graph_ctes(keep) + query_ctes(chains) + visit_ctes(hops, **options)
+    ctes = graph_ctes(keep) + (queries or query_ctes(chains)) + visit_ctes(hops, **options)
     ctes += answer_ctes(star_k or k)
     ctes += link_ctes(hops, k, **options)
     ctes.append(

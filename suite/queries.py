@@ -195,7 +195,8 @@ def removed_edges(spark, folder):
 
 
 def looked_up_nodes(spark, folder):
-    ids = [4, 1000000003, 2000000002, 6000000002]
+    returned = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_returnflag = 'R'")
+    ids = returned.select((F.col("l_suppkey") + ID_SPAN).alias("node_id"))
     return lookup_nodes(graph_of(spark, folder), ids).select("node_id", "type_id", "name")
 
 
@@ -354,6 +355,23 @@ def nation_workload(spark, folder):
     )
 
 
+def _nation_chains(spark, folder):
+    """Per nation: a part close to it and to a brand, then a customer close to its region."""
+    parts = _nation_batch(spark, folder)
+    region = spark.read.parquet(f"{folder}/nation.parquet").select(
+        F.col("n_nationkey").cast("bigint").alias("query_id"),
+        F.lit(1).alias("star_id"),
+        (F.col("n_regionkey") + 6 * ID_SPAN).alias("seed_id"),
+        F.lit(6).alias("seed_type"),
+    )
+    return parts.union(with_wanted_type(region, 3))
+
+
+def nation_chains(spark, folder):
+    batch = _nation_chains(spark, folder)
+    return _tuples(run_workload(graph_of(spark, folder), batch, COMMERCE, PARAMS))
+
+
 def k_sweep(spark, folder):
     batch = chain_batch(spark, STAR_ONLY)
     rows = top_k_sweep(graph_of(spark, folder), batch, COMMERCE, PARAMS)
@@ -489,6 +507,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_hierarchy": hierarchy_on_off,
     "batch_star_query": lambda s, f: _star(s, f, WORKLOAD),
     "nation_workload": nation_workload,
+    "nation_chains": nation_chains,
     "top_k_sweep": k_sweep,
     "link_candidates": lambda s, f: _links(s, f),
     "link_candidates_pruned": lambda s, f: _links(s, f, prune="bound"),
@@ -520,14 +539,19 @@ SELECT query_id, star_id, source_id, target_id, ROUND(closeness, 6) AS closeness
        ROUND(pair_score, 6) AS pair_score FROM l_pairs"""
 
 
-def _nation_sql() -> str:
-    ctes = o.graph_ctes() + [
-        """seeds AS (
+def _nation_ctes(chain: bool) -> list[str]:
+    seeds = """
   SELECT n_nationkey::BIGINT AS query_id, 0 AS star_id, 5000000000 + n_nationkey AS seed_id, 5 AS seed_type FROM nation
-  UNION ALL SELECT n_nationkey::BIGINT, 0, 2000000001 + n_nationkey, 2 FROM nation)""",
-        "stars AS (SELECT n_nationkey::BIGINT AS query_id, 0 AS star_id, 0 AS dst_type FROM nation)",
-    ]
-    ctes += o.visit_ctes(HOPS) + o.answer_ctes(K)
+  UNION ALL SELECT n_nationkey::BIGINT, 0, 2000000001 + n_nationkey, 2 FROM nation"""
+    stars = "SELECT n_nationkey::BIGINT AS query_id, 0 AS star_id, 0 AS dst_type FROM nation"
+    if chain:
+        seeds += " UNION ALL SELECT n_nationkey::BIGINT, 1, 6000000000 + n_regionkey, 6 FROM nation"
+        stars += " UNION ALL SELECT n_nationkey::BIGINT, 1, 3 FROM nation"
+    return [f"seeds AS ({seeds})", f"stars AS ({stars})"]
+
+
+def _nation_sql() -> str:
+    ctes = o.graph_ctes() + _nation_ctes(False) + o.visit_ctes(HOPS) + o.answer_ctes(K)
     return f"{o._with(ctes)}\nSELECT {o.ANSWER_COLUMNS} FROM answers"
 
 
@@ -598,7 +622,8 @@ JOIN ids a ON a.id = c_name JOIN ids b ON b.id = n_name""",
   SELECT 1 FROM lineitem WHERE l_returnflag = 'R' AND l_partkey = e.src AND l_orderkey + 4000000000 = e.dst)"""
     ),
     "lookup_nodes": o.graph_sql(
-        "SELECT node_id, type_id, name FROM nodes WHERE node_id IN (4, 1000000003, 2000000002, 6000000002)"
+        "SELECT node_id, type_id, name FROM nodes WHERE node_id IN"
+        " (SELECT 1000000000 + l_suppkey FROM lineitem WHERE l_returnflag = 'R')"
     ),
     "inherit_pairs": f"SELECT a AS type_a, b AS type_b FROM {o.TYPES} x(a, an), {o.TYPES} y(b, bn)"
     f" WHERE {o.inherit_rule('a', 'b')}",
@@ -657,6 +682,7 @@ FROM answers a JOIN visit v ON v.query_id = a.query_id AND v.star_id = a.star_id
     "compare_hierarchy": _compare_sql(),
     "batch_star_query": _star_answers_sql(WORKLOAD),
     "nation_workload": _nation_sql(),
+    "nation_chains": o.chain_sql(TWO, HOPS, K, queries=_nation_ctes(True)),
     "top_k_sweep": _k_sweep_sql(),
     "link_candidates": _links_sql(),
     "link_candidates_pruned": _links_sql(prune_k=K),

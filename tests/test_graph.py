@@ -55,6 +55,8 @@ def test_triplets_and_filters(spark, literal):
     assert tuples(got)[0] == (2, 3, 0, 5, 2)
     assert got.count() == 5 and preview(got).count() == 5
     assert tuples(lookup_nodes(literal, [3, 7]).select("node_id")) == [(3,), (7,)]
+    asked = spark.createDataFrame([(3,), (3,), (8,)], "node_id long")
+    assert tuples(lookup_nodes(literal, asked).select("node_id")) == [(3,)]
     cut = remove_edges(literal, spark.createDataFrame([(3, 7), (3, 5)], "src long, dst long"))
     # The reverse of a listed pair stays.
     assert tuples(cut.edges.select("src", "dst")) == [(2, 5), (5, 3), (5, 7), (7, 99)]

@@ -249,7 +249,10 @@ def with_names(answers: DataFrame, graph: Graph, rows: int | None = None) -> Dat
     return answers.join(names, "node_id")
 
 
-def lookup_nodes(graph: Graph, node_ids: list[int]) -> DataFrame:
+def lookup_nodes(graph: Graph, node_ids: list[int] | DataFrame) -> DataFrame:
+    """Nodes by id: a few literal ids, or a table with a column node_id."""
+    if isinstance(node_ids, DataFrame):
+        return graph.nodes.join(node_ids.select("node_id"), "node_id", "left_semi")
     return graph.nodes.filter(F.col("node_id").isin(*node_ids))
 
 

@@ -234,11 +234,13 @@ def star_visit(
         return ws.read(schema, *(f"state/dist={d}" for d in range(first, last + 1)))
 
     rule, stops, thresholds = None, None, None
-    if params.stop == "coverage" or params.early_stop:
-        rule = early_stops if params.early_stop else coverage_stops
-        stars, n_stars = ws.save(star_totals(uses, graph, targets), "stars")
     if params.early_stop:
         check_levels(graph)
+        rule = early_stops
+        stars, n_stars = ws.save(uses.select("query_id", "star_id").distinct(), "stars")
+    elif params.stop == "coverage":
+        rule = coverage_stops
+        stars, n_stars = ws.save(star_totals(uses, graph, targets), "stars")
 
     last = params.max_hops if answers_only else None
     while rows and (params.max_hops is None or hop < params.max_hops):
