@@ -131,23 +131,28 @@ CHAIN = [
 ]
 
 
-def chain(graph, spark, stars, **params):
-    out = general_query(graph, chain_batch(spark, {7: stars}), SYNTHETIC, ScoreParams(max_hops=3, **params))
-    return [(ids, round(s, 6)) for ids, s in rows(out.orderBy("rank"), "node_ids", "score")]
+def chains(graph, spark, queries, **params):
+    out = general_query(graph, chain_batch(spark, queries), SYNTHETIC, ScoreParams(max_hops=3, **params))
+    got = {}
+    for query_id, ids, score in rows(out.orderBy("rank"), "query_id", "node_ids", "score"):
+        got.setdefault(query_id, []).append((ids, round(score, 6)))
+    return got
 
 
 def test_chain(spark, graph):
-    assert chain(graph, spark, [A, B], k=9) == CHAIN
-    assert chain(graph, spark, [A, B], k=9, distinct_nodes=True) == CHAIN[:6]
+    assert chains(graph, spark, {7: [A, B], 8: [A]}, k=9) == {
+        7: CHAIN,
+        8: [([10], 1.789148), ([11], 1.789148), ([12], 1.771801)],
+    }
 
 
-def test_chain_of_one(spark, graph):
-    assert chain(graph, spark, [A]) == [([10], 1.789148), ([11], 1.789148), ([12], 1.771801)]
+def test_chain_of_distinct_nodes(spark, graph):
+    assert chains(graph, spark, {7: [A, B]}, k=9, distinct_nodes=True) == {7: CHAIN[:6]}
 
 
 def test_chain_hands_on_star_k(spark, graph):
     # One answer per star is left: (10) and (12).
-    assert chain(graph, spark, [A, B], k=9, star_k=1) == [([10, 12], 4.399148)]
+    assert chains(graph, spark, {7: [A, B]}, k=9, star_k=1) == {7: [([10, 12], 4.399148)]}
 
 
 def test_paths(spark, graph):
@@ -162,13 +167,12 @@ def test_paths(spark, graph):
 
 
 def test_shortest_path(spark, graph):
-    def path(src, dst, **kw):
-        return rows(shortest_path(graph, src, dst, SYNTHETIC, **kw), "path")[0][0]
+    def path(src, dst, hops=None):
+        return rows(shortest_path(graph, src, dst, SYNTHETIC, max_hops=hops), "path")[0][0]
 
     assert path(2, 21) == [2, 20, 1, 21]
     assert path(2, 2) == [2]
-    assert path(2, 999) == []
-    assert path(2, 21, max_hops=2) == []
+    assert path(2, 999, 1) == []
 
 
 def test_details(spark, graph):

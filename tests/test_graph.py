@@ -92,6 +92,15 @@ def test_fraction(spark, literal):
     assert ids <= {r.node_id for r in large.nodes.collect()}
     assert all(r.src in ids and r.dst in ids for r in small.edges.collect())
     assert graph_fraction(graph, 1.0).edges.count() == 2000
+    assert {r.node_id for r in lay_out(small).nodes.collect()} == ids
+
+
+def test_layout_completes_nodes(literal):
+    laid = lay_out(literal, buckets=2)
+    assert tuples(laid.nodes.select("node_id", "type_id", "implicit")) == tuples(
+        literal.nodes.select("node_id", "type_id", "implicit")
+    )
+    assert tuples(laid.edges) == tuples(literal.edges)
 
 
 def test_property_graph(spark):

@@ -27,6 +27,9 @@ MAX_BUCKETS = 100_000
 class Graph:
     """nodes(node_id, type_id, name, raw_name, implicit) and edges(src, dst, level, dst_type).
 
+    ``declared`` are the nodes that were given, as against those only seen in edges; it
+    serves the layout, which completes them from edges already written.
+
     The edges carry the type of their target, so a walk never joins the nodes. A laid
     out graph has its edges in ``buckets`` by source. If some sources are hubs, they are
     bucketed by ``slot``, a hash of source and piece; ``hubs(src, pieces)`` says into
@@ -35,6 +38,8 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    declared: DataFrame | None = None
+    default_type: int = 0
     buckets: int | None = None
     hubs: DataFrame | None = None
     hubs_bounded: bool = False
@@ -83,19 +88,24 @@ def build_graph(
     )
     if not distinct_edges:
         arcs = dedup_edges(arcs)
-    ends = arcs.select(F.col("src").alias("node_id")).union(arcs.select("dst")).distinct()
-    implicit = ends.join(known, "node_id", "left_anti").select(
+    types = known.select(F.col("node_id").alias("dst"), F.col("type_id").alias("dst_type"))
+    typed = arcs.join(types, "dst", "left").select(
+        "src", "dst", "level", F.coalesce("dst_type", F.lit(default_type)).cast("int").alias("dst_type")
+    )
+    return Graph(complete_nodes(known, arcs, default_type), typed, known, default_type)
+
+
+def complete_nodes(declared: DataFrame, edges: DataFrame, default_type: int) -> DataFrame:
+    """Declared nodes plus the edge ends that are not among them."""
+    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    implicit = ends.join(declared, "node_id", "left_anti").select(
         "node_id",
         F.lit(default_type).cast("int").alias("type_id"),
         F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("raw_name"),
         F.lit(True).alias("implicit"),
     )
-    types = known.select(F.col("node_id").alias("dst"), F.col("type_id").alias("dst_type"))
-    typed = arcs.join(types, "dst", "left").select(
-        "src", "dst", "level", F.coalesce("dst_type", F.lit(default_type)).cast("int").alias("dst_type")
-    )
-    return Graph(known.withColumn("implicit", F.lit(False)).unionByName(implicit), typed)
+    return declared.withColumn("implicit", F.lit(False)).unionByName(implicit)
 
 
 def slot(src: str, piece: Column) -> Column:
@@ -117,19 +127,18 @@ def lay_out(
     root = path or ws.path
     # Written first: counting, cutting and bucketing then read it instead of assembling
     # the edges again.
-    arcs, total = ws.save(graph.edges.select("src", "dst", "level", "dst_type"), "arcs")
+    written, total = ws.save(graph.edges.select("src", "dst", "level", "dst_type"), "arcs")
 
     bounded = piece_rows is None
     size = piece_rows or max(PIECE_ROWS, -(-total // MAX_HUBS))
-    degrees = arcs.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    degrees = written.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     hubs, n_hubs = ws.save(
         degrees.filter(F.col("degree") > size).select(
             "src", F.ceil(F.col("degree") / F.lit(size)).cast("int").alias("pieces")
         ),
         "hubs",
     )
-    key = "src"
-    n_pieces = 0
+    arcs, key, n_pieces = written, "src", 0
     if n_hubs:
         n_pieces = hubs.agg(F.sum("pieces")).first()[0]
         side = F.broadcast(hubs) if bounded else hubs
@@ -150,11 +159,22 @@ def lay_out(
         .format("parquet")
         .saveAsTable(table)
     )
-    # Ranged by id, so that a look-up of a few nodes reads a few row groups.
-    ranged = graph.nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
+    nodes = graph.nodes
+    if graph.declared is not None:
+        nodes = complete_nodes(graph.declared, written, graph.default_type)
+    # Ranged by id, so that a look-up of a few nodes reads a few row groups. Written
+    # before, as the ranging samples its input and then reads it again.
+    nodes, _ = ws.save(nodes, "completed")
+    ranged = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
     ranged.write.parquet(f"{root}/nodes")
-    nodes = spark.read.schema(graph.nodes.schema).parquet(f"{root}/nodes")
-    return Graph(nodes, spark.table(table), buckets, hubs if n_hubs else None, bounded, n_pieces)
+    return Graph(
+        spark.read.schema(nodes.schema).parquet(f"{root}/nodes"),
+        spark.table(table),
+        buckets=buckets,
+        hubs=hubs if n_hubs else None,
+        hubs_bounded=bounded,
+        n_pieces=n_pieces,
+    )
 
 
 def build_property_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -257,8 +277,9 @@ def lookup_nodes(graph: Graph, node_ids: list[int] | DataFrame) -> DataFrame:
 
 
 def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
-    """Drop the directed (src, dst) pairs; the layout stays as it is."""
-    return replace(graph, edges=graph.edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti"))
+    """Drop the directed (src, dst) pairs; nodes and layout stay as they are."""
+    kept = graph.edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
+    return replace(graph, edges=kept, declared=None)
 
 
 def _kept(node_id: str, ratio: float) -> Column:
@@ -272,6 +293,7 @@ def graph_fraction(graph: Graph, ratio: float) -> Graph:
     """Induced subgraph on a fixed pseudo-random fraction of the nodes."""
     return replace(
         graph,
+        declared=None,
         nodes=graph.nodes.filter(_kept("node_id", ratio)),
         edges=graph.edges.filter(_kept("src", ratio) & _kept("dst", ratio)),
     )
