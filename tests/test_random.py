@@ -52,8 +52,8 @@ def star_results(graph, batch, params):
         ({}, 2),
         ({"early_stop": True}, 2),
         ({"max_hops": 2}, 5),
-        ({"prune": "bound"}, 2),
-        ({"stop": "coverage"}, 3),
+        ({"prune": "bound", "max_hops": 4}, 2),
+        ({"stop": "coverage", "max_hops": 4}, 3),
     ],
 )
 def test_stars(world, options, k):
@@ -69,7 +69,7 @@ def test_stars(world, options, k):
 @pytest.mark.parametrize("options", [{}, {"prune": "bound"}, {"stop": "coverage"}])
 def test_chains(world, options):
     graph, brute, chains, batch = world
-    k = 3
+    k, options = 3, {"max_hops": 4, **options}
     got = defaultdict(list)
     rows = general_query(graph, batch, SYNTHETIC, ScoreParams(k=k, star_k=4, **options))
     for r in rows.orderBy("rank").collect():
