@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat
+from tierwalk.llm import chat, counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,8 +58,15 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM rows GROUP BY conv_id
 """
 
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
 QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE = {
