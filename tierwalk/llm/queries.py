@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts
+from tierwalk.llm import chat, counts, topk
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,11 +64,33 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.whole_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", 1024)
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), "vec_id", 10)
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v AS q, v AS c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 QUERIES = {
+    "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_counts": op9_token_counts,
 }
 
 ORACLE = {
+    "op6_exact_topk": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
 }
