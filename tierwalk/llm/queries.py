@@ -6,13 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, topk
+from tierwalk.llm import chat, counts, tokenfile, topk
+from tierwalk.workspace import Workspace
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{Workspace(spark, 'tokens').path}/ids"
+    tokenfile.write(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    tokens = tokenfile.read(spark, path)
+    rows = tokenfile.with_start(tokenfile.digest(tokens), tokens)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -85,6 +94,7 @@ QUALIFY row_number() OVER w <= 10
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_counts": op9_token_counts,
