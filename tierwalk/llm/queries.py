@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, tokenfile, topk
+from tierwalk.llm import chat, counts, sampling, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -22,6 +22,17 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    tokens = sampling.encode(table(spark, folder, "documents"), model)
+    return sampling.decode(tokens, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.sha2(F.to_json("ids"), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -95,6 +106,7 @@ QUALIFY row_number() OVER w <= 10
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_counts": op9_token_counts,
