@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, sampling, tokenfile, topk
+from tierwalk.llm import chat, counts, ordinal, sampling, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -33,6 +33,19 @@ def op2_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    """Ratings of three grades: 0 toxic, 1 neither toxic nor good, 2 good."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    return labels.select("doc_id", grade.alias("grade"))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = ordinal.fit(docs, graded(table(spark, folder, "labels")), n_grades=3)
+    scored = ordinal.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= 0.5).alias("keep"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -107,6 +120,7 @@ QUALIFY row_number() OVER w <= 10
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_counts": op9_token_counts,
