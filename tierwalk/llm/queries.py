@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, ordinal, sampling, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, ordinal, sampling, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -46,6 +46,18 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= 0.5).alias("keep"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.size("hits").cast("long").alias("n_items"),
+        F.col("hits.item_id").alias("item_ids"),
+        F.col("hits.edits").alias("edits"),
+    )
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -121,6 +133,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_token_counts": op9_token_counts,
