@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, ordinal, sampling, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, minhash, ordinal, sampling, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -43,7 +43,7 @@ def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = ordinal.fit(docs, graded(table(spark, folder, "labels")), n_grades=3)
     scored = ordinal.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= 0.5).alias("keep"))
+    return scored.select("doc_id", "expected_grade", "p_ge_1", "p_ge_2", (F.col("p_ge_2") >= 0.5).alias("kept"))
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,13 +51,17 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.find(docs, table(spark, folder, "benchmark"))
     return found.select(
         "doc_id",
+        (F.size("hits") == 0).alias("kept"),
         (F.size("hits") > 0).alias("contaminated"),
         F.size("hits").cast("long").alias("n_items"),
-        F.col("hits.item_id").alias("item_ids"),
-        F.col("hits.edits").alias("edits"),
+        F.to_json("hits").alias("items"),
     )
 
 
+def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -132,6 +136,7 @@ QUALIFY row_number() OVER w <= 10
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
