@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, minhash, ordinal, sampling, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, minhash, ordinal, phrases, sampling, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -62,6 +62,13 @@ def op3_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), size=4, percent=80)
 
 
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = phrases.cut_repeats(docs, window=35)
+    joined = F.trim(F.regexp_replace("kept_text", r"[ \t-\r]+", " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -141,6 +148,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
 }
 
