@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -31,17 +33,39 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Make a folder that the file system removes when the application ends."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Statements run inside drop their shuffle files once they have ended: what they wrote is all that is read later."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Workspace:
-    """One folder per run, under the shared root."""
+    """One folder per run, under the shared root; gone when the application ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_root(spark)}/tierwalk-{label}-{uuid.uuid4().hex}"
+        delete_at_exit(spark, self.path)
 
     def write(self, df: DataFrame, name: str) -> int:
         """Write a table and return its row count, both in one job."""
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
+        with _shuffles_removed(self.spark):
+            df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
         return seen.get["n"]
 
     def save(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
