@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, minhash, ordinal, phrases, sampling, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
 from tierwalk.workspace import Workspace
 
 
@@ -69,6 +69,12 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(joined, 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    cut = suffixes.drop_repeats(docs, window=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -150,6 +156,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE = {
