@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.llm import chat, counts, decontam, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
+from tierwalk.llm.ship import ship
 from tierwalk.workspace import Workspace
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
