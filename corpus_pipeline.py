@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm import decontam, minhash, ordinal, phrases, sampling
 from tierwalk.llm.queries import graded, table
+from tierwalk.llm.ship import ship
 from tierwalk.workspace import Workspace
 
 #: Helper columns start like this, so that they clash with none of the documents'.
@@ -26,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least id, of each component of near-duplicates; documents without words all stay."""
+    ship(spark)
     found = minhash.near_duplicates(docs, size=5, percent=80)
     gone = found.where(~F.col("kept")).select(F.col("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -33,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word windows that recur; untouched ones keep their bytes."""
+    ship(spark)
     cut = phrases.cut_repeats(docs, window=35, prefix=OWN)
     touched = F.col(f"{OWN}n_removed") > 0
     new = {"text": F.when(touched, F.col(f"{OWN}kept_text")).otherwise(F.col("text"))}
@@ -50,6 +53,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids): a reproducible sampled segmentation of each text."""
+    ship(spark)
     tokens = sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return tokens.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
