@@ -100,7 +100,7 @@ def visit_ctes(
          COUNT(*) OVER (PARTITION BY s.query_id, s.star_id) AS n_seeds
   FROM {p}seeds s JOIN {p}stars t ON s.query_id = t.query_id AND s.star_id = t.star_id)""",
         f"""{p}f0 AS MATERIALIZED (
-  SELECT {key}, seed_id AS node_id, 0 AS dist, 1::BIGINT AS n_paths, 0.0e0 AS hier,
+  SELECT {key}, seed_id AS node_id, 0 AS dist, 1.0e0 AS n_paths, 0.0e0 AS hier,
          0.0e0 AS closeness, 1.0e0 AS lb, NULL::BIGINT AS parent_id
   FROM {p}uses WHERE seed_id IN (SELECT node_id FROM nodes))""",
         f"{p}v0 AS (SELECT * FROM {p}f0)",
@@ -122,7 +122,7 @@ def visit_ctes(
         out += [
             f"""{p}m{t} AS (
   SELECT f.query_id, f.star_id, f.seed_id, e.dst AS node_id,
-         CAST(SUM(f.n_paths) AS BIGINT) AS n_paths,
+         SUM(f.n_paths) AS n_paths,
          MAX(f.hier + CASE WHEN u.inh THEN {BETA} * abs(e.level) ELSE 0 END) AS hier,
          MAX({BETA} * abs(e.level)) AS edge,
          SUM(f.lb) AS plb, MIN(f.node_id) AS parent_id
@@ -275,14 +275,14 @@ def chain_sql(
     ctes += answer_ctes(star_k or k)
     ctes += link_ctes(hops, k, **options)
     ctes.append(
-        """t1 AS (SELECT query_id, node_id AS last_id, [node_id] AS ids, score
+        """t1 AS (SELECT query_id, node_id AS last_id, [node_id] AS ids, CAST(score AS DECIMAL(28, 9)) AS score
   FROM answers WHERE star_id = 0)"""
     )
     for n in range(2, longest + 1):
         ctes.append(
             f"""t{n} AS (
   SELECT t.query_id, p.target_id AS last_id, list_append(t.ids, p.target_id) AS ids,
-         t.score + p.closeness + p.target_score AS score
+         CAST(t.score + CAST(p.closeness + p.target_score AS DECIMAL(28, 9)) AS DECIMAL(28, 9)) AS score
   FROM t{n - 1} t JOIN l_pairs p
     ON p.query_id = t.query_id AND p.star_id = {n - 2} AND p.source_id = t.last_id)"""
         )
@@ -293,9 +293,8 @@ def chain_sql(
     )
     ctes.append(f"full_tuples AS ({full})")
     return f"""{_with(ctes)}
-SELECT {extra}query_id, rank, array_to_string(ids, ',') AS node_ids, ROUND(score, 6) AS score
-FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id
-                                   ORDER BY ROUND(score, {DIGITS}) DESC, ids) AS rank
+SELECT {extra}query_id, rank, array_to_string(ids, ',') AS node_ids, ROUND(CAST(score AS DOUBLE), 6) AS score
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, ids) AS rank
       FROM full_tuples) WHERE rank <= {k}"""
 
 

@@ -41,7 +41,17 @@ from tierwalk.operators.graph import dedup_edges, type_counts
 from tierwalk.operators.visit import seen_by_star
 from tierwalk.params import COMMERCE
 from tierwalk.plans.decompose import decompose_query as decompose
-from tierwalk.plans.workload import chain_k_sweep, run_workload, size_sweep, top_k_sweep
+from tierwalk.operators.batch import Batch
+from tierwalk.operators.chain import link_visit
+from tierwalk.plans.presets import GENERAL_PRESETS, run_general_preset
+from tierwalk.plans.workload import (
+    SWEEP_K,
+    SWEEP_RATIOS,
+    chain_k_sweep,
+    run_workload,
+    size_sweep,
+    top_k_sweep,
+)
 from tierwalk.sinks import write_answers, write_run_metrics
 from tierwalk.sources import (
     commerce_graph,
@@ -53,6 +63,9 @@ from tierwalk.sources import (
     parse_query_lines,
     parse_star_sets,
     pick_seeds,
+    read_edge_list,
+    read_node_info,
+    read_queries,
 )
 from tierwalk.sources.commerce import ID_SPAN
 from tierwalk.workspace import Workspace
@@ -65,11 +78,28 @@ C1 = [([(2000000002, 2), (3000000007, 3), (1000000003, 1)], 0)]
 C2 = [*C1, ([(5000000001, 5), (4000000010, 4)], 3)]
 C3 = [*C2, ([(6000000002, 6), (2000000005, 2)], 1)]
 STAR_ONLY = {1: C1}
+PRESET_CHAINS = GENERAL_PRESETS["commerce"].chains
 TWO = {2: C2}
 THREE = {3: C3}
 WORKLOAD = {1: C1, 2: C2, 3: C3}
 PATH_ENDS = (2000000002, 6000000002)
 
+# A chain in which answers beyond the first k of its stars make better tuples.
+DEEP = {3: [([(2000000015, 2), (3000000967, 3)], 0), ([(5000000020, 5), (4000006219, 4)], 3)]}
+REPEATED = {1: [([*C1[0][0], C1[0][0][0]], 0)]}
+
+# Queries for fractions of the graph, with seeds that fall into the fraction.
+SIZE_HOPS = 6
+_SMALL = {1: [([(5000000024, 5)], 3)], 2: [([(5000000024, 5)], 3), ([(5000000024, 5)], 4)]}
+_PART = ([(2000000007, 2), (3000000038, 3), (1000000026, 1)], 0)
+_BUYER = ([(5000000024, 5), (4000007665, 4)], 3)
+_LARGE = {1: [_PART], 2: [_PART, _BUYER], 3: [_PART, _BUYER, ([(6000000002, 6), (2000000007, 2)], 1)]}
+
+
+def size_chains(ratio: float) -> dict:
+    return _LARGE if ratio >= 0.5 else _SMALL
+
+
 _GRAPHS: dict[tuple[str, str], Graph] = {}
 
 
@@ -408,16 +438,76 @@ def workload(spark, folder):
 
 def chain_sweep(spark, folder):
     batch = chain_batch(spark, TWO)
-    rows = chain_k_sweep(graph_of(spark, folder), batch, COMMERCE, PARAMS, ks=(1, 10))
-    return _tuples(rows)
+    return _tuples(chain_k_sweep(graph_of(spark, folder), batch, COMMERCE, PARAMS))
 
 
 def graph_size_sweep(spark, folder):
-    batch = chain_batch(spark, WORKLOAD)
-    rows = size_sweep(graph_of(spark, folder), batch, COMMERCE, PARAMS, ratios=(0.8, 1.0))
+    params = PARAMS.with_(max_hops=SIZE_HOPS)
+    rows = size_sweep(
+        graph_of(spark, folder), lambda r: chain_batch(spark, size_chains(r)), COMMERCE, params
+    )
     return _tuples(rows)
 
 
+def coverage_visit(spark, folder):
+    """Unbounded: the rule alone ends the stars."""
+    params = PARAMS.with_(stop="coverage", max_hops=None)
+    return _visit_rows(star_visit(graph_of(spark, folder), chain_batch(spark, THREE), COMMERCE, params))
+
+
+def pruned_visit(spark, folder):
+    batch = chain_batch(spark, THREE)
+    return _visit_rows(star_visit(graph_of(spark, folder), batch, COMMERCE, PARAMS.with_(prune="bound")))
+
+
+def coverage_link_visit(spark, folder):
+    graph, batch = graph_of(spark, folder), chain_batch(spark, THREE)
+    params = PARAMS.with_(max_hops=None)
+    answers, _ = Workspace(spark, "links").save(batch_star_query(graph, batch, COMMERCE, params), "answers")
+    visit, _ = link_visit(graph, batch, answers, COMMERCE, params.with_(stop="coverage"))
+    return _visit_rows(visit)
+
+
+def removed_edges_query(spark, folder):
+    sold = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_returnflag = 'R'")
+    part, order = F.col("l_partkey"), F.col("l_orderkey") + 4 * ID_SPAN
+    pairs = sold.select(part.alias("src"), order.alias("dst")).union(sold.select(order, part))
+    graph = remove_edges(graph_of(spark, folder), pairs)
+    return _answers(batch_star_query(graph, chain_batch(spark, STAR_ONLY), COMMERCE, PARAMS))
+
+
+def general_presets(spark, folder):
+    return _tuples(run_general_preset(graph_of(spark, folder), "commerce", PARAMS))
+
+
+def written_tuples(spark, folder):
+    """Written twice to one folder: the second run takes the place of the first."""
+    path = f"{Workspace(spark, 'answers').path}/out"
+    rows = general_query(graph_of(spark, folder), chain_batch(spark, TWO), COMMERCE, PARAMS)
+    write_answers(rows.limit(1), path)
+    write_answers(rows, path)
+    return _tuples(spark.read.schema(rows.schema).parquet(path))
+
+
+def file_workload(spark, folder):
+    """Text files to written answers: the graph and the queries are read back from lines."""
+    root, graph = Workspace(spark, "files").path, graph_of(spark, folder)
+    edges = graph.edges.select(F.concat_ws("\t", "src", "dst", _label(F.col("level"))))
+    nodes = graph.nodes.select(F.concat_ws("\t", F.concat("name", F.lit("+++"), F.col("type_id").cast("string")), "node_id"))
+    lines = [
+        "\t".join(";".join([*(f"{i},{t}" for i, t in seeds), str(dst)]) for seeds, dst in chain)
+        for chain in (C1, C2, C3)
+    ]
+    edges.write.text(f"{root}/edges")
+    nodes.write.text(f"{root}/nodes")
+    spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(f"{root}/queries")
+    read = build_graph(read_node_info(spark, f"{root}/nodes"), read_edge_list(spark, f"{root}/edges"))
+    batch = Batch(*read_queries(spark, f"{root}/queries"))
+    rows = run_workload(lay_out(read), batch, COMMERCE, PARAMS)
+    write_answers(rows, f"{root}/answers")
+    return _tuples(spark.read.schema(rows.schema).parquet(f"{root}/answers"))
+
+
 def decompose_query(spark, folder):
     """One query graph per customer: who lives in the nation, and what did they order."""
     customer = spark.read.parquet(f"{folder}/customer.parquet")
@@ -463,9 +553,10 @@ def written_answers(spark, folder):
 def run_metrics(spark, folder):
     path = f"{Workspace(spark, 'metrics').path}/out"
     started = time.time()
-    _star(spark, folder).count()
+    rows = _star(spark, folder).count()
     write_run_metrics(spark, path, "star", K, int((time.time() - started) * 1000))
-    return spark.read.parquet(path)
+    record = spark.read.parquet(path)
+    return record.select("query", "k", (F.col("runtime_ms") >= 0).alias("timed"), F.lit(rows).cast("bigint").alias("n_answers"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -524,6 +615,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decompose_query": decompose_query,
     "write_read_answers": written_answers,
     "run_metrics": run_metrics,
+    "star_visit_coverage": coverage_visit,
+    "star_visit_pruned": pruned_visit,
+    "link_visit_coverage": coverage_link_visit,
+    "link_candidates_pruned_deep": lambda s, f: _links(s, f, prune="bound", max_hops=4),
+    "chain_two_star_k": lambda s, f: _chain(s, f, DEEP, star_k=12),
+    "chain_three_fixpoint": lambda s, f: _chain(s, f, THREE, max_hops=None),
+    "star_query_repeated_seed": lambda s, f: _star(s, f, REPEATED),
+    "star_query_removed_edges": removed_edges_query,
+    "general_presets": general_presets,
+    "write_tuples_twice": written_tuples,
+    "file_workload": file_workload,
 }
 
 
@@ -531,14 +633,30 @@ def _star_answers_sql(chains=STAR_ONLY, hops=HOPS, **options) -> str:
     return o.star_sql(chains, hops, K, f"SELECT {o.ANSWER_COLUMNS} FROM answers", **options)
 
 
-def _links_sql(**options) -> str:
-    ctes = o.graph_ctes() + o.query_ctes(THREE) + o.visit_ctes(HOPS, **options) + o.answer_ctes(K)
-    ctes += o.link_ctes(HOPS, K, **options)
+def _links_sql(hops=HOPS, **options) -> str:
+    ctes = o.graph_ctes() + o.query_ctes(THREE) + o.visit_ctes(hops, **options) + o.answer_ctes(K)
+    ctes += o.link_ctes(hops, K, **options)
     return f"""{o._with(ctes)}
 SELECT query_id, star_id, source_id, target_id, ROUND(closeness, 6) AS closeness,
        ROUND(pair_score, 6) AS pair_score FROM l_pairs"""
 
 
+def _link_visit_sql(hops, **options) -> str:
+    ctes = o.graph_ctes() + o.query_ctes(THREE) + o.visit_ctes(hops) + o.answer_ctes(K)
+    ctes += o.link_ctes(hops, K, **options)
+    return f"{o._with(ctes)}\nSELECT {o.VISIT_COLUMNS} FROM l_visit"
+
+
+def _removed_sql() -> str:
+    sold = "SELECT 1 FROM lineitem WHERE l_returnflag = 'R'"
+    left = f"""SELECT * FROM all_edges e WHERE NOT EXISTS ({sold} AND l_partkey = e.src AND l_orderkey + 4000000000 = e.dst)
+    AND NOT EXISTS ({sold} AND l_partkey = e.dst AND l_orderkey + 4000000000 = e.src)"""
+    nodes, one_way, edges = o.graph_ctes()
+    ctes = [nodes, one_way, edges.replace("edges AS", "all_edges AS", 1), f"edges AS MATERIALIZED ({left})"]
+    ctes += o.query_ctes(STAR_ONLY) + o.visit_ctes(HOPS) + o.answer_ctes(K)
+    return f"{o._with(ctes)}\nSELECT {o.ANSWER_COLUMNS} FROM answers"
+
+
 def _nation_ctes(chain: bool) -> list[str]:
     seeds = """
   SELECT n_nationkey::BIGINT AS query_id, 0 AS star_id, 5000000000 + n_nationkey AS seed_id, 5 AS seed_type FROM nation
@@ -694,11 +812,17 @@ FROM answers a JOIN visit v ON v.query_id = a.query_id AND v.star_id = a.star_id
     "answer_paths": o.path_sql(STAR_ONLY, HOPS, K),
     "shortest_path": o.shortest_path_sql(*PATH_ENDS, 6),
     "run_workload": o.chain_sql(WORKLOAD, HOPS, K),
-    "chain_k_sweep": _union([o.chain_sql(TWO, HOPS, k, extra=f"{k} AS k, ") for k in (1, 10)]),
+    "chain_k_sweep": _union([o.chain_sql(TWO, HOPS, k, extra=f"{k} AS k, ") for k in SWEEP_K]),
     "size_sweep": _union(
         [
-            o.chain_sql(WORKLOAD, HOPS, K, extra="0.8::DOUBLE AS ratio, ", keep=o.fraction(0.8)),
-            o.chain_sql(WORKLOAD, HOPS, K, extra="1.0::DOUBLE AS ratio, "),
+            o.chain_sql(
+                size_chains(r),
+                SIZE_HOPS,
+                K,
+                extra=f"{r}::DOUBLE AS ratio, ",
+                keep=o.fraction(r) if r < 1 else None,
+            )
+            for r in SWEEP_RATIOS
         ]
     ),
     "decompose_query": """
@@ -706,4 +830,21 @@ SELECT c_custkey AS query_id, 0 AS star_id, 5000000000 + c_nationkey AS seed_id,
 FROM customer
 UNION ALL SELECT o_custkey, 1, 4000000000 + o_orderkey, 4, 0 FROM orders""",
     "write_read_answers": _star_answers_sql(),
+    "run_metrics": o.star_sql(
+        STAR_ONLY,
+        HOPS,
+        K,
+        f"SELECT 'star' AS query, {K} AS k, TRUE AS timed, COUNT(*)::BIGINT AS n_answers FROM answers",
+    ),
+    "star_visit_coverage": o.star_sql(THREE, 8, K, f"SELECT {o.VISIT_COLUMNS} FROM visit", coverage=True),
+    "star_visit_pruned": o.star_sql(THREE, HOPS, K, f"SELECT {o.VISIT_COLUMNS} FROM visit", prune_k=K),
+    "link_visit_coverage": _link_visit_sql(8, coverage=True),
+    "link_candidates_pruned_deep": _links_sql(4, prune_k=K),
+    "chain_two_star_k": o.chain_sql(DEEP, HOPS, K, star_k=12),
+    "chain_three_fixpoint": o.chain_sql(THREE, 8, K),
+    "star_query_repeated_seed": _star_answers_sql(),
+    "star_query_removed_edges": _removed_sql(),
+    "general_presets": _union([o.chain_sql(PRESET_CHAINS, HOPS, k, extra=f"{k} AS k, ") for k in (2, 5, 10)]),
+    "write_tuples_twice": o.chain_sql(TWO, HOPS, K),
+    "file_workload": o.chain_sql({i: c for i, c in enumerate((C1, C2, C3))}, HOPS, K),
 }

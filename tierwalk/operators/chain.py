@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 from tierwalk.operators.batch import Batch
 from tierwalk.operators.graph import Graph
 from tierwalk.operators.star import STAR, batch_star_query, top_k
-from tierwalk.operators.visit import seen_by_star, star_visit
+from tierwalk.operators.visit import Visit, seen_by_star, star_visit
 from tierwalk.params import RANK_DIGITS, Domain, ScoreParams
 from tierwalk.workspace import Workspace
 
 
+# Totals of tuples, at ranking precision.
+TOTAL = f"decimal(28, {RANK_DIGITS})"
+
+
 def star_scores(answers: DataFrame, node: str, score: str) -> DataFrame:
     """Star score of a node at its chain position."""
     return answers.select(*STAR, F.col("node_id").alias(node), F.col("score").alias(score))
 
 
-def link_candidates(
+def link_visit(
     graph: Graph, batch: Batch, answers: DataFrame, domain: Domain, params: ScoreParams
-) -> DataFrame:
-    """Pairs (source answer of star i, target answer of star i+1) with their closeness.
-
-    ``pair_score`` is star score of the source plus closeness; ``star_id`` is i.
-    """
+) -> tuple[Visit, DataFrame]:
+    """The walk from the answers of each star to those of the next, and its targets."""
     following = batch.stars.select("query_id", (F.col("star_id") - 1).alias("star_id"), "dst_type")
     links = following.filter(F.col("star_id") >= 0)
     seeds = answers.join(links, STAR, "left_semi").select(
@@ -37,7 +38,6 @@ def link_candidates(
     targets = answers.filter(F.col("star_id") > 0).select(
         "query_id", (F.col("star_id") - 1).alias("star_id"), "node_id", F.col("score").alias("target_score")
     )
-    sources = star_scores(answers, "source_id", "source_score")
     visit = star_visit(
         graph,
         Batch(seeds, links),
@@ -47,6 +47,18 @@ def link_candidates(
         seed_scores=star_scores(answers, "seed_id", "seed_score"),
         answers_only=True,
     )
+    return visit, targets
+
+
+def link_candidates(
+    graph: Graph, batch: Batch, answers: DataFrame, domain: Domain, params: ScoreParams
+) -> DataFrame:
+    """Pairs (source answer of star i, target answer of star i+1) with their closeness.
+
+    ``pair_score`` is star score of the source plus closeness; ``star_id`` is i.
+    """
+    sources = star_scores(answers, "source_id", "source_score")
+    visit, targets = link_visit(graph, batch, answers, domain, params)
     reached = seen_by_star(visit, targets).select(
         *STAR, F.col("seed_id").alias("source_id"), "node_id", "closeness"
     )
@@ -68,20 +80,13 @@ def link_candidates(
 
 
 def keep_leading(tuples: DataFrame, k: int) -> DataFrame:
-    """Drop partial tuples that no continuation can bring into the top k.
+    """The k best partial tuples per last node; no continuation can bring another into the top k.
 
-    Tuples with the same last node continue alike, so one below the k-th best of its
-    node stays below. Ties at ranking precision all stay.
+    Tuples with the same last node gain the same by every continuation. Totals are
+    fixed-point, so their order, and the order of ids among equals, carries over.
     """
-    best = Window.partitionBy("query_id", "last_id").orderBy(F.desc("score"))
-    whole = Window.partitionBy("query_id", "last_id")
-    slack = 2 * 10.0**-RANK_DIGITS
-    return (
-        tuples.withColumn("place", F.row_number().over(best))
-        .withColumn("kth", F.min(F.when(F.col("place") <= k, F.col("score"))).over(whole))
-        .filter(F.col("score") >= F.col("kth") - slack)
-        .drop("place", "kth")
-    )
+    best = Window.partitionBy("query_id", "last_id").orderBy(F.desc("score"), "node_ids")
+    return tuples.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).drop("place")
 
 
 def extend_chain(tuples: DataFrame, links: DataFrame, star_id: int, k: int) -> DataFrame:
@@ -90,13 +95,13 @@ def extend_chain(tuples: DataFrame, links: DataFrame, star_id: int, k: int) -> D
         "query_id",
         F.col("source_id").alias("last_id"),
         "target_id",
-        (F.col("closeness") + F.col("target_score")).alias("gain"),
+        (F.col("closeness") + F.col("target_score")).cast(TOTAL).alias("gain"),
     )
     longer = tuples.join(step, ["query_id", "last_id"]).select(
         "query_id",
         F.col("target_id").alias("last_id"),
         F.array_append("node_ids", F.col("target_id")).alias("node_ids"),
-        (F.col("score") + F.col("gain")).alias("score"),
+        (F.col("score") + F.col("gain")).cast(TOTAL).alias("score"),
     )
     return keep_leading(longer, k)
 
@@ -108,7 +113,7 @@ def join_chain(
     lengths = batch.stars.groupBy("query_id").agg((F.max("star_id") + 1).alias("n_stars"))
     longest = lengths.agg(F.max("n_stars")).first()[0] or 0
     tuples = answers.filter(F.col("star_id") == 0).select(
-        "query_id", F.col("node_id").alias("last_id"), F.array("node_id").alias("node_ids"), "score"
+        "query_id", F.col("node_id").alias("last_id"), F.array("node_id").alias("node_ids"), F.col("score").cast(TOTAL).alias("score")
     )
     finished = []
     for n in range(1, longest + 1):
@@ -119,11 +124,12 @@ def join_chain(
         done = lengths.filter(F.col("n_stars") == n)
         finished.append(tuples.join(done, "query_id", "left_semi"))
     if not finished:
-        return tuples.select("query_id", F.lit(1).alias("rank"), "node_ids", "score")
+        return tuples.select("query_id", F.lit(1).alias("rank"), "node_ids", F.col("score").cast("double"))
     totals = finished[0]
     for rows in finished[1:]:
         totals = totals.unionByName(rows)
-    return top_k(totals, k, ["query_id"], "node_ids").select("query_id", "rank", "node_ids", "score")
+    ranked = top_k(totals, k, ["query_id"], "node_ids")
+    return ranked.select("query_id", "rank", "node_ids", F.col("score").cast("double").alias("score"))
 
 
 def general_query(

@@ -277,9 +277,12 @@ def lookup_nodes(graph: Graph, node_ids: list[int] | DataFrame) -> DataFrame:
 
 
 def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
-    """Drop the directed (src, dst) pairs; nodes and layout stay as they are."""
+    """Drop the directed (src, dst) pairs; nodes stay as they are.
+
+    What is left is no longer served by buckets, so walks must not count on them.
+    """
     kept = graph.edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
-    return replace(graph, edges=kept, declared=None)
+    return replace(graph, edges=kept, declared=None, buckets=None)
 
 
 def _kept(node_id: str, ratio: float) -> Column:

@@ -48,9 +48,10 @@ def top_k(scored: DataFrame, k: int, group: list[str], tie: str) -> DataFrame:
 def batch_star_query(
     graph: Graph, batch: Batch, domain: Domain, params: ScoreParams, k: int | None = None
 ) -> DataFrame:
-    """Answers of every star of a batch, from one visit."""
+    """Answers of every star of a batch, from one visit; ``k`` goes before ``params.k``."""
+    params = params.with_(k=k or params.k)
     visit = star_visit(graph, batch, domain, params, answers_only=True)
-    return star_answers(visit, k or params.k)
+    return star_answers(visit, params.k)
 
 
 def star_answers(visit: Visit, k: int) -> DataFrame:

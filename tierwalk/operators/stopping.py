@@ -82,6 +82,34 @@ def coverage_stops(ws, hop, state, uses, keys, stars, n_stars, stops, params: Sc
     return _record(ws, hop, ended, stops, n_stars)
 
 
+def pair_totals(uses: DataFrame, start: DataFrame, keys, targets: DataFrame) -> DataFrame:
+    """Per link: number of (source in the graph, target) pairs."""
+    sources = uses.join(start.select(*keys), list(keys)).groupBy(*STAR).agg(F.count(F.lit(1)).alias("n_sources"))
+    ends = targets.distinct().groupBy(*STAR).agg(F.count(F.lit(1)).alias("n_targets"))
+    return (
+        uses.select(*STAR)
+        .distinct()
+        .join(sources, STAR, "left")
+        .join(ends, STAR, "left")
+        .select(*STAR, (F.coalesce("n_sources", F.lit(0)) * F.coalesce("n_targets", F.lit(0))).alias("n_pairs"))
+    )
+
+
+def link_stops(ws, hop, state, uses, keys, stars, n_stars, stops, params: ScoreParams, targets):
+    """End a link when every source has reached every target; a visited pair never changes, so this is exact."""
+    ends = targets.select(*STAR, "node_id").distinct()
+    reached = state.join(targets.select("node_id").distinct(), "node_id", "left_semi")
+    done = (
+        _running_rows(reached, uses, keys, stops)
+        .join(ends, [*STAR, "node_id"], "left_semi")
+        .groupBy(*STAR)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    open_stars = stars if stops is None else stars.join(stops, STAR, "left_anti")
+    ended = open_stars.join(done, STAR, "left").filter(F.coalesce("n", F.lit(0)) >= F.col("n_pairs"))
+    return _record(ws, hop, ended, stops, n_stars)
+
+
 def early_stops(ws, hop, state, uses, keys, stars, n_stars, stops, params: ScoreParams, targets):
     """End a star when its k-th complete score is above anything still open.
 

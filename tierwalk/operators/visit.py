@@ -21,7 +21,14 @@ from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, up
 from tierwalk.operators.batch import Batch
 from tierwalk.operators.graph import BROADCAST_ROWS, Graph, slot
 from tierwalk.operators.pruning import prune_frontier
-from tierwalk.operators.stopping import check_levels, coverage_stops, early_stops, star_totals
+from tierwalk.operators.stopping import (
+    check_levels,
+    coverage_stops,
+    early_stops,
+    link_stops,
+    pair_totals,
+    star_totals,
+)
 from tierwalk.params import Domain, ScoreParams
 from tierwalk.workspace import Workspace
 
@@ -32,10 +39,10 @@ PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
 ROW_GROUP_IDS = 10
 # A literal list of up to this many sources selects their buckets of a laid out graph.
 BUCKET_IDS = 2_000
+# Wanted types that become literals of the last hop's scan.
+WANTED_TYPES = 100
 # Frontier rows a task may hold as a hash table; the edges then stream past unsorted.
 HASH_ROWS = 1_000_000
-# Path counts are summed as doubles, exact below 2^53, and held at the largest long.
-MAX_PATHS = float(2**62)
 
 
 @dataclass(frozen=True)
@@ -44,8 +51,9 @@ class Visit:
 
     ``uses``   which star reads which walk: query_id, star_id, seed_id, seed_type,
                inherits, dst_type, n_seeds
-    ``state``  visited pairs: walk key, node_id, type_id, n_paths, hier, closeness,
-               lower_bound, upper_bound, parent_id, dist
+    ``state``  visited pairs: walk key, node_id, type_id, n_paths (a double: exact
+               below 2^53, then to 53 bits), hier, closeness, lower_bound,
+               upper_bound, parent_id, dist
     ``stops``  last hop that counts per star, for the stop rules that end stars apart
     ``hops``   new rows per hop
     """
@@ -91,7 +99,7 @@ def init_frontier(uses: DataFrame, graph: Graph, keys, ids: list[int]) -> DataFr
         *keys,
         "node_id",
         "type_id",
-        F.lit(1).cast("bigint").alias("n_paths"),
+        F.lit(1.0).alias("n_paths"),
         F.lit(0.0).alias("hier"),
         F.lit(0.0).alias("closeness"),
         F.lit(1.0).alias("lower_bound"),
@@ -100,14 +108,13 @@ def init_frontier(uses: DataFrame, graph: Graph, keys, ids: list[int]) -> DataFr
     )
 
 
-def wanted_edges(edges: DataFrame, uses: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """Edges into nodes that some star can take as an answer."""
-    if targets is not None:
-        ends = targets.select(F.col("node_id").alias("dst")).distinct()
-        return edges.join(ends, "dst", "left_semi")
-    # As many as the domain has types.
-    types = [r[0] for r in uses.select("dst_type").distinct().collect()]
-    return edges.filter(F.col("dst_type").isin(*types)) if types else edges
+def wanted_edges(edges: DataFrame, uses: DataFrame) -> DataFrame:
+    """Edges into nodes of a wanted type."""
+    types = uses.select("dst_type").distinct()
+    few = [r[0] for r in types.limit(WANTED_TYPES + 1).collect()]
+    if len(few) > WANTED_TYPES:
+        return edges.join(types.withColumnRenamed("dst_type", "wanted"), F.col("dst_type") == F.col("wanted"), "left_semi")
+    return edges.filter(F.col("dst_type").isin(*few)) if few else edges
 
 
 def propagate(
@@ -119,11 +126,13 @@ def propagate(
     keys,
     hop: int,
     params: ScoreParams,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """One hop: send along the out-edges, reduce per (walk, node), keep the new pairs.
 
     ``rows`` and ``walks`` are the counts of frontier rows and of walks; they decide
-    how the frontier meets the edges.
+    how the frontier meets the edges. With ``ends(node_id)`` only pairs at those nodes
+    are kept; what was sent is narrowed, so that the edges stay where they are.
 
     The partial aggregation runs before the shuffle, so a node with many parents costs
     one row per task. The visited pairs are keyed like the groups and join in place.
@@ -159,15 +168,17 @@ def propagate(
         *keys,
         F.col("dst").alias("node_id"),
         "dst_type",
-        F.col("n_paths").cast("double").alias("n_paths"),
+        "n_paths",
         (F.col("hier") + F.when(F.col("inherits"), weight).otherwise(F.lit(0.0))).alias("hier"),
         weight.alias("edge"),
         "lower_bound",
         "src",
     )
+    if ends is not None:
+        sent = sent.join(ends, "node_id", "left_semi")
     reduced = sent.groupBy(*keys, "node_id").agg(
         F.min("dst_type").alias("type_id"),
-        F.least(F.sum("n_paths"), F.lit(MAX_PATHS)).cast("bigint").alias("n_paths"),
+        F.sum("n_paths").alias("n_paths"),
         F.max("hier").alias("hier"),
         F.max("edge").alias("edge"),
         F.sum("lower_bound").alias("parents_bound"),
@@ -241,6 +252,9 @@ def star_visit(
     elif params.stop == "coverage":
         rule = coverage_stops
         stars, n_stars = ws.save(star_totals(uses, graph, targets), "stars")
+    elif targets is not None and not params.prune:
+        rule = link_stops
+        stars, n_stars = ws.save(pair_totals(uses, start, keys, targets), "stars")
 
     last = params.max_hops if answers_only else None
     while rows and (params.max_hops is None or hop < params.max_hops):
@@ -257,10 +271,12 @@ def star_visit(
                 break
             active = uses.join(stops, ["query_id", "star_id"], "left_anti").select(*keys).distinct()
             frontier = frontier.join(active, list(keys), "left_semi")
-        reach = graph
-        if hop + 1 == last:
-            reach = replace(graph, edges=wanted_edges(graph.edges, uses, targets))
-        fresh = propagate(frontier, rows, hops[0], state(0, hop), reach, keys, hop + 1, params)
+        reach, ends = graph, None
+        if hop + 1 == last and targets is not None:
+            ends = targets.select("node_id").distinct()
+        elif hop + 1 == last:
+            reach = replace(graph, edges=wanted_edges(graph.edges, uses))
+        fresh = propagate(frontier, rows, hops[0], state(0, hop), reach, keys, hop + 1, params, ends)
         hop += 1
         rows = ws.write(fresh, f"state/dist={hop}")
         hops.append(rows)

@@ -44,6 +44,10 @@ class ScoreParams:
             raise ValueError(f"unknown stop rule: {self.stop}")
         if self.prune not in (None, "bound"):
             raise ValueError(f"unknown prune rule: {self.prune}")
+        if not 0 < self.alpha < 1 or not 0 <= self.beta <= 1:
+            raise ValueError("alpha must lie between 0 and 1, beta from 0 to 1: other values void the caps")
+        if self.max_hops is not None and self.max_hops < 0:
+            raise ValueError("max_hops must not be negative")
         if self.k < 1 or (self.star_k is not None and self.star_k < 1):
             raise ValueError("k must be at least 1")
         if self.early_stop and self.prune:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierwalk.operators.batch import Batch
-from tierwalk.operators.chain import general_query
+from tierwalk.operators.chain import general_query, join_chain, link_candidates
 from tierwalk.operators.graph import Graph, build_graph, graph_fraction, lay_out
-from tierwalk.operators.star import batch_star_query
+from tierwalk.operators.star import STAR, batch_star_query
 from tierwalk.params import Domain, ScoreParams
 from tierwalk.sources.text import read_edge_list, read_node_info, read_queries
+from tierwalk.workspace import Workspace
 
 # Fixed values of the experiments, and the names of their files per graph ratio.
 SWEEP_K = (1, 2, 5, 10, 15, 20, 25, 30)
@@ -43,23 +45,43 @@ def top_k_sweep(
 def chain_k_sweep(
     graph: Graph, batch: Batch, domain: Domain, params: ScoreParams, ks=SWEEP_K
 ) -> DataFrame:
-    """General answers for several k. k also limits what each star hands to the chain,
-    so every k is a run of its own."""
-    runs = [
-        general_query(graph, batch, domain, params.with_(k=k, star_k=None)).select(F.lit(k).alias("k"), "*")
-        for k in ks
-    ]
+    """General answers for several k. k also limits what each star hands to the chain.
+
+    Star answers at k are the first k of those at the largest, and links at k are those
+    between them, so the visits run once; only the chains are joined for each k.
+    """
+    if params.prune:
+        raise ValueError("with pruning the answers for k are no prefix: run each k apart")
+    ws = Workspace(graph.spark, "sweep")
+    params = params.with_(k=max(ks), star_k=None)
+    answers, _ = ws.save(batch_star_query(graph, batch, domain, params), "answers")
+    links, _ = ws.save(link_candidates(graph, batch, answers, domain, params), "links")
+    runs = []
+    for k in ks:
+        kept = answers.filter(F.col("rank") <= k)
+        ends = kept.select("query_id", "star_id", "node_id")
+        sources = ends.withColumnRenamed("node_id", "source_id")
+        targets = ends.select("query_id", (F.col("star_id") - 1).alias("star_id"), F.col("node_id").alias("target_id"))
+        between = links.join(sources, [*STAR, "source_id"], "left_semi")
+        between = between.join(targets, [*STAR, "target_id"], "left_semi")
+        rows = join_chain(Workspace(graph.spark, f"sweep-{k}"), batch, kept, between, k)
+        runs.append(rows.select(F.lit(k).alias("k"), "*"))
     return reduce(DataFrame.unionByName, runs)
 
 
 def size_sweep(
-    graph: Graph, batch: Batch, domain: Domain, params: ScoreParams, ratios=SWEEP_RATIOS
+    graph: Graph,
+    batch: Batch | Callable[[float], Batch],
+    domain: Domain,
+    params: ScoreParams,
+    ratios=SWEEP_RATIOS,
 ) -> DataFrame:
-    """The workload on growing fractions of the graph."""
-    runs = [
-        (ratio, run_workload(graph_fraction(graph, ratio) if ratio < 1 else graph, batch, domain, params))
-        for ratio in ratios
-    ]
+    """A workload on growing fractions of the graph: one for all, or one per ratio."""
+    runs = []
+    for ratio in ratios:
+        part = graph_fraction(graph, ratio) if ratio < 1 else graph
+        queries = batch(ratio) if callable(batch) else batch
+        runs.append((ratio, run_workload(part, queries, domain, params)))
     return _by_ratio(runs)
 
 

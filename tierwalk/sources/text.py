@@ -158,12 +158,23 @@ def pick_seeds(nodes: DataFrame, n: int, types=SEED_TYPES, stride: int = SEED_ST
 
 
 def _line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a query file with a unique number that increases along the file.
+    """Lines of a query file with their positions among the lines that are not blank, from 0.
 
-    It follows from the scan's partition and position, so it needs no shuffle, and has
-    gaps where a large file is split.
+    The scan's partition and place order the lines; one row per partition is added up
+    to tell where each begins.
     """
-    return spark.read.text(path).withColumn("query_id", F.monotonically_increasing_id())
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).withColumn("place", place).filter(F.trim("value") != "")
+    lines = lines.withColumn("part", F.shiftright("place", 33))
+    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    return (
+        lines.withColumn("local", local)
+        .join(offsets, "part")
+        .select("value", (F.col("offset") + F.col("local")).cast("bigint").alias("query_id"))
+    )
 
 
 def read_edge_list(spark: SparkSession, path: str, sep: str = "\t", strict: bool = False) -> DataFrame:
