@@ -470,8 +470,8 @@ def coverage_link_visit(spark, folder):
 
 def removed_edges_query(spark, folder):
     sold = spark.read.parquet(f"{folder}/lineitem.parquet").filter("l_returnflag = 'R'")
-    part, order = F.col("l_partkey"), F.col("l_orderkey") + 4 * ID_SPAN
-    pairs = sold.select(part.alias("src"), order.alias("dst")).union(sold.select(order, part))
+    part, supplier = F.col("l_partkey"), F.col("l_suppkey") + ID_SPAN
+    pairs = sold.select(part.alias("src"), supplier.alias("dst")).union(sold.select(supplier, part))
     graph = remove_edges(graph_of(spark, folder), pairs)
     return _answers(batch_star_query(graph, chain_batch(spark, STAR_ONLY), COMMERCE, PARAMS))
 
@@ -649,8 +649,8 @@ def _link_visit_sql(hops, **options) -> str:
 
 def _removed_sql() -> str:
     sold = "SELECT 1 FROM lineitem WHERE l_returnflag = 'R'"
-    left = f"""SELECT * FROM all_edges e WHERE NOT EXISTS ({sold} AND l_partkey = e.src AND l_orderkey + 4000000000 = e.dst)
-    AND NOT EXISTS ({sold} AND l_partkey = e.dst AND l_orderkey + 4000000000 = e.src)"""
+    left = f"""SELECT * FROM all_edges e WHERE NOT EXISTS ({sold} AND l_partkey = e.src AND l_suppkey + 1000000000 = e.dst)
+    AND NOT EXISTS ({sold} AND l_partkey = e.dst AND l_suppkey + 1000000000 = e.src)"""
     nodes, one_way, edges = o.graph_ctes()
     ctes = [nodes, one_way, edges.replace("edges AS", "all_edges AS", 1), f"edges AS MATERIALIZED ({left})"]
     ctes += o.query_ctes(STAR_ONLY) + o.visit_ctes(HOPS) + o.answer_ctes(K)

@@ -6,10 +6,12 @@ from tierwalk.operators.graph import (
     Graph,
     build_graph,
     build_property_graph,
+    close_graph,
     graph_fraction,
     graph_stats,
     lay_out,
     lookup_nodes,
+    open_graph,
     preview,
     remove_edges,
     triplets,
@@ -42,6 +44,7 @@ __all__ = [
     "build_property_graph",
     "candidates",
     "chain_batch",
+    "close_graph",
     "compare_hierarchy",
     "general_query",
     "graph_fraction",
@@ -49,6 +52,7 @@ __all__ = [
     "lay_out",
     "link_candidates",
     "lookup_nodes",
+    "open_graph",
     "preview",
     "remove_edges",
     "score_nodes",

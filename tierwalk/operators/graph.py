@@ -44,6 +44,7 @@ class Graph:
     hubs: DataFrame | None = None
     hubs_bounded: bool = False
     n_pieces: int = 0
+    table: str | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -121,6 +122,9 @@ def lay_out(
     Edges go to a parquet table bucketed and sorted by source. A source may hold a
     large share of all edges, so hubs are cut into pieces of about ``piece_rows`` edges
     by a hash of the target, and each piece has a bucket key of its own.
+
+    With ``path`` the layout stays there for ``open_graph``; without, it goes with the
+    application. What is written on the way always does.
     """
     spark = graph.spark
     ws = Workspace(spark, "graph")
@@ -138,6 +142,8 @@ def lay_out(
         ),
         "hubs",
     )
+    if path:
+        hubs.write.parquet(f"{root}/hubs")
     arcs, key, n_pieces = written, "src", 0
     if n_hubs:
         n_pieces = hubs.agg(F.sum("pieces")).first()[0]
@@ -167,6 +173,9 @@ def lay_out(
     nodes, _ = ws.save(nodes, "completed")
     ranged = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
     ranged.write.parquet(f"{root}/nodes")
+    if path:
+        facts = [(buckets, key, n_pieces, bounded)]
+        spark.createDataFrame(facts, LAYOUT_FACTS).coalesce(1).write.parquet(f"{root}/layout")
     return Graph(
         spark.read.schema(nodes.schema).parquet(f"{root}/nodes"),
         spark.table(table),
@@ -174,9 +183,39 @@ def lay_out(
         hubs=hubs if n_hubs else None,
         hubs_bounded=bounded,
         n_pieces=n_pieces,
+        table=table,
+    )
+
+
+LAYOUT_FACTS = "buckets int, key string, n_pieces bigint, bounded boolean"
+
+
+def open_graph(spark: SparkSession, path: str) -> Graph:
+    """A graph that ``lay_out`` wrote to ``path``, in any session; nothing is read or written for it."""
+    facts = spark.read.schema(LAYOUT_FACTS).parquet(f"{path}/layout").first()
+    table = f"tierwalk_edges_{uuid.uuid4().hex}"
+    columns = spark.read.parquet(f"{path}/edges").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({facts.key})"
+        f" SORTED BY ({facts.key}) INTO {facts.buckets} BUCKETS LOCATION '{path}/edges'"
+    )
+    return Graph(
+        spark.read.parquet(f"{path}/nodes"),
+        spark.table(table),
+        buckets=facts.buckets,
+        hubs=spark.read.parquet(f"{path}/hubs") if facts.n_pieces else None,
+        hubs_bounded=facts.bounded,
+        n_pieces=facts.n_pieces,
+        table=table,
     )
 
 
+def close_graph(graph: Graph) -> None:
+    """Forget the catalog entry of a laid out graph; its files stay."""
+    if graph.table:
+        graph.spark.sql(f"DROP TABLE IF EXISTS {graph.table}")
+
+
 def build_property_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give string ids dense long ids, from 1 in id order; attributes are kept.
 
