@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -27,6 +28,11 @@ HEADLINE = (
     "top_k_sweep",
     "answer_paths",
     "size_sweep",
+    "star_visit_pruned",
+    "star_visit_coverage",
+    "shortest_path",
+    "chain_k_sweep",
+    "chain_three_fixpoint",
 )
 
 
@@ -38,6 +44,7 @@ def session(cpus: str) -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-", dir="/tmp"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
