@@ -148,6 +148,74 @@ QUALIFY row_number() OVER w <= 10
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN array_to_string(words, ' ')
+    ELSE array_to_string(words[i:i + 3], ' ') END AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+  FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * common >= 80 * (p.n + q.n - common)
+), both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (
+  SELECT a, a FROM both_ways UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other
+), least AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id,
+  d.doc_id = coalesce(component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least c ON c.doc_id = d.doc_id
+"""
+
+OP8_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), starts AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS passage
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM w WHERE len(words) >= 35)
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM starts
+  WHERE passage IN (SELECT passage FROM starts GROUP BY passage HAVING count(*) > 1)
+), places AS (
+  SELECT doc_id, i, words[i] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w)
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM places p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id
+), removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(r.n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(k.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id LEFT JOIN removed r ON r.doc_id = w.doc_id
+"""
+
+OP10_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), starts AS MATERIALIZED (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 100)) AS passage
+  FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)
+), first AS MATERIALIZED (SELECT passage, min(doc_id) AS doc_id FROM starts GROUP BY passage HAVING min(doc_id) < max(doc_id)),
+gone AS MATERIALIZED (
+  SELECT DISTINCT s.doc_id, unnest(range(i, i + 50)) AS i
+  FROM starts s JOIN first f ON f.passage = s.passage AND f.doc_id < s.doc_id
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS NULL OR before < i - 1) AS n_spans
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM gone) GROUP BY doc_id
+), places AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM d)),
+kept AS (
+  SELECT doc_id, string_agg(b, '' ORDER BY i) AS h FROM places p
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = p.doc_id AND g.i = p.i) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(r.n_removed, 0)::BIGINT AS n_removed,
+  coalesce(r.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, ''))) AS kept_sha256
+FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -162,6 +230,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_minhash_dedup": OP3_SQL,
+    "op8_substring_dedup": OP8_SQL,
+    "op10_suffix_dedup": OP10_SQL,
     "op6_exact_topk": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
 }
