@@ -90,6 +90,9 @@ class Lattice:
         matches = np.fromiter(itertools.chain.from_iterable(words.automaton.iter(text)), np.int64).reshape(-1, 2)
         last, code = matches[:, 0], matches[:, 1]
         length = words.length[code]
+        # A chunk may end in spaces, at the end of a text: pieces of spaces must not run on into the next chunk.
+        within = last - length + 1 >= (np.cumsum(size) - size)[owner[last]]
+        last, code, length = last[within], code[within], length[within]
         weight = -alpha * words.log_rank[code]
         alone = np.ones(len(text), bool)
         alone[last[length == 1]] = False
