@@ -32,6 +32,9 @@ from tierwalk.llm.batches import Texts, coded, mix, pieces
 
 SPACE, MARK = " ", "▁"
 
+#: Bytes of text whose lattices are held at a time, at about a hundred times their size.
+BATCH_BYTES = 1 << 20
+
 
 class Vocabulary:
     """Pieces as text (the mark as a space), their bytes, weights and an automaton that finds them."""
@@ -200,7 +203,7 @@ def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, BATCH_BYTES):
             names = (str(k) for k in batch.column(0).to_pylist())
             keys = np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in names), np.uint64, batch.num_rows)
             ids, offsets = encode_texts(Texts(batch.column(1)), keys, words, alpha)
