@@ -5,7 +5,8 @@
    that have its gram; such blocks hand out their windows one by one.
 2. These windows are counted; those seen twice are recurring passages too.
 3. Documents are dealt to shards of bounded size. Each shard compiles one Aho-Corasick automaton over
-   sequences of words from the passages confirmed for it, and streams all its documents through. What a match covers is cut out.
+   sequences of words, one for each different run of confirmed passages in it, and streams all its
+   documents through. What a match covers is cut out.
 
 Shards grow in number with the corpus and not in size, and each gets only the passages that occur in it, so work
 and memory follow the text. Counts are summed per task before they are shuffled.
@@ -86,6 +87,18 @@ def probe_windows(docs: pa.Table, marks: pa.Table, window: int, gram: int) -> pa
     return pa.table({"value": _signed(value), "shard": pa.array(np.full(len(value), shard, np.int32)), "n": n.astype(np.int64)})
 
 
+def passages(marked: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, stop) of the longest marked runs inside single texts."""
+    opens, shuts = np.zeros(len(marked) + 1, bool), np.zeros(len(marked) + 1, bool)
+    opens[:-1], shuts[1:] = marked, marked
+    inner = first[(first > 0) & (first < len(marked))]
+    opens[1:-1] &= ~marked[:-1]
+    opens[inner] = marked[inner]
+    shuts[1:-1] &= ~marked[1:]
+    shuts[inner] = marked[inner - 1]
+    return np.flatnonzero(opens), np.flatnonzero(shuts)
+
+
 def cut_shard(texts: Texts, marks: pa.Table, window: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(what is kept of each text, its words, its words removed)."""
     words = Words(texts)
@@ -93,14 +106,14 @@ def cut_shard(texts: Texts, marks: pa.Table, window: int, gram: int) -> tuple[li
     n_words = np.diff(words.first)
     found = blocks(words.hashed(), words.first, window, gram)
     settled = np.flatnonzero(_among(found.value, _sorted(marks, SETTLED)))
-    settled = settled[np.unique(found.value[settled], return_index=True)[1]]
     start, stop = found.first[settled], found.last[settled] + window
     single = _sorted(marks, SINGLE)
     if len(single):
-        runs = found.hashes.runs(window)
-        at = np.flatnonzero(_among(runs, single) & inside(words.first, len(words), window))
-        at = at[np.unique(runs[at], return_index=True)[1]]
+        at = np.flatnonzero(_among(found.hashes.runs(window), single) & inside(words.first, len(words), window))
         start, stop = np.append(start, at), np.append(stop, at + window)
+    start, stop = passages(covered(len(words), start, stop), words.first)
+    some = np.unique(found.hashes.of(start, stop), return_index=True)[1]
+    start, stop = start[some], stop[some]
     gone = np.zeros(len(words), bool)
     if len(start):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
