@@ -17,19 +17,26 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierwalk.llm.batches import Texts, Words, pieces
 
-#: Distinct words whose ids a task remembers from batch to batch.
+#: Distinct words whose ids a worker remembers from batch to batch and task to task.
 REMEMBERED = 300_000
 
+#: Plain words that go to the library at a time, the mark of a word end in the vocabulary, and the parts it cuts words into.
+TOGETHER, WORD_END = 256, "</w>"
+_PLAIN = regex.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\xac\xae-\u024f]+$")
+_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
 
 @functools.lru_cache(2)
 def _tokenizer(path: str):
@@ -43,19 +50,45 @@ class Encoder:
     """Whole texts to ids, calling the library once per distinct word of a batch.
 
     Right for tokenizers that never join characters across white space and drop it, so that a
-    text's ids are those of its words one after another.
+    text's ids are those of its words one after another. If the vocabulary marks word ends,
+    plain words go to the library many at a time, and their ids are told apart by counting the marks.
     """
 
     def __init__(self, path: str):
         self.tokenizer, self.known = _tokenizer(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("i", x.ids).tobytes() for x in made]
+
+    def _encoded_together(self, words: list[str]) -> list[bytes]:
+        """Of words without special strings, below U+0250."""
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        out = []
+        for group, data in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
+            marks = np.flatnonzero(self.ends[np.frombuffer(data, np.int32)])
+            parts = np.cumsum([len(_PART.findall(w.lower())) for w in group])
+            if parts[-1] != len(marks):  # not a vocabulary of this kind
+                out += self._encoded(group)
+                continue
+            stops = (4 * (marks[parts - 1] + 1)).tolist()
+            out += [data[a:b] for a, b in zip([0, *stops], stops)]
+        return out
 
-    def _ids(self, distinct: list[bytes]) -> list[list[int]]:
+    def _ids(self, distinct: list[bytes]) -> list[bytes]:
         new = [w for w in distinct if w not in self.known]
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.asarray(x.ids, np.int32) for w, x in zip(new, made, strict=True)}
-        out = [fresh[w] if w in fresh else self.known[w] for w in distinct]
-        for w in new[: max(0, REMEMBERED - len(self.known))]:
-            self.known[w] = fresh[w]
+        words = [w.decode() for w in new]
+        plain = [bool(_PLAIN.match(w)) for w in words]
+        alone = iter(self._encoded([w for w, p in zip(words, plain, strict=True) if not p]))
+        together = iter(self._encoded_together([w for w, p in zip(words, plain, strict=True) if p]))
+        fresh = {w: next(together if p else alone) for w, p in zip(new, plain, strict=True)}
+        known = self.known
+        out = [fresh[w] if w in fresh else known[w] for w in distinct]
+        for w in new[: max(0, REMEMBERED - len(known))]:
+            known[w] = fresh[w]
         return out
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,9 +96,9 @@ class Encoder:
         words = Words(texts)
         codes, distinct = words.coded()
         ids = self._ids(distinct.to_pylist())
-        width = np.fromiter((len(x) for x in ids), np.int64, len(ids))
+        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         begin = np.cumsum(width) - width
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        flat = np.frombuffer(b"".join(ids), np.int32)
         each = width[codes] if len(codes) else np.zeros(0, np.int64)
         total = np.append(0, np.cumsum(each))
         offsets = total[words.first] + np.arange(len(texts) + 1)
@@ -77,12 +110,17 @@ class Encoder:
         return out, offsets
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode every row and write the files. One shuffle, of the texts, by ranges of the key."""
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, first = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, first = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in pieces(batches, text):
             ids, offsets = encoder.encode(Texts(batch.column(1)), end)
             n = np.diff(offsets)
