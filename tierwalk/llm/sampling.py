@@ -28,12 +28,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from tierwalk.llm.anchors import ranges
 from tierwalk.llm.batches import Texts, coded, mix, pieces
 
 SPACE, MARK = " ", "▁"
 
-#: Bytes of text whose lattices are held at a time, at about a hundred times their size.
-BATCH_BYTES = 1 << 20
+#: Bytes of text that are encoded together, and characters of distinct chunks whose lattices are held
+#: at a time, at about three hundred bytes each.
+BATCH_BYTES, LATTICE_CHARS = 5 << 20, 200_000
 
 
 class Vocabulary:
@@ -87,10 +89,10 @@ class Lattice:
     def __init__(self, words: Vocabulary, chunks: list[str], alpha: float):
         text = "".join(chunks)
         size = np.fromiter((len(c) for c in chunks), np.int64, len(chunks))
-        owner = np.repeat(np.arange(len(chunks)), size)
+        owner = np.repeat(np.arange(len(chunks), dtype=np.int32), size)
         self.start = np.cumsum(size) - size + np.arange(len(chunks))
         self.stop = self.start + size
-        matches = np.fromiter(itertools.chain.from_iterable(words.automaton.iter(text)), np.int64).reshape(-1, 2)
+        matches = np.fromiter(itertools.chain.from_iterable(words.automaton.iter(text)), np.int32).reshape(-1, 2)
         last, code = matches[:, 0], matches[:, 1]
         length = words.length[code]
         # A chunk may end in spaces, at the end of a text: pieces of spaces must not run on into the next chunk.
@@ -110,15 +112,17 @@ class Lattice:
         length = np.concatenate([length, np.ones(len(alone), np.int64)])
         weight = np.concatenate([weight, -alpha * words.byte_log_rank * width[np.asarray(extra, np.int64)]])
         stop = last + 1 + owner[last]
-        order = np.lexsort((-weight, stop))  # likely edges first, so a draw looks at few
-        stop, code, weight = stop[order], code[order], weight[order]
+        # The automaton reports by place, the longest piece first; only fallback characters are out of place.
+        order = np.argsort(stop, kind="stable") if len(alone) else slice(None)
+        stop, code, weight, last = stop[order], code[order], weight[order], last[order]
         source = stop - length[order]
         nodes = len(text) + len(chunks)
-        self.first = np.searchsorted(stop, np.arange(nodes + 1))
+        self.first = np.append(0, np.cumsum(np.bincount(stop, minlength=nodes)))
         # Forward: all chunks advance together, one character at a time.
-        depth = stop - self.start[owner[last[order]]]
-        by_depth = np.argsort(depth, kind="stable")
-        bounds = np.searchsorted(depth[by_depth], np.arange(1, int(size.max(initial=0)) + 2))
+        depth = stop - self.start[owner[last]]
+        longest = int(size.max(initial=0))
+        by_depth = np.argsort(depth.astype(np.uint16) if longest < 1 << 16 else depth, kind="stable")
+        bounds = np.append(0, np.cumsum(np.bincount(depth, minlength=longest + 1)[1:]))
         total = np.zeros(nodes)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             at = by_depth[a:b]
@@ -184,17 +188,31 @@ def encode_texts(texts: Texts, keys: np.ndarray, words: Vocabulary, alpha: float
     codes, distinct = coded(data, start, stop)
     if not len(codes):
         return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-    lattice = Lattice(words, [c.decode() for c in distinct.to_pylist()], alpha)
     owner = np.searchsorted(texts.offsets, start, side="right") - 1
     place = mix(keys[owner] ^ mix((start - texts.offsets[owner]).astype(np.uint64) + np.uint64(1)))
-    drawn, count = lattice.draw(codes, place)
-    width = lattice.width[drawn]
-    total = np.append(0, np.cumsum(width))
-    within = np.arange(total[-1]) - np.repeat(total[:-1], width)
-    ids = lattice.ids[np.repeat(lattice.begin[drawn], width) + within]
+    chunks = [c.decode() for c in distinct.to_pylist()]
+    by_code = np.argsort(codes, kind="stable")
+    ends = np.cumsum(np.bincount(codes, minlength=len(chunks)))
+    size = np.cumsum([len(c) for c in chunks])
+    n_ids, parts, at = np.zeros(len(codes), np.int64), [], 0
+    while at < len(chunks):
+        stop_at = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + LATTICE_CHARS, side="right")))
+        mine = by_code[ends[at - 1] if at else 0 : ends[stop_at - 1]]
+        lattice = Lattice(words, chunks[at:stop_at], alpha)
+        drawn, count = lattice.draw(codes[mine] - at, place[mine])
+        width = lattice.width[drawn]
+        total = np.append(0, np.cumsum(width))
+        begin = lattice.begin[drawn]
+        ids = lattice.ids[np.repeat(begin - total[:-1], width) + np.arange(total[-1])]
+        n_ids[mine] = np.diff(total[np.append(0, np.cumsum(count))])
+        parts.append((mine, ids))
+        at = stop_at
+    total = np.append(0, np.cumsum(n_ids))
+    out = np.zeros(total[-1], np.int32)
+    for mine, ids in parts:
+        out[ranges(total[mine], total[mine + 1])] = ids
     first = np.searchsorted(start, texts.offsets)  # first chunk of each text
-    pieces_before = np.append(0, np.cumsum(count))
-    return ids, total[pieces_before[first]]
+    return out, total[first]
 
 
 def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
