@@ -32,8 +32,11 @@ from tierwalk.llm.anchors import Blocks, blocks, covered, inside, ranges
 from tierwalk.llm.batches import Texts, mix, pieces
 from tierwalk.workspace import Workspace
 
-#: Bytes of a window, of a gram, and of text in a shard.
-WINDOW, GRAM, SHARD_BYTES = 50, 20, 8 << 20
+#: Bytes of a window, of a gram, and of text in a shard or batch, which takes a hundred times as much while it is hashed.
+WINDOW, GRAM, SHARD_BYTES = 50, 20, 2 << 20
+
+#: Shards whose entries meet in one partition of the order.
+SHARDS_PER_PART = 4
 
 #: Byte values as 64-bit tokens.
 _TOKENS = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
@@ -94,7 +97,7 @@ def first_digits(texts: DataFrame, n_parts: int, window: int, gram: int) -> Data
     """Packed entries (gram, block, document, shard), each block once per batch and shard, dealt by gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", SHARD_BYTES):
             found, owner = _blocks(Texts(batch.column(2)), window, gram)
             ids, valid = _ids(batch.column(1))
             at = np.flatnonzero(valid[owner]) if len(owner) else owner
@@ -223,15 +226,16 @@ def drop_repeats(
     docs = docs.drop(*added)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n_shards = int(size // shard_bytes) + 1
+    n_parts = n_shards // SHARDS_PER_PART + 1
     shard = F.pmod(F.xxhash64(key, text), F.lit(n_shards)).cast("int")
     texts = docs.select(shard.alias("shard"), F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = docs.select(shard.alias("shard"), F.struct(*docs.columns).alias("row"))
 
-    entries = first_digits(texts, n_shards, window, gram)
+    entries = first_digits(texts, n_parts, window, gram)
     replies, _ = space.save(entries.groupBy("part").applyInArrow(order_blocks, _REPLY), "blocks")
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        return last_digits(left, right, n_shards, window, gram)
+        return last_digits(left, right, n_parts, window, gram)
 
     probed = replies.where(F.col("kind") == PROBED)
     windows = texts.groupBy("shard").cogroup(probed.groupBy("shard")).applyInArrow(probe, "part int, payload binary")
