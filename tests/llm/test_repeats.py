@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +14,9 @@ from llm_brute import cut_words, drop_bytes, near_duplicates
 
 from tierwalk.llm import minhash, phrases, suffixes
 from tierwalk.llm.anchors import RangeHash, blocks
+from tierwalk.llm.batches import Texts
 from tierwalk.llm.components import components
+from tierwalk.llm.shingles import BANDS, ROWS, band_keys, shingle_sets, signatures
 from tierwalk.workspace import Workspace
 
 
@@ -46,6 +49,32 @@ def test_links_lost_to_the_pivot_are_found(spark, monkeypatch):
     assert ordered(got) == ordered(near_duplicates(rows, 4, 80))
 
 
+def foreign_pivot(seed: int) -> tuple[list[tuple], bool]:
+    """Two linked texts and one that is linked with neither but sits in all their common buckets; whether these come after a band
+    that is equal in its low bytes only, and the third is in most buckets."""
+    dice = random.Random(seed)
+    names = [f"w{dice.randrange(10**9)}" for _ in range(120)]
+    common, a, b = names[:100], names[:110], names[:100] + names[110:]
+    sets = shingle_sets(Texts(pa.array([*names, " ".join(a), " ".join(b)])), 1)
+    minima = signatures(sets)
+    equal = (minima[-2] == minima[-1]).reshape(BANDS, ROWS)
+    low = (minima[-2].astype(np.uint8) == minima[-1].astype(np.uint8)).reshape(BANDS, ROWS)
+    shared = np.flatnonzero(equal.all(axis=1))
+    mid = [w for n, w in enumerate(common) if (minima[n].reshape(BANDS, ROWS)[shared] == minima[-2].reshape(BANDS, ROWS)[shared]).any()]
+    third = band_keys(signatures(shingle_sets(Texts(pa.array([" ".join(mid)])), 1)))[0]
+    keys = band_keys(minima[-2:])
+    alone = [((keys[i] == third) & (keys[0] != keys[1])).any() for i in (0, 1)]
+    fits = len(shared) > 0 and low.all(axis=1)[: shared[0]].any() and all(alone) and len(mid) < 80
+    return [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(mid))], fits
+
+
+def test_a_band_of_equal_low_bytes_is_no_bucket(spark):
+    rows, fits = foreign_pivot(2571)
+    assert fits
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=1).collect()
+    assert ordered(got) == ordered(near_duplicates(rows, 1, 80))
+
+
 def test_components(spark):
     dice = random.Random(3)
     pairs = [(dice.randrange(200), dice.randrange(200)) for _ in range(120)] + [(n, n + 1) for n in range(300, 330)] + [(400, n) for n in range(401, 450)]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm.batches import Texts, pieces
 from tierwalk.llm.components import components
-from tierwalk.llm.shingles import BANDS, N_MINIMA, ROWS, band_keys, linked, set_hashes, shingle_sets, signatures
+from tierwalk.llm.shingles import BANDS, N_MINIMA, band_keys, linked, set_hashes, shingle_sets, signatures
 from tierwalk.workspace import Workspace
 
 #: Members of a bucket that one task compares with each other.
@@ -69,19 +69,19 @@ def sketches(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(id, signature, set) of rows, the set as bytes of ascending hashes."""
+    """(id, signature, set, bands) of rows: the set as bytes of ascending hashes, the bands as bytes of their keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             sets = shingle_sets(Texts(batch.column(1)), size)
-            low = signatures(sets).astype(np.uint8)
+            signature = signatures(sets)
+            columns = (signature.astype(np.uint8), sets, band_keys(signature))
             yield pa.record_batch(
-                [batch.column(0), pa.array([r.tobytes() for r in low], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                ["id", "signature", "words"],
+                [batch.column(0), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in columns)], ["id", "signature", "words", "keys"]
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"id {kind}, signature binary, words binary")
+    return docs.select(key, text).mapInArrow(run, f"id {kind}, signature binary, words binary, keys binary")
 
 
 def _agreement(column: pa.Array, other: pa.Array) -> np.ndarray:
@@ -108,16 +108,18 @@ def _confirm(pairs: DataFrame, percent: int, kind: str) -> DataFrame:
     return pairs.select(*columns).mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def spanning_links(label: np.ndarray, part: np.ndarray, band: int, signature: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def spanning_links(
+    label: np.ndarray, part: np.ndarray, band: int, signature: np.ndarray, keys: np.ndarray, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
     """Links between members of different labels, as many as it takes to join what is linked.
 
     Only pairs whose first common band is ``band`` count, as others meet in an earlier bucket, and, if there are two parts, only
-    pairs across them.
+    pairs across them. Bands are compared by ``keys``, which the buckets are made of: low bytes also agree where no bucket is shared.
     """
     n, least = len(label), least_agreement(percent)
     _, group = np.unique(label, return_inverse=True)
     size = np.array([len(s) for s in sets])
-    earlier = signature[:, : band * ROWS].reshape(n, band, ROWS)
+    earlier = keys[:, :band]
     waiting, out = np.ones(n, bool), []
     across = len(np.unique(part)) > 1
     for p in np.argsort(np.bincount(group)[group], kind="stable").tolist():
@@ -127,7 +129,7 @@ def spanning_links(label: np.ndarray, part: np.ndarray, band: int, signature: np
             fit &= part != part[p]
         near = np.flatnonzero(fit)
         near = near[(signature[near] == signature[p]).sum(axis=1) >= least]
-        near = near[~(earlier[near] == earlier[p]).all(axis=2).any(axis=1)] if band else near
+        near = near[~(earlier[near] == earlier[p]).any(axis=1)]
         if not len(near):
             continue
         flat = np.concatenate([sets[q] for q in near])
@@ -200,16 +202,18 @@ def _rest(pivoted: DataFrame, labels: DataFrame, members: DataFrame, percent: in
     own = F.pmod(F.xxhash64("id"), parts).cast("int")
     dealt = open_rows.select("bucket", "band", "id", "label", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     dealt = dealt.withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")}).drop("other")
-    dealt = dealt.join(members, "id").select("bucket", "x", "y", "band", "id", "label", "part", "signature", "words")
+    dealt = dealt.join(members, "id").select("bucket", "x", "y", "band", "id", "label", "part", "signature", "words", "keys")
 
     def run(table: pa.Table) -> pa.Table:
         names = table.column("id").combine_chunks()
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, N_MINIMA)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
         sets = [np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()]
         # In the order of ids, so that a repeated task finds the same links.
         order = np.argsort(names.to_numpy(zero_copy_only=False), kind="stable")
         label, part = (table.column(c).to_numpy()[order] for c in ("label", "part"))
-        found = spanning_links(label, part, table.column("band")[0].as_py(), signature[order], [sets[i] for i in order], percent)
+        band = table.column("band")[0].as_py()
+        found = spanning_links(label, part, band, signature[order], keys[order], [sets[i] for i in order], percent)
         a, b = ([int(order[pair[side]]) for pair in found] for side in (0, 1))
         return pa.table({"a": names.take(pa.array(a, pa.int64())), "b": names.take(pa.array(b, pa.int64()))})
 
