@@ -75,6 +75,14 @@ def test_a_band_of_equal_low_bytes_is_no_bucket(spark):
     assert ordered(got) == ordered(near_duplicates(rows, 1, 80))
 
 
+def test_rows_of_one_id_join_their_classes(spark):
+    x, y, z = (" ".join(f"{c}{n}" for n in range(60)) for c in "xyz")
+    near = z.replace("z30 ", "other ")
+    rows = [(1, x), (5, x), (5, y), (9, y), (9, ""), (9, None), (12, z), (13, near), (13, y), (14, ""), (14, "  "), (20, "p q r s t"), (20, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=4).collect()
+    assert ordered(got) == ordered(near_duplicates(rows, 4, 80))
+
+
 def test_components(spark):
     dice = random.Random(3)
     pairs = [(dice.randrange(200), dice.randrange(200)) for _ in range(120)] + [(n, n + 1) for n in range(300, 330)] + [(400, n) for n in range(401, 450)]

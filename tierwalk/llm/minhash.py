@@ -13,8 +13,8 @@ errors below the threshold), full sets confirm.
 
 Defined results: a document without words has an empty set and is linked with nothing; one with
 fewer words than a shingle has one shingle, the whole sequence; a null id takes no part in links, is
-kept and has no component; rows of one id are one document for linking and keep a row each; all
-columns but id and text are ignored; an empty table gives no rows.
+kept and has no component; rows of one id are one document for linking, also if their texts differ or some have no words, and keep a
+row each; all columns but id and text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -76,9 +76,10 @@ def _sets_of(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
             sets = shingle_sets(Texts(batch.column(1)), size)
             signature = signatures(sets)
             columns = (signature.astype(np.uint8), sets, band_keys(signature))
-            yield pa.record_batch(
+            whole = pa.record_batch(
                 [batch.column(0), *(pa.array([r.tobytes() for r in c], pa.binary()) for c in columns)], ["id", "signature", "words", "keys"]
             )
+            yield whole.filter(pa.array([len(s) > 0 for s in sets], pa.bool_()))  # a repeated id may also have rows without words
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"id {kind}, signature binary, words binary, keys binary")
@@ -152,6 +153,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         F.min("id").alias("first"), F.count(F.lit(1)).alias("n")
     )
     classes, _ = space.save(classes, "classes")
+    # Ids whose rows have different sets join the classes of these.
+    several = all_sketches.where("id IS NOT NULL").groupBy("id").agg(
+        F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high")
+    )
+    several, n_several = space.save(several.where("low <> high").select("id"), "several")
     # Classes of equal size of set and bands: the rows of their first documents.
     firsts = all_sketches.join(classes.select(F.col("first").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
     banded = firsts.select("id", F.posexplode("bands").alias("band", "bucket"))
@@ -170,6 +176,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
         members.select(F.col("id").alias("pivot"), F.col("signature").alias("pivot_signature"), F.col("words").alias("pivot_words")), "pivot"
     )
     links, _ = space.save(_confirm(pairs, percent, kind), "links")
+    if n_several:
+        same = all_sketches.join(several, "id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("first").alias("a"), F.col("id").alias("b"))
+        same, _ = space.save(same.where("a <> b").distinct(), "same")
+        links = links.unionByName(same)
     labels, _ = space.save(components(links, space, "near"), "labels")
     rest = _rest(pivoted, labels, members, percent, kind)
     more, n_more = space.save(rest, "more")
@@ -181,7 +191,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     # Only classes of several rows, or linked with others, say more than the row's own id.
     named = named.where((F.col("n") > 1) | (F.col("component") != F.col("first"))).select("s1", "s2", "component")
     out = all_sketches.select("id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    none = F.col("id")
+    if n_several:  # a row without words goes with the other rows of its id
+        out = out.join(several.join(labels, F.col("id") == F.col("node")).select("id", F.col("component").alias("of_id")), "id", "left")
+        none = F.coalesce("of_id", "id")
+    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(none)
     own = F.when(F.col("id").isNotNull(), own)
     return out.select(
         F.col("id").alias(key),
