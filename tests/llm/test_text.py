@@ -175,6 +175,16 @@ def test_classifier_on_held_out_ratings(spark):
     assert (held.p_ge_1 >= held.p_ge_2).all() and held.groupby("grade").expected_grade.mean().is_monotonic_increasing
 
 
+def test_classifier_counts_a_repeated_id_once(spark):
+    rows = [(i, f"{'good fine' if i % 3 else 'bad poor'} text number{i % 7}") for i in range(60)]
+    ratings = spark.createDataFrame([(i, 2 if i % 3 else i % 2) for i in range(60)], "doc_id bigint, grade int")
+    once, often = (
+        ordinal.fit(spark.createDataFrame(r, "doc_id bigint, text string"), ratings, n_grades=3, z=1.0) for r in (rows, rows + rows[:1] * 300)
+    )
+    assert len(once.features) and np.array_equal(once.features, often.features)
+    assert np.allclose(once.thresholds, often.thresholds) and np.allclose(once.weights, often.weights)
+
+
 def test_classifier_edges(spark, docs, no_docs):
     none = spark.createDataFrame([], "doc_id bigint, grade int")
     model = ordinal.fit(docs, none, n_grades=3)

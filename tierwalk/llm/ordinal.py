@@ -12,7 +12,7 @@ the sample on those features are few enough for the driver, where weights and th
 
 Defined results: a null or empty text has no features and scores 0; a null id is scored like any
 other; repeated rows get equal scores; ratings without a grade, or of texts that are not there, are ignored, repeated ratings
-all count; without any rating every text gets the top grade; texts of any length are read whole; an empty
+all count; a rating of an id that several rows have is one of a single text, the one that hashes lowest; without any rating every text gets the top grade; texts of any length are read whole; an empty
 table gives no rows.
 """
 
@@ -175,8 +175,12 @@ def fit(
         .orderBy(F.xxhash64("_id"), "_id", "grade")
         .limit(sample)
     )
+    drawn, _ = space.save(drawn, "drawn")
     # At most ``sample`` short rows, so safe to broadcast.
-    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn), "_id")
+    texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(drawn.select("_id").distinct()), "_id", "left_semi")
+    # One text per id, or a repeated id would outweigh the others and outgrow the sample.
+    one = F.min(F.struct(F.col("text").isNull().alias("void"), F.xxhash64("text").alias("hash"), "text"))
+    texts = texts.groupBy("_id").agg(one.alias("one")).select("_id", "one.text").join(F.broadcast(drawn), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
