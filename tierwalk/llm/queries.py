@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, interactions, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
 from tierwalk.llm.ship import ship
 from tierwalk.workspace import Workspace
 
@@ -216,6 +216,53 @@ FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id LEFT JOIN kept k ON k.doc_id = d.
 """
 
 
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    counted = interactions.outcomes(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return interactions.audit(counted, "ABCDE")
+
+
+OP11_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), texts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+rated AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN least < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN texts ON texts.t = d.t LEFT JOIN rated ON rated.doc_id = d.doc_id
+), cells AS MATERIALIZED (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6))::INTEGER AS step)
+), judged AS (
+  SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS mine, fails = letter AS lonely,
+    length(translate(fails, before, '')) < length(fails) AS gone FROM cells, steps
+), out AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT mine AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mine AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mine AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (lonely), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (mine AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (mine AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM out
+"""
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -227,12 +274,14 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_interactions": op11_filter_interactions,
 }
 
 ORACLE = {
     "op3_minhash_dedup": OP3_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op11_filter_interactions": OP11_SQL,
     "op6_exact_topk": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
 }
