@@ -66,11 +66,12 @@ class Texts:
 
 
 class Words:
-    """Words (maximal runs of other than space and \\x09-\\x0D) of texts: start, stop, and the first word of each text."""
+    """Words (maximal runs of bytes that are no ``gap``: by default other than space and \\x09-\\x0D) of texts: start, stop,
+    and the first word of each text."""
 
-    def __init__(self, texts: Texts):
+    def __init__(self, texts: Texts, gap: np.ndarray = IS_SPACE):
         self.texts = texts
-        space = IS_SPACE[texts.bytes]
+        space = gap[texts.bytes]
         edge = np.ones(len(space) + 1, dtype=bool)
         edge[:-1] = space
         before = np.ones(len(space) + 1, dtype=bool)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, interactions, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, divergence, interactions, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
 from tierwalk.llm.ship import ship
 from tierwalk.workspace import Workspace
 
@@ -263,6 +263,51 @@ SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGI
 """
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    found = divergence.audit(table(spark, folder, "documents"), part="lang", group="source")
+    return found.select(
+        F.col("part").alias("lang"), F.col("grp").alias("source"), F.col("kind").alias("part"), "item", "value", "rank"
+    )
+
+
+OP12_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents
+), w AS MATERIALIZED (SELECT r, lang, source, unnest(words) AS term FROM d),
+kept AS MATERIALIZED (
+  SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 10
+), groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+counts AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.total
+  FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL) c
+    ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS MATERIALIZED (
+  SELECT lang, source, term, n,
+    1 + (1000000000 * (n + 2)) // ((sum(n) OVER s) + 2 * count(*) OVER s)::HUGEINT AS p,
+    1 + (1000000000 * (total + 2)) // ((sum(total) OVER s) + 2 * count(*) OVER s)::HUGEINT AS q
+  FROM counts WINDOW s AS (PARTITION BY lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE n > 0 AND p > q
+), both_kinds AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+  SELECT lang, source, 'term' AS part, item, value FROM terms
+)
+SELECT *, (row_number() OVER k)::INTEGER AS rank FROM both_kinds
+WINDOW k AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER k <= 10
+"""
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -275,6 +320,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_interactions": op11_filter_interactions,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLE = {
@@ -282,6 +328,7 @@ ORACLE = {
     "op8_substring_dedup": OP8_SQL,
     "op10_suffix_dedup": OP10_SQL,
     "op11_filter_interactions": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
     "op6_exact_topk": OP6_SQL,
     "op7_chat_formatting": OP7_SQL,
 }
