@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwalk.llm import chat, counts, decontam, divergence, interactions, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk
+from tierwalk.llm import chat, counts, decontam, divergence, interactions, minhash, ordinal, phrases, sampling, suffixes, tokenfile, topk, toxicity
 from tierwalk.llm.ship import ship
 from tierwalk.workspace import Workspace
 
@@ -308,6 +308,18 @@ QUALIFY part = 'pair' OR row_number() OVER k <= 10
 """
 
 
+def held_out(key: str) -> Column:
+    """Whether a row is in the fifth that no label is learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, folder, "labels").where(~held_out("doc_id")))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_sentencepiece_sampling": op2_sentencepiece_sampling,
@@ -321,6 +333,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_filter_interactions": op11_filter_interactions,
     "op12_source_divergence": op12_source_divergence,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE = {
