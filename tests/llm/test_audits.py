@@ -142,8 +142,9 @@ def test_divergence(spark, monkeypatch):
     docs = spark.createDataFrame(rows, ROWS).repartition(3)
     docs = docs.select("*", *(F.lit("own").alias(c) for c in ("part", "grp", "term", "n", "total", "shard", "item", "value", "rank", "kind")))
     want = brute_divergence(rows, 10)
-    for shard in (divergence.SHARD, 100):  # in one shard and in many
+    for shard in (divergence.LARGEST, 100):  # in one shard and in many
         monkeypatch.setattr(divergence, "SHARD", shard)
+        monkeypatch.setattr(divergence, "LARGEST", shard)
         got = divergence.audit(docs.select("*")).select("part", "grp", "kind", "item", "value", "rank").collect()
         assert sorted(map(tuple, got)) == want
     assert divergence.audit(spark.createDataFrame([], ROWS)).collect() == []

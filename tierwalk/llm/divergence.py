@@ -39,8 +39,8 @@ GAP[65:91] = GAP[97:123] = GAP[128:] = False
 SCALE = 1_000_000_000
 #: Rows that hold a kept term, at least; rows of the ``term`` part per group.
 LEAST, BEST = 10, 10
-#: Counts in a shard, cells a side of a leaf, leaves compared at a time.
-SHARD, LEAF, WIDE = 1_000_000, 32, 8
+#: Counts in a shard: as many as it gives sums per pair, within these bounds. Cells a side of a leaf, leaves compared at a time.
+SHARD, LARGEST, LEAF, WIDE = 100_000, 2_000_000, 32, 8
 
 COUNTS = "part string, grp string, term string, n bigint, n_rows bigint"
 
@@ -241,7 +241,9 @@ def audit(docs: DataFrame, part: str = "lang", group: str = "source", text: str
     kept = named.groupBy("part", "term").agg(F.sum("n_rows").alias("n_rows"), F.sum("n").alias("total"))
     kept, _ = ws.save(kept.where(F.col("n_rows") >= least).drop("n_rows"), "kept")
     posts, n_posts = ws.save(named.drop("n_rows").join(kept, ["part", "term"]), "posts")
-    shards = max(1, -(-n_posts // SHARD))
+    in_part = counts.where(F.col("term").isNull()).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    n_pairs = in_part.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0]
+    shards = max(1, -(-n_posts // min(max(SHARD, n_pairs), LARGEST)))
 
     sizes = kept.groupBy("part").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("total"))
     sums = posts.groupBy("part", "grp").agg(F.sum("n").alias("n"))
