@@ -86,6 +86,50 @@ def test_sampled_pieces_decode_to_the_text(docs, corpus):
     assert sorted(map(tuple, other), key=repr) != sorted(map(tuple, again), key=repr)
 
 
+def test_decoding_where_it_was_drawn(docs, corpus):
+    tokens = sampling.encode(docs, PIECE, alpha=0.3, seed=7, decoded="back")
+    assert "MapInArrow" in (plan := tokens._jdf.queryExecution().executedPlan().toString()) and plan.count("MapInArrow") == 1
+    got = tokens.collect()
+    apart = {(r["doc_id"], r["text"], tuple(r["ids"])) for r in sampling.decode(sampling.encode(docs, PIECE, alpha=0.3, seed=7), PIECE).collect()}
+    assert {(r["doc_id"], r["back"], tuple(r["ids"])) for r in got} == apart
+    assert sorted((r["back"] for r in got)) == sorted(t or "" for _, t in corpus)
+
+
+def test_no_key_is_no_text(spark):
+    text = "the same words of both rows " * 20
+    rows = spark.createDataFrame([(None, text), ("None", text), ("", text)], "doc_id string, text string")
+    drawn = {r["doc_id"]: tuple(r["ids"]) for r in sampling.encode(rows, PIECE, alpha=0.1).collect()}
+    assert len(set(drawn.values())) == 3
+
+
+def test_sampling_of_much_text_stays_small():
+    """Twenty megabytes in one batch, and a long text without spaces, are encoded and decoded in bounded parts."""
+    import tracemalloc
+
+    words = sampling.vocabulary(PIECE)
+    dice = random.Random(1)
+    body = " ".join("".join(dice.choice("abcdeéß日") for _ in range(dice.randrange(1, 9))) for _ in range(400))
+    batch = pa.record_batch([pa.array([body] * 8000), pa.array(range(8000))], ["text", "doc_id"])
+    assert batch.nbytes > 20 << 20
+    tracemalloc.start()
+    rows = 0
+    for part in sampling.pieces(iter([batch]), "text", sampling.BATCH_BYTES):
+        ids, offsets = sampling.encode_texts(Texts(part.column(0)), sampling.row_keys(part.column(1), 0), words, 1.0)
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+        for some in sampling._by_ids(pa.record_batch([lists], ["ids"]), 0):
+            back = sampling.decode_lists(some.column(0), words)
+            assert back.unique().to_pylist() == [body]
+            rows += len(back)
+        if rows > 3000:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
+    endless = "".join(dice.choice("abcdeé日x1") for _ in range(150_000))
+    ids, offsets = sampling.encode_texts(Texts(pa.array([endless])), np.ones(1, np.uint64), words, 1.0)
+    assert sampling.decode_lists(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)), words).to_pylist() == [endless]
+
+
 def test_segmentations_are_drawn_by_their_weight():
     words, alpha, n = sampling.vocabulary(PIECE), 0.4, 20_000
     lattice = sampling.Lattice(words, [" hello"], alpha)

@@ -26,8 +26,8 @@ def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_sentencepiece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    tokens = sampling.encode(table(spark, folder, "documents"), model)
-    return sampling.decode(tokens, model).select(
+    tokens = sampling.encode(table(spark, folder, "documents"), model, decoded="text")
+    return tokens.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.to_json("ids"), 256).alias("ids_sha256"),

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 
@@ -33,45 +34,58 @@ from tierwalk.llm.batches import Texts, coded, mix, pieces
 
 SPACE, MARK = " ", "▁"
 
-#: Bytes of text that are encoded together, and characters of distinct chunks whose lattices are held
-#: at a time, at about three hundred bytes each.
-BATCH_BYTES, LATTICE_CHARS = 5 << 20, 200_000
+#: Bytes of text that are encoded together, characters of distinct chunks whose lattices are held
+#: at a time, at about three hundred bytes each, and pieces that are decoded together, at about two hundred.
+BATCH_BYTES, LATTICE_CHARS, DECODED = 3 << 20, 200_000, 400_000
 
 
-class Vocabulary:
-    """Pieces as text (the mark as a space), their bytes, weights and an automaton that finds them."""
+class Pieces:
+    """The bytes of each piece, the mark as a space; all that decoding needs."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = model.get_piece_size()
-        self.automaton = ahocorasick.Automaton()
-        self.byte_id = np.zeros(256, np.int64)
         self.raw: list[bytes] = []
-        self.length = np.zeros(self.size, np.int64)
-        rank = np.zeros(self.size)
         for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                byte = int(piece[1:-1], 16)
-                self.byte_id[byte] = i
-                self.raw.append(bytes([byte]))
+                self.raw.append(bytes([int(piece[1:-1], 16)]))
             elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 self.raw.append(b"")
             else:
+                self.raw.append(piece.replace(MARK, SPACE).encode())
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.ends = np.append(0, np.cumsum([len(r) for r in self.raw]))
+
+
+class Vocabulary(Pieces):
+    """Pieces with their weights and an automaton that finds them in a text."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__(path)
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.automaton = ahocorasick.Automaton()
+        self.byte_id = np.zeros(256, np.int64)
+        self.length = np.zeros(self.size, np.int64)
+        rank = np.zeros(self.size)
+        for i in range(self.size):
+            piece = model.id_to_piece(i)
+            if model.is_byte(i):
+                self.byte_id[int(piece[1:-1], 16)] = i
+            elif self.raw[i]:
                 text = piece.replace(MARK, SPACE)
                 if SPACE in text.lstrip(SPACE):
                     raise ValueError(f"piece {i} holds a space after another character")
                 self.automaton.add_word(text, i)
-                self.raw.append(text.encode())
                 self.length[i] = len(text)
             rank[i] = min(max(-model.get_score(i), 0.0), self.size)
         self.automaton.make_automaton()
         self.log_rank = np.log(rank + 2)
         self.byte_log_rank = float(np.log(self.size + 2))
-        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
-        self.ends = np.append(0, np.cumsum([len(r) for r in self.raw]))
 
 
 @functools.lru_cache(2)
@@ -79,6 +93,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.lru_cache(2)
+def piece_bytes(path: str) -> Pieces:
+    return Pieces(path)
+
+
 class Lattice:
     """The lattices of distinct chunks, side by side; node = place between two characters of one chunk.
 
@@ -215,23 +234,48 @@ def encode_texts(texts: Texts, keys: np.ndarray, words: Vocabulary, alpha: float
     return out, total[first]
 
 
-def encode(docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids: array<int>), a sampled segmentation of every row. No shuffle."""
+def row_keys(keys: pa.Array, seed: int) -> np.ndarray:
+    """A hash of each key; none is a key of its own, whatever a text may say."""
+    none = xxhash.xxh3_64_intdigest(b"\xff", seed)  # no text in UTF-8
+    names = (none if k is None else xxhash.xxh3_64_intdigest(str(k), seed) for k in keys.to_pylist())
+    return np.fromiter(names, np.uint64, len(keys))
+
+
+def encode(
+    docs: DataFrame, path: str, alpha: float = 1.0, seed: int = 0, key: str = "doc_id", text: str = "text", decoded: str | None = None
+) -> DataFrame:
+    """(key, ids: array<int>), a sampled segmentation of every row. No shuffle.
+
+    With ``decoded`` also the text that the ids give back, under that name, decoded where they were drawn."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path)
         for batch in pieces(batches, text, BATCH_BYTES):
-            names = (str(k) for k in batch.column(0).to_pylist())
-            keys = np.fromiter((xxhash.xxh3_64_intdigest(k, seed) for k in names), np.uint64, batch.num_rows)
-            ids, offsets = encode_texts(Texts(batch.column(1)), keys, words, alpha)
+            ids, offsets = encode_texts(Texts(batch.column(1)), row_keys(batch.column(0), seed), words, alpha)
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.record_batch([batch.column(0), lists], [key, "ids"])
+            out = pa.record_batch([batch.column(0), lists], [key, "ids"])
+            if decoded is None:
+                yield out
+            else:
+                yield from (part.append_column(decoded, decode_lists(part.column(1), words)) for part in _by_ids(out, 1))
+
+    text_field = f", `{decoded}` string" if decoded else ""
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>{text_field}")
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
+def _by_ids(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``DECODED`` ids."""
+    size = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, base + DECODED, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
-def decode_lists(lists: pa.ListArray, words: Vocabulary) -> pa.Array:
+
+def decode_lists(lists: pa.ListArray, words: Pieces) -> pa.Array:
     ids = lists.flatten().to_numpy(zero_copy_only=False)
     width = np.diff(words.ends)[ids]
     total = np.append(0, np.cumsum(width))
@@ -250,9 +294,10 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     at = tokens.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
+        words = piece_bytes(path)
         for batch in batches:
-            yield batch.append_column("text", decode_lists(batch.column(at), words))
+            for part in _by_ids(batch, at):
+                yield part.append_column("text", decode_lists(part.column(at), words))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields)
     return tokens.mapInArrow(run, f"{fields}, text string")
