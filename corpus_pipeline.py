@@ -52,10 +52,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_pieces, ids): a reproducible sampled segmentation of each text."""
+    """(doc_id, n_pieces, ids, text_sha256): a reproducible sampled segmentation of each text, and the digest of the text
+    that the ids decode to."""
     ship(spark)
-    tokens = sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    tokens = sampling.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), decoded=f"{OWN}text")
+    n_pieces = F.size("ids").cast("long").alias("n_pieces")
+    return tokens.select("doc_id", n_pieces, "ids", F.sha2(f"{OWN}text", 256).alias("text_sha256"))
 
 
 STAGES = [
@@ -63,7 +65,7 @@ STAGES = [
     ("MinHash near-dedup", near_duplicates),
     ("substring dedup", repeated_passages),
     ("benchmark decontamination", decontaminate),
-    ("SentencePiece encoding", encode),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 #: None, as a trained classifier has no counterpart in SQL.
