@@ -167,10 +167,10 @@ def items(spark, rows):
 def test_decontamination_is_exact(spark):
     """All pairs within the budget are found and no others, items of any length."""
     dice, letters = random.Random(4), "abcdefgh "
-    benchmark = [(n, "".join(dice.choice(letters) for _ in range(size)).strip() or "a") for n, size in enumerate((9, 14, 30, 45, 80, 120, 300))]
+    benchmark = [(n, "".join(dice.choice(letters) for _ in range(size)).strip() or "a") for n, size in enumerate((9, 13, 14, 15, 16, 30, 45, 80, 120, 300))]
     benchmark += [(90, None), (None, "x" * 40), (91, ""), (92, "tiny")]
     texts = []
-    for _, item in benchmark[:7]:
+    for _, item in benchmark[:10]:
         for k in range(9):
             body = list(item)
             for _ in range(k):
@@ -189,16 +189,53 @@ def test_decontamination_is_exact(spark):
                 continue
             if len(body) < decontam.Q:
                 want |= {n} if body == normal else set()
-            elif edits(body, normal) <= min(int(decontam.RATE * len(body)), (len(body) - decontam.Q) // decontam.Q):
+            elif edits(body, normal) <= int(decontam.RATE * len(body)):
                 want.add(n)
         assert got[i] == want, (i, text)
 
 
+def test_one_edit_of_short_items(spark):
+    found = decontam.find(spark.createDataFrame([(1, "xx abcdefghijkm yy"), (2, "abcdefgh jklmno"), (3, "xx abcdefgijkm yy")], "doc_id bigint, text string"), items(spark, [(1, "abcdefghijklm"), (2, "abcdefghijklmno")]))
+    assert {r["doc_id"]: [tuple(h) for h in r["hits"]] for r in found.collect()} == {1: [(1, 1)], 2: [(1, 1), (2, 1)], 3: []}
+
+
+def test_a_repeated_character_costs_no_memory():
+    """A ruled line of a megabyte against an item with blanks to fill in."""
+    import tracemalloc
+
+    item = "fill in: " + "_" * 200 + " and then sign"
+    block = decontam.index(np.array([7]), pa.array([item]))
+    texts = decontam.normal(pa.array(["x" + "_" * 1_000_000, "-_" * 20_000, item.replace("and", "amd"), "_" * 150]))
+    tracemalloc.start()
+    found = decontam.search(texts, block)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+    assert found == [(2, 7, 1)]
+
+
+def test_random_runs_against_all_edits():
+    """Texts and items of very few letters, where grams repeat, against edit distances."""
+    dice = random.Random(9)
+    for trial in range(40):
+        bench = ["".join(dice.choice("aab") * dice.randrange(1, 9) for _ in range(dice.randrange(2, 14)))[: dice.randrange(9, 60)] for _ in range(4)]
+        bench = [b for b in bench if len(b) >= decontam.Q]
+        bodies = []
+        for _ in range(6):
+            body = list(dice.choice(bench))
+            for _ in range(dice.randrange(6)):
+                at = dice.randrange(len(body))
+                body[at] = dice.choice(["", "c", body[at] * 2])
+            bodies.append("a" * dice.randrange(30) + "".join(body) + "b" * dice.randrange(30))
+        got = {(r, i) for r, i, _ in decontam.search(decontam.normal(pa.array(bodies)), decontam.index(np.arange(len(bench)), pa.array(bench)))}
+        want = {(r, i) for r, t in enumerate(bodies) for i, b in enumerate(bench) if edits(b.encode(), t.encode()) <= int(decontam.RATE * len(b))}
+        assert got == want, trial
+
+
 def test_decontamination_edges(spark, docs, no_docs, monkeypatch):
     long_item = " ".join(f"token{n}" for n in range(200))
     benchmark = items(spark, [(1, long_item), (1, "another text of the same item")])
     holder = spark.createDataFrame([(1, "x " + long_item[700:1300] + " y"), (None, "Another  text\tof the SAME item"), (None, None)], "doc_id bigint, text string")
-    for limit in (decontam.BLOCK_BYTES, 100):  # in one block and in several
+    for limit in (decontam.BLOCK_BYTES, 1000):  # in one block and in several
         monkeypatch.setattr(decontam, "BLOCK_BYTES", limit)
         assert [[h["item_id"] for h in r["hits"]] for r in decontam.find(holder, benchmark).collect()] == [[1], [1], []]
     assert decontam.find(no_docs, benchmark).collect() == []
