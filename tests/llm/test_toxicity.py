@@ -34,7 +34,7 @@ def test_automata_accept_what_is_near(k):
         terms = sorted({"".join(dice.choice("abé") for _ in range(dice.randint(1, 7))) for _ in range(15)})
         words = ["".join(dice.choice("abéc") for _ in range(dice.randint(0, 10))) for _ in range(60)] + terms
         entries = [(i, t, i % 3 == 0) for i, t in enumerate(terms)]
-        got = {(int(w), int(e)): int(c) for w, e, c in zip(*intersect(build(entries), Letters(words, 7, k), k), strict=True)}
+        got = {(int(w), int(e)): int(c) for w, e, c in zip(*intersect(build(entries), Letters(pa.array(words), 7, k), k), strict=True)}
         want = {}
         for w, word in enumerate(words):
             for e, term, stem in entries:

@@ -13,8 +13,14 @@ import functools
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from tierwalk.llm.batches import mix
 
 DEAD = -1
+#: Letters of an entry that are read for whole groups of words.
+TOP = 3
 
 
 @dataclass(frozen=True)
@@ -87,46 +93,84 @@ def build(entries: list[tuple[int, str, bool]]) -> Node:
 
 
 class Letters:
-    """Words as rows of code points, as many as the longest entry needs."""
+    """Words as code points, a row per place, as many as the longest entry needs.
+
+    Words that begin alike are in the same state for the first letters of an entry, so the walk starts from the
+    distinct beginnings of ``TOP`` letters and what an automaton sees beyond them.
+    """
+
+    def __init__(self, words: pa.Array, longest: int, edits: int):
+        words = pc.utf8_slice_codeunits(words, 0, longest + edits + 1) if len(words) else words
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        self.length, self.pad = size, edits + 1
+        width = self.pad + longest + 2 * edits + 3
+        by_word = np.zeros(len(size) * width, np.uint32)
+        first = np.arange(len(size)) * width + self.pad
+        by_word[np.arange(len(flat)) + np.repeat(first - np.cumsum(size) + size, size)] = flat
+        self.codes = np.ascontiguousarray(by_word.reshape(len(size), width).T)
+
+    def groups(self, edits: int) -> Groups:
+        """Words that an automaton cannot tell apart in the first ``TOP`` letters of an entry."""
+        key = np.zeros(len(self.length), np.uint64)
+        for row in self.codes[self.pad : self.pad + TOP + edits + 1]:
+            key = mix(key ^ row.astype(np.uint64)) + np.uint64(1)
+        order = np.argsort(key)
+        new = np.append(True, key[order][1:] != key[order][:-1])[: len(key)]
+        return Groups(order, np.append(np.flatnonzero(new), len(key)))
+
+
+@dataclass(frozen=True)
+class Groups:
+    order: np.ndarray
+    first: np.ndarray
 
-    def __init__(self, words: list[str], longest: int, edits: int):
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
-        self.pad, self.reach = edits + 1, longest + edits + 1
-        self.codes = np.zeros((len(words), self.pad + self.reach + edits + 2), np.uint32)
-        if words:
-            body = np.array(words, f"<U{self.reach}")
-            self.codes[:, self.pad : self.pad + self.reach] = body.view(np.uint32).reshape(len(words), self.reach)
+    def words(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words of some groups, the place of each one's group among them)."""
+        width = self.first[groups + 1] - self.first[groups]
+        at = np.repeat(self.first[groups] - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        return self.order[at], np.repeat(np.arange(len(groups)), width)
 
 
 def intersect(root: Node, letters: Letters, edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, entry, edits) for every entry within ``edits`` of a word, or of a beginning of it if the entry is a stem."""
     table = automaton(edits)
-    every = np.arange(len(letters.length))
-    stack = [(root, 0, every, np.zeros(len(every), np.int32))]
+    groups = letters.groups(edits)
+    sample = groups.order[groups.first[:-1]]
+    # (node, depth, are these groups, groups or words, states)
+    stack = [(root, 0, True, np.arange(len(sample)), np.zeros(len(sample), np.int32))]
     words, entries, costs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
-    shift = letters.pad - edits - 1
+    shift, width = letters.pad - edits - 1, 2 * edits + 3
     while stack:
-        node, depth, who, state = stack.pop()
-        near = letters.codes[who, :][:, shift + depth : shift + depth + 2 * edits + 3]
+        node, depth, grouped, who, state = stack.pop()
+        if grouped and depth == TOP:
+            who, number = groups.words(who)
+            state, grouped = state[number], False
+        at = sample[who] if grouped else who
+        near = [letters.codes[shift + depth + b][at] for b in range(width)]
         for code, child in node.below.items():
-            mask = (near == code) @ (1 << np.arange(2 * edits + 3))
+            mask = np.zeros(len(at), np.uint8)
+            for b, row in enumerate(near):
+                mask |= (row == code).view(np.uint8) << np.uint8(b)
             new = table.step[state, mask]
             alive = np.flatnonzero(new >= 0)
             if not len(alive):
                 continue
             some, new = who[alive], new[alive]
-            left = letters.length[some] - depth - 1
-            for entry, cost in ((child.term, table.whole), (child.stem, table.beginning)):
+            for entry, cost, whole in ((child.term, table.whole, True), (child.stem, table.beginning, False)):
                 if entry is None:
                     continue
-                fits = left >= -edits
-                if entry == child.term:
-                    fits &= left <= edits
-                paid = cost[new, np.clip(left, -edits, edits) + edits]
+                these, states = some, new
+                if grouped:
+                    these, number = groups.words(some)
+                    states = new[number]
+                left = letters.length[these] - depth - 1
+                fits = (left >= -edits) & ((left <= edits) | (not whole))
+                paid = cost[states, np.clip(left, -edits, edits) + edits]
                 good = np.flatnonzero(fits & (paid <= edits))
-                words.append(some[good])
+                words.append(these[good])
                 entries.append(np.full(len(good), entry))
                 costs.append(paid[good])
             if child.below:
-                stack.append((child, depth + 1, some, new))
+                stack.append((child, depth + 1, grouped, some, new))
     return np.concatenate(words), np.concatenate(entries), np.concatenate(costs)

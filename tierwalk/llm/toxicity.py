@@ -11,7 +11,8 @@ The window of ``WINDOW`` words on both sides scales it: words inside quotation m
 near, are mentioned rather than used and count less; an unquoted word near one of address counts more. A text's sum of these,
 also by length, the distinct entries and the largest single weight go into a logistic regression.
 
-Training looks at ``sample`` labels at most, those whose ids hash lowest, and at one text of each; it keeps ``most`` entries at most. Counts
+Training looks at ``sample`` labels at most, those whose ids hash lowest, and at one text of each; near copies, those with the same least
+hash of three words, count as one text, toxic if one of them is, or every rare word of a text copied often would look toxic. It keeps ``most`` entries at most. Counts
 are made by Spark; the driver sees the entries, the spellings that several texts of the sample share, and five numbers per text of the sample.
 
 Defined results: a null or empty text has no words; a null id is scored like any other; repeated rows get equal scores; an id with
@@ -36,10 +37,11 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm.automaton import Letters, Node, build, intersect
 from tierwalk.llm.batches import Texts, Words, pieces
+from tierwalk.llm.batches import windows as three_words
 from tierwalk.workspace import Workspace
 
-#: Labels that training looks at, entries it keeps, texts an entry needs, and standard errors and odds it needs.
-SAMPLE, MOST, SUPPORT, Z, ODDS = 20_000, 2_000, 5, 5.0, 3.0
+#: Labels that training looks at, entries it keeps, texts and share of the toxic texts an entry needs, and standard errors and odds it needs.
+SAMPLE, MOST, SUPPORT, SHARE, Z, ODDS = 20_000, 2_000, 5, 0.01, 5.0, 3.0
 #: Letters of the shortest and longest stem, and of the longest word that can be an entry.
 SHORTEST, LONGEST, WORD = 3, 10, 24
 #: What one edit leaves of an entry's weight, and texts that a prior weight is worth.
@@ -57,7 +59,9 @@ REPORTING = frozenset(
     " dice dijo escribió llamó llamado cita citó palabra término".split()
 )
 ADDRESSING = frozenset("you your you're youre u du dein dich ihr euch tu toi ton vous votre eres tú usted vosotros".split())
-_RUN = re.compile(r"(.)\1{2,}")
+_RUN = re.compile(r"([a-z])\1{2,}")
+_RUNS = "|".join(f"{c}{{3}}" for c in "abcdefghijklmnopqrstuvwxyz")
+_OPENS, _CLOSES = f"^[{OPENING}]", f"[{CLOSING}][.,;:!?]*$"
 
 
 def budget(letters: str, stem: bool) -> int:
@@ -74,14 +78,17 @@ class Vocabulary:
     def __init__(self, words: Words):
         self.codes, distinct = words.coded()
         raw = distinct.cast(pa.string())
-        plain = pc.utf8_trim(pc.utf8_lower(raw), TRIM).to_pylist()
-        self.plain = [_RUN.sub(r"\1", w) if len(w) > 3 else w for w in plain]
-        ends = pc.utf8_rtrim(raw, ".,;:!?").to_pylist()
-        n = len(self.plain)
-        self.opens = np.fromiter((w[:1] in OPENING and w != "" for w in ends), bool, n)
-        self.closes = np.fromiter((w[-1:] in CLOSING and w != "" for w in ends), bool, n)
-        self.reports = np.fromiter((w in REPORTING for w in self.plain), bool, n)
-        self.addresses = np.fromiter((w in ADDRESSING for w in self.plain), bool, n)
+        self.plain = pc.utf8_trim(pc.utf8_lower(raw), TRIM)
+        runs = np.flatnonzero(pc.match_substring_regex(self.plain, _RUNS).to_numpy(zero_copy_only=False))
+        if len(runs):
+            mask = np.zeros(len(raw), bool)
+            mask[runs] = True
+            short = [_RUN.sub(r"\1", w) for w in self.plain.take(pa.array(runs)).to_pylist()]
+            self.plain = pc.replace_with_mask(self.plain, pa.array(mask), pa.array(short, pa.string()))
+        self.opens, self.closes = (pc.match_substring_regex(raw, p).to_numpy(zero_copy_only=False) for p in (_OPENS, _CLOSES))
+        self.reports, self.addresses = (
+            pc.is_in(self.plain, pa.array(sorted(some))).to_numpy(zero_copy_only=False) for some in (REPORTING, ADDRESSING)
+        )
 
 
 def windows(words: Words, known: Vocabulary, hits: np.ndarray) -> np.ndarray:
@@ -118,7 +125,7 @@ class Model:
     share: float = 0.0
     tries: list[tuple[int, Node]] | None = None
 
-    def matches(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, plain: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, entry, edits): the entry of least edits for each word that has one."""
         if self.tries is None:
             by_budget: dict[int, list] = {}
@@ -126,9 +133,10 @@ class Model:
                 by_budget.setdefault(budget(letters, stem), []).append((i, letters, stem))
             self.tries = [(k, build(some)) for k, some in sorted(by_budget.items())]
         longest = max((len(e) for e, _ in self.entries), default=0)
-        found = [intersect(trie, Letters(plain, longest, k), k) for k, trie in self.tries]
-        if not found:
+        if not self.tries:
             return (np.zeros(0, np.int64),) * 3
+        letters = Letters(plain, longest, max(k for k, _ in self.tries))
+        found = [intersect(trie, letters, k) for k, trie in self.tries]
         word, entry, edits = (np.concatenate(c) for c in zip(*found, strict=True))
         weight = self.by_edits[entry, edits] if len(self.by_edits) else np.zeros(len(word))
         order = np.lexsort((entry, -weight, edits, word))
@@ -145,7 +153,8 @@ class Model:
         known = Vocabulary(words)
         word, entry, edits = self.matches(known.plain)
         weight, which = np.zeros(len(known.plain)), np.zeros(len(known.plain), np.int64)
-        weight[word] = [self.by_form.get(known.plain[w], self.by_edits[e, k]) for w, e, k in zip(word.tolist(), entry.tolist(), edits.tolist(), strict=True)]
+        forms = known.plain.take(pa.array(word)).to_pylist()
+        weight[word] = [self.by_form.get(f, self.by_edits[e, k]) for f, e, k in zip(forms, entry.tolist(), edits.tolist(), strict=True)]
         which[word] = entry
         hits = np.flatnonzero(weight[known.codes] > 0)
         if not len(hits):
@@ -221,7 +230,14 @@ def fit(
     near = F.broadcast(drawn)
     texts = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(near, "_id")
     one = F.min(F.struct(F.col("text").isNull().alias("void"), F.xxhash64("text").alias("hash"), "text", "toxic"))
-    texts, n = space.save(texts.groupBy("_id").agg(one.alias("one")).select("one.text", "one.toxic"), "texts")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            yield batch.append_column("sign", pa.array(_signatures(Texts(batch.column(0))).view(np.int64)))
+
+    signed = texts.groupBy("_id").agg(one.alias("one")).select("one.text", "one.toxic").mapInArrow(sign, "text string, toxic int, sign bigint")
+    first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    texts, n = space.save(signed.groupBy("sign").agg(first, F.max("toxic").alias("toxic")).select("text", "toxic"), "texts")
     n_toxic = texts.agg(F.coalesce(F.sum("toxic"), F.lit(0))).first()[0]
     n_clean = n - n_toxic
     if not n_toxic or not n_clean:
@@ -236,7 +252,7 @@ def fit(
     spread = F.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
     share_toxic, share_clean = F.col("toxic") / n_toxic, (F.col("clean") + 0.5) / n_clean
     strength = ((share_toxic - F.col("clean") / n_clean) / spread).alias("strength")
-    clear = seen.where((F.col("toxic") >= SUPPORT) & (share_toxic >= ODDS * share_clean)).select("letters", "kind", strength)
+    clear = seen.where((F.col("toxic") >= max(SUPPORT, SHARE * n_toxic)) & (share_toxic >= ODDS * share_clean)).select("letters", "kind", strength)
     # Stems of one word go as one, so ten times as many as are kept.
     best = clear.where(F.col("strength") >= Z).orderBy(F.desc("strength"), F.desc(F.length("letters")), "kind", "letters").limit(10 * most).collect()
     model = Model(strongest([(r.strength, r.letters, r.kind == 1) for r in best], most), share=n_toxic / n)
@@ -296,17 +312,33 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["letters", "kind", "toxic", "clean"])
 
 
-def _held(texts: Texts) -> tuple[list[str], Iterator[np.ndarray]]:
+def _held(texts: Texts) -> tuple[pa.Array, Iterator[np.ndarray]]:
     """The plain words of a batch, and for each text the numbers of those it holds."""
     words = Words(texts)
     known = Vocabulary(words)
     return known.plain, (np.unique(known.codes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True))
 
 
+def _signatures(texts: Texts) -> np.ndarray:
+    """The least hash of three words in a row of each text; of fewer words, that of all."""
+    words = Words(texts)
+    hashed, count = words.hashed(), np.diff(words.first)
+    out = np.zeros(len(texts), np.uint64)
+    long = np.flatnonzero(count >= 3)
+    if len(long):
+        runs = np.append(three_words(hashed, 3), np.iinfo(np.uint64).max)
+        bounds = np.stack([words.first[long], words.first[long + 1] - 2], axis=1).ravel()
+        out[long] = np.minimum.reduceat(runs, bounds)[::2]
+    for n in np.flatnonzero((count > 0) & (count < 3)):
+        out[n] = np.bitwise_xor.reduce(hashed[words.first[n] : words.first[n + 1]])
+    return out
+
+
 def _candidates(texts: Texts, toxic: np.ndarray) -> Counter:
     """Texts per word (kind 0) and stem (kind 1), and label."""
     out: Counter = Counter()
-    plain, held = _held(texts)
+    known, held = _held(texts)
+    plain = known.to_pylist()
     for label, codes in zip(toxic.tolist(), held, strict=True):
         mine = {plain[c] for c in codes.tolist()}
         out.update((w, 0, label) for w in mine if 1 < len(w) <= WORD)
@@ -318,8 +350,9 @@ def _candidates(texts: Texts, toxic: np.ndarray) -> Counter:
 def _spellings(texts: Texts, toxic: np.ndarray, model: Model) -> Counter:
     """Texts per spelling of an entry, with the entry and its edits, and label."""
     out: Counter = Counter()
-    plain, held = _held(texts)
-    word, entry, edits = model.matches(plain)
+    known, held = _held(texts)
+    word, entry, edits = model.matches(known)
+    plain = known.to_pylist()
     kind = dict(zip(word.tolist(), (3 * entry + edits).tolist(), strict=True))
     for label, codes in zip(toxic.tolist(), held, strict=True):
         out.update({(plain[c], kind[c], label) for c in codes.tolist() if c in kind})
