@@ -13,14 +13,14 @@ from tierwalk.workspace import Workspace
 
 # A source with more edges than this is cut into pieces.
 PIECE_ROWS = 1_000_000
-# With the piece size also at least total / MAX_HUBS, no more sources than this can
-# exceed it: the bound that makes the table of hubs safe to broadcast.
-MAX_HUBS = 10_000
 BUCKET_ROWS = 5_000_000
 # Tables of up to this many rows (well under 100 MB) are broadcast.
 BROADCAST_ROWS = 200_000
 # Spark's own limit.
 MAX_BUCKETS = 100_000
+# With the piece size also at least total / MAX_HUBS, which is a bucket's share of the largest graphs, no more
+# sources than this can exceed it: the bound that makes the table of hubs safe to broadcast.
+MAX_HUBS = MAX_BUCKETS
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,8 @@ class Graph:
     hubs_bounded: bool = False
     n_pieces: int = 0
     table: str | None = None
+    #: Edges with a level beyond -1 to 1; None if nobody counted.
+    odd_levels: int | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -131,7 +133,8 @@ def lay_out(
     root = path or ws.path
     # Written first: counting, cutting and bucketing then read it instead of assembling
     # the edges again.
-    written, total = ws.save(graph.edges.select("src", "dst", "level", "dst_type"), "arcs")
+    arcs = graph.edges.select("src", "dst", "level", "dst_type")
+    written, total, odd_levels = ws.save_counting(arcs, "arcs", ~F.col("level").between(-1, 1))
 
     bounded = piece_rows is None
     size = piece_rows or max(PIECE_ROWS, -(-total // MAX_HUBS))
@@ -173,8 +176,11 @@ def lay_out(
     nodes, _ = ws.save(nodes, "completed")
     ranged = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
     ranged.write.parquet(f"{root}/nodes")
+    # The layout is whole; what it was made from would be a second copy of the graph.
+    ws.drop("arcs")
+    ws.drop("completed")
     if path:
-        facts = [(buckets, key, n_pieces, bounded)]
+        facts = [(buckets, key, n_pieces, bounded, odd_levels)]
         spark.createDataFrame(facts, LAYOUT_FACTS).coalesce(1).write.parquet(f"{root}/layout")
     return Graph(
         spark.read.schema(nodes.schema).parquet(f"{root}/nodes"),
@@ -184,10 +190,11 @@ def lay_out(
         hubs_bounded=bounded,
         n_pieces=n_pieces,
         table=table,
+        odd_levels=odd_levels,
     )
 
 
-LAYOUT_FACTS = "buckets int, key string, n_pieces bigint, bounded boolean"
+LAYOUT_FACTS = "buckets int, key string, n_pieces bigint, bounded boolean, odd_levels bigint"
 
 
 def open_graph(spark: SparkSession, path: str) -> Graph:
@@ -207,6 +214,7 @@ def open_graph(spark: SparkSession, path: str) -> Graph:
         hubs_bounded=facts.bounded,
         n_pieces=facts.n_pieces,
         table=table,
+        odd_levels=facts.odd_levels,
     )
 
 

@@ -1,7 +1,8 @@
 """Bound pruning: keep nodes that look hopeless from sending further.
 
 Every pair is on the frontier exactly once, so leaving it out there is the same as
-marking it. The upper bound sums visited seeds only and can drop true answers, which is
+marking it, and only nodes that the hop touched are judged: their totals run along, as do the best complete nodes of
+each star and the reached pairs of each link, so no hop reads the pairs of earlier ones. The upper bound sums visited seeds only and can drop true answers, which is
 why pruning is off unless asked for. The thresholds found after a hop apply to the next.
 """
 
@@ -10,22 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierwalk.operators.totals import NODE, STAR, Totals
 from tierwalk.params import RANK_DIGITS, ScoreParams
 from tierwalk.workspace import Workspace
 
-STAR = ["query_id", "star_id"]
 
-
-def topk_thresholds(nodes: DataFrame, k: int) -> DataFrame:
-    """Smallest lower bound and score among the k best complete nodes, for stars that
+def topk_thresholds(best: DataFrame, k: int) -> DataFrame:
+    """Smallest lower bound and score among the k best complete nodes (``place``), for stars that
     have more than k of them."""
-    order = Window.partitionBy(*STAR).orderBy(F.desc("score"), "node_id")
-    # One row beyond k tells whether there are more than k.
     return (
-        nodes.filter(F.col("wanted") & F.col("complete"))
-        .withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k + 1)
-        .groupBy(*STAR)
+        best.groupBy(*STAR)
         .agg(
             F.min(F.when(F.col("place") <= k, F.col("lower_bound"))).alias("theta_bound"),
             F.min(F.when(F.col("place") <= k, F.col("score"))).alias("theta_score"),
@@ -36,18 +31,13 @@ def topk_thresholds(nodes: DataFrame, k: int) -> DataFrame:
     )
 
 
-def pair_thresholds(
-    rows: DataFrame, nodes: DataFrame, targets: DataFrame, seed_scores: DataFrame, k: int
-) -> DataFrame:
+def pair_thresholds(pairs: DataFrame, seed_scores: DataFrame, k: int) -> DataFrame:
     """For links: the overall minima over all reached (source, target) pairs, for links
     that have more than k of them."""
-    pairs = (
-        rows.join(targets.select(*STAR, "node_id"), [*STAR, "node_id"], "left_semi")
-        .join(nodes.select(*STAR, "node_id", F.col("lower_bound").alias("bound")), [*STAR, "node_id"])
-        .join(seed_scores, [*STAR, "seed_id"])
-    )
+    bounds = pairs.groupBy(*NODE).agg(F.round(F.sum("lower_bound"), RANK_DIGITS).alias("bound"))
+    rated = pairs.join(bounds, NODE).join(seed_scores, [*STAR, "seed_id"])
     return (
-        pairs.groupBy(*STAR)
+        rated.groupBy(*STAR)
         .agg(
             F.round(F.min(F.col("bound") + F.col("seed_score")), RANK_DIGITS).alias("theta_bound"),
             F.round(F.min("closeness"), RANK_DIGITS).alias("theta_score"),
@@ -58,38 +48,44 @@ def pair_thresholds(
     )
 
 
-def prune_frontier(
-    ws: Workspace,
-    hop: int,
-    frontier: DataFrame,
-    state: DataFrame,
-    uses: DataFrame,
-    thresholds: DataFrame | None,
-    params: ScoreParams,
-    targets: DataFrame | None,
-    seed_scores: DataFrame | None,
-) -> tuple[DataFrame, int, DataFrame]:
-    """The frontier without suppressed nodes, its row count, and the new thresholds."""
-    rows = state.join(uses, [*STAR, "seed_id", "inherits"])
-    nodes = rows.groupBy(*STAR, "node_id").agg(
-        F.round(F.sum("closeness"), RANK_DIGITS).alias("score"),
-        F.round(F.sum("lower_bound"), RANK_DIGITS).alias("lower_bound"),
-        F.round(F.sum("upper_bound"), RANK_DIGITS).alias("upper_bound"),
-        (F.count(F.lit(1)) == F.max("n_seeds")).alias("complete"),
-        F.max(F.col("type_id") == F.col("dst_type")).alias("wanted"),
-    )
-    if targets is None:
-        found = topk_thresholds(nodes, params.k)
-    else:
-        found = pair_thresholds(rows, nodes, targets, seed_scores, params.k)
-    if thresholds is not None:
-        found = found.unionByName(thresholds.join(found, STAR, "left_anti"))
-    found, _ = ws.save(found, f"thresholds-{hop}")
+class Pruner:
+    """Judges the nodes of each new frontier."""
 
-    hopeless = (F.col("upper_bound") != 0) & (F.col("upper_bound") <= F.col("theta_bound"))
-    beaten = F.col("complete") & (F.col("score") <= F.col("theta_score"))
-    blocked = nodes.join(found, STAR).filter(hopeless | beaten)
-    kept, n_kept = ws.save(
-        frontier.join(blocked, [*STAR, "node_id"], "left_anti"), f"frontier-{hop}"
-    )
-    return kept, n_kept, found
+    def __init__(self, ws: Workspace, uses: DataFrame, keys, params: ScoreParams, targets: DataFrame | None, seed_scores: DataFrame | None):
+        self.ws, self.uses, self.keys, self.params = ws, uses, list(keys), params
+        self.targets, self.seed_scores = targets, seed_scores
+        self.totals = Totals(ws, keys)
+        self.best: DataFrame | None = None
+        self.pairs: list[str] = []
+
+    def _star_thresholds(self, hop: int, touched: DataFrame) -> DataFrame:
+        """From the k + 1 best complete nodes so far; the one beyond k tells whether there are more."""
+        complete = (F.col("seen") == F.col("n_seeds")) & (F.col("seen_before") < F.col("n_seeds"))
+        rows = touched.where(F.col("wanted") & complete).select(*NODE, "score", "lower_bound")
+        if self.best is not None:
+            rows = rows.unionByName(self.best.drop("place"))
+        order = Window.partitionBy(*STAR).orderBy(F.desc("score"), "node_id")
+        best = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= self.params.k + 1)
+        self.best, _ = self.ws.save(best, f"best-{hop}")
+        return topk_thresholds(self.best, self.params.k)
+
+    def _link_thresholds(self, hop: int, new: DataFrame) -> DataFrame:
+        """From the pairs at targets so far, k * k per link at most."""
+        there = new.join(self.uses, self.keys).join(self.targets.select(*NODE), NODE, "left_semi")
+        rows = there.select(*NODE, "seed_id", "closeness", "lower_bound")
+        self.pairs.append(f"pairs-{hop}")
+        self.ws.write(rows, self.pairs[-1])
+        return pair_thresholds(self.ws.read(rows.schema, *self.pairs), self.seed_scores, self.params.k)
+
+    def judge(self, hop: int, new: DataFrame, frontier: DataFrame) -> tuple[DataFrame, int]:
+        """The frontier without suppressed nodes, and its row count."""
+        rounded = {c: F.round(c, RANK_DIGITS) for c in ("score", "lower_bound", "upper_bound")}
+        touched = self.totals.add(hop, new, self.uses).withColumns(rounded)
+        found = self._star_thresholds(hop, touched) if self.targets is None else self._link_thresholds(hop, new)
+        hopeless = (F.col("upper_bound") != 0) & (F.col("upper_bound") <= F.col("theta_bound"))
+        beaten = (F.col("seen") == F.col("n_seeds")) & (F.col("score") <= F.col("theta_score"))
+        blocked = touched.join(found, STAR).filter(hopeless | beaten)
+        return self.ws.save(frontier.join(blocked, NODE, "left_anti"), f"frontier-{hop}")
+
+    def close(self) -> None:
+        self.totals.close()

@@ -6,7 +6,8 @@ walks it needs. Only with bound pruning does a star steer its own walks; then th
 is part of the walk key.
 
 State is append-only: a pair (walk, node) gets its row at the hop that first reaches it
-and never changes. Each hop is one job that writes its new rows to the shared folder.
+and never changes. Each hop is one job that appends its new rows to a table in the shared folder, kept in
+buckets of (walk, node) like the reduce of a hop, so earlier hops are read but never shuffled again.
 """
 
 from __future__ import annotations
@@ -15,22 +16,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, upper_bound
 from tierwalk.operators.batch import Batch
 from tierwalk.operators.graph import BROADCAST_ROWS, Graph, slot
-from tierwalk.operators.pruning import prune_frontier
-from tierwalk.operators.stopping import (
-    check_levels,
-    coverage_stops,
-    early_stops,
-    link_stops,
-    pair_totals,
-    star_totals,
-)
+from tierwalk.operators.pruning import Pruner
+from tierwalk.operators.stopping import CoverageRule, EarlyRule, LinkRule, Rule, check_levels
 from tierwalk.params import Domain, ScoreParams
-from tierwalk.workspace import Workspace
+from tierwalk.workspace import Log, Workspace
 
 SHARED = ("seed_id", "inherits")
 PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
@@ -237,50 +230,52 @@ def star_visit(
     ids = few_ids(uses, "seed_id", n_uses, ROW_GROUP_IDS)
 
     start = init_frontier(uses, graph, keys, ids)
-    schema = StructType([*start.schema.fields, StructField("dist", IntegerType())])
-    rows = ws.write(start, "state/dist=0")
-    hops, hop = [rows], 0
-
-    def state(first: int, last: int) -> DataFrame:
-        return ws.read(schema, *(f"state/dist={d}" for d in range(first, last + 1)))
-
-    rule, stops, thresholds = None, None, None
-    if params.early_stop:
-        check_levels(graph)
-        rule = early_stops
-        stars, n_stars = ws.save(uses.select("query_id", "star_id").distinct(), "stars")
-    elif params.stop == "coverage":
-        rule = coverage_stops
-        stars, n_stars = ws.save(star_totals(uses, graph, targets), "stars")
-    elif targets is not None and not params.prune:
-        rule = link_stops
-        stars, n_stars = ws.save(pair_totals(uses, start, keys, targets), "stars")
-
-    last = params.max_hops if answers_only else None
-    while rows and (params.max_hops is None or hop < params.max_hops):
-        frontier = state(hop, hop)
-        if hop and params.prune:
-            frontier, rows, thresholds = prune_frontier(
-                ws, hop, frontier, state(0, hop), uses, thresholds, params, targets, seed_scores
-            )
-        if hop and rule:
-            stops, running = rule(
-                ws, hop, state(0, hop), uses, keys, stars, n_stars, stops, params, targets
-            )
-            if not running:
-                break
-            active = uses.join(stops, ["query_id", "star_id"], "left_anti").select(*keys).distinct()
-            frontier = frontier.join(active, list(keys), "left_semi")
-        reach, ends = graph, None
-        if hop + 1 == last and targets is not None:
-            ends = targets.select("node_id").distinct()
-        elif hop + 1 == last:
-            reach = replace(graph, edges=wanted_edges(graph.edges, uses))
-        fresh = propagate(frontier, rows, hops[0], state(0, hop), reach, keys, hop + 1, params, ends)
-        hop += 1
-        rows = ws.write(fresh, f"state/dist={hop}")
-        hops.append(rows)
-    return Visit(uses, state(0, hop), keys, params, stops, tuple(hops))
+    log = Log(ws, "state", start.schema, [*keys, "node_id"], "dist")
+    rule: Rule | None = None
+    pruner = Pruner(ws, uses, keys, params, targets, seed_scores) if params.prune else None
+    watched = {}
+    try:
+        rows = log.append(start, 0)[0]
+        if params.early_stop:
+            check_levels(graph)
+            rule = EarlyRule(ws, uses, keys, params)
+        elif params.stop == "coverage":
+            rule = CoverageRule(ws, graph, uses, keys, targets)
+        elif targets is not None and not params.prune:
+            rule = LinkRule(ws, uses, log.upto(0), keys, targets)
+            few = few_ids(targets, "node_id", 0, BUCKET_IDS)
+            watched = {"hits": F.col("node_id").isin(*few)} if few else {}
+
+        hops, hop, hits = [rows], 0, None
+        last = params.max_hops if answers_only else None
+        while rows and (params.max_hops is None or hop < params.max_hops):
+            frontier = log.upto(hop, hop)
+            # Seeds count with the first hop.
+            new = frontier if hop > 1 else log.upto(1)
+            if hop and pruner:
+                frontier, rows = pruner.judge(hop, new, frontier)
+            if hop and rule:
+                rule.after(hop, new, hits)
+                if not rule.running:
+                    break
+                if rule.stops is not None:
+                    active = rule.running_uses().select(*keys).distinct()
+                    frontier = frontier.join(active, list(keys), "left_semi")
+            reach, ends = graph, None
+            if hop + 1 == last and targets is not None:
+                ends = targets.select("node_id").distinct()
+            elif hop + 1 == last:
+                reach = replace(graph, edges=wanted_edges(graph.edges, uses))
+            fresh = propagate(frontier, rows, hops[0], log.upto(hop), reach, keys, hop + 1, params, ends)
+            hop += 1
+            rows, *found = log.append(fresh, hop, **watched)
+            hits = found[0] if found else None
+            hops.append(rows)
+    finally:
+        for kept in (rule, pruner, log):
+            if kept:
+                kept.close()
+    return Visit(uses, log.rows(), keys, params, rule.stops if rule else None, tuple(hops))
 
 
 def seen_by_star(visit: Visit, nodes: DataFrame | None = None) -> DataFrame:

@@ -13,9 +13,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -73,7 +73,59 @@ class Workspace:
         rows = self.write(df, name)
         return self.read(df.schema, name), rows
 
+    def save_counting(self, df: DataFrame, name: str, counted: Column) -> tuple[DataFrame, int, int]:
+        """As ``save``, with the number of rows for which ``counted`` holds, in the same job."""
+        seen = Observation()
+        watched = df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(counted).alias("counted"))
+        with _shuffles_removed(self.spark):
+            watched.write.parquet(f"{self.path}/{name}")
+        return self.read(df.schema, name), seen.get["n"], seen.get["counted"]
+
+    def drop(self, name: str) -> None:
+        """Remove a table that nothing reads any more."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
     def read(self, schema: StructType, *names: str) -> DataFrame:
         paths = [f"{self.path}/{name}" for name in names]
         base = paths[0].rsplit("/", 1)[0]
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+
+class Log:
+    """Append-only table of a loop: one append per hop, kept in buckets of ``keys``.
+
+    There are as many buckets as a shuffle has partitions, and a reduce on these keys leaves its rows dealt in the
+    same way. So what a hop reduced meets everything logged before without moving it, and an append writes each bucket
+    from one task.
+    """
+
+    def __init__(self, ws: Workspace, name: str, schema: StructType, keys: list[str], hop: str = "hop"):
+        self.spark, self.keys, self.hop = ws.spark, keys, hop
+        self.schema = StructType([*schema.fields, StructField(hop, IntegerType())])
+        self.path = f"{ws.path}/{name}"
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"tierwalk_log_{uuid.uuid4().hex}"
+
+    def append(self, df: DataFrame, hop: int, **counted: Column) -> tuple[int, ...]:
+        """Write the rows of a hop; returns their number, and those for which each of ``counted`` holds."""
+        seen = Observation()
+        counts = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in counted.items())]
+        rows = df.select(*self.schema.names[:-1]).observe(seen, *counts).withColumn(self.hop, F.lit(hop))
+        with _shuffles_removed(self.spark):
+            writer = rows.write.format("parquet").mode("append").partitionBy(self.hop)
+            writer.bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.table)
+        found = seen.get
+        return tuple(found[n] for n in ("n", *counted))
+
+    def upto(self, last: int, first: int = 0) -> DataFrame:
+        """The rows of some hops; the others are not read."""
+        return self.spark.table(self.table).where(F.col(self.hop).between(first, last))
+
+    def close(self) -> None:
+        """Forget the catalog entry; the rows stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def rows(self) -> DataFrame:
+        """All rows as a plain table, also when the log is closed."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
