@@ -37,8 +37,8 @@ from tierwalk import (
     with_wanted_type,
 )
 from tierwalk.functions import inherits
-from tierwalk.operators.graph import dedup_edges, type_counts
-from tierwalk.operators.visit import seen_by_star
+from tierwalk.operators.graph import dedup_edges, preview, type_counts
+from tierwalk.operators.visit import seen_by_star, visit_metrics
 from tierwalk.params import COMMERCE
 from tierwalk.plans.decompose import decompose_query as decompose
 from tierwalk.operators.batch import Batch
@@ -63,6 +63,7 @@ from tierwalk.sources import (
     parse_query_lines,
     parse_star_sets,
     pick_seeds,
+    read_adjacency,
     read_edge_list,
     read_node_info,
     read_queries,
@@ -426,11 +427,35 @@ def found_paths(spark, folder):
     return paths.withColumn("path", _ids("path"))
 
 
-def path_between(spark, folder):
-    rows = shortest_path(graph_of(spark, folder), *PATH_ENDS, COMMERCE, max_hops=6)
+def path_between(spark, folder, max_hops=6):
+    rows = shortest_path(graph_of(spark, folder), *PATH_ENDS, COMMERCE, max_hops=max_hops)
     return rows.withColumn("path", _ids("path"))
 
 
+def hop_metrics(spark, folder):
+    return visit_metrics(_visit(spark, folder))
+
+
+def previewed(spark, folder):
+    return preview(triplets(graph_of(spark, folder)).orderBy("src", "dst"), 5)
+
+
+def adjacency_file_query(spark, folder):
+    """Adjacency lines in files to answers: the graph is read back from one line per node."""
+    root, graph = Workspace(spark, "files").path, graph_of(spark, folder)
+
+    def run(word: str, level: int) -> Column:
+        ids = F.array_join(F.collect_list(F.when(F.col("level") == level, F.col("dst").cast("string"))), " ")
+        return F.concat(F.lit(f"{word}: "), ids)
+
+    lists = graph.edges.groupBy("src").agg(F.concat_ws(" ", run("higher", 1), run("lower", -1), run("same", 0)).alias("text"))
+    lines = graph.nodes.join(lists, graph.nodes["node_id"] == lists["src"]).select(F.concat_ws("\t", "node_id", "type_id", "text"))
+    lines.write.text(f"{root}/adjacency")
+    nodes, edges = read_adjacency(spark, f"{root}/adjacency")
+    read = lay_out(build_graph(nodes, edges))
+    return _answers(batch_star_query(read, chain_batch(spark, STAR_ONLY), COMMERCE, PARAMS))
+
+
 def workload(spark, folder):
     batch = chain_batch(spark, WORKLOAD)
     return _tuples(run_workload(graph_of(spark, folder), batch, COMMERCE, PARAMS))
@@ -455,9 +480,10 @@ def coverage_visit(spark, folder):
     return _visit_rows(star_visit(graph_of(spark, folder), chain_batch(spark, THREE), COMMERCE, params))
 
 
-def pruned_visit(spark, folder):
+def pruned_visit(spark, folder, max_hops=HOPS):
     batch = chain_batch(spark, THREE)
-    return _visit_rows(star_visit(graph_of(spark, folder), batch, COMMERCE, PARAMS.with_(prune="bound")))
+    params = PARAMS.with_(prune="bound", max_hops=max_hops)
+    return _visit_rows(star_visit(graph_of(spark, folder), batch, COMMERCE, params))
 
 
 def coverage_link_visit(spark, folder):
@@ -626,6 +652,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "general_presets": general_presets,
     "write_tuples_twice": written_tuples,
     "file_workload": file_workload,
+    "shortest_path_unbounded": lambda s, f: path_between(s, f, None),
+    "star_visit_pruned_unbounded": lambda s, f: pruned_visit(s, f, None),
+    "link_candidates_pruned_unbounded": lambda s, f: _links(s, f, prune="bound", max_hops=None),
+    "visit_metrics": hop_metrics,
+    "preview": previewed,
+    "adjacency_file_query": adjacency_file_query,
 }
 
 
@@ -847,4 +879,16 @@ UNION ALL SELECT o_custkey, 1, 4000000000 + o_orderkey, 4, 0 FROM orders""",
     "general_presets": _union([o.chain_sql(PRESET_CHAINS, HOPS, k, extra=f"{k} AS k, ") for k in (2, 5, 10)]),
     "write_tuples_twice": o.chain_sql(TWO, HOPS, K),
     "file_workload": o.chain_sql({i: c for i, c in enumerate((C1, C2, C3))}, HOPS, K),
+    "shortest_path_unbounded": o.shortest_path_sql(*PATH_ENDS, 8),
+    "star_visit_pruned_unbounded": o.star_sql(THREE, 8, K, f"SELECT {o.VISIT_COLUMNS} FROM visit", prune_k=K),
+    "link_candidates_pruned_unbounded": _links_sql(8, prune_k=K),
+    "visit_metrics": o.star_sql(
+        STAR_ONLY, HOPS, K, "SELECT dist AS hop, COUNT(*)::BIGINT AS new_pairs FROM visit GROUP BY dist"
+    ),
+    "preview": o.graph_sql(
+        """SELECT e.src, s.type_id AS src_type, s.name AS src_name, e.level, e.dst,
+       d.type_id AS dst_type, d.name AS dst_name
+FROM edges e JOIN nodes s ON s.node_id = e.src JOIN nodes d ON d.node_id = e.dst ORDER BY e.src, e.dst LIMIT 5"""
+    ),
+    "adjacency_file_query": _star_answers_sql(),
 }

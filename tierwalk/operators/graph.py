@@ -16,6 +16,8 @@ PIECE_ROWS = 1_000_000
 BUCKET_ROWS = 5_000_000
 # Tables of up to this many rows (well under 100 MB) are broadcast.
 BROADCAST_ROWS = 200_000
+# Row groups of a nested layout; a fraction reads those that begin within it.
+NESTED_BYTES = 16 << 20
 # Spark's own limit.
 MAX_BUCKETS = 100_000
 # With the piece size also at least total / MAX_HUBS, which is a bucket's share of the largest graphs, no more
@@ -117,7 +119,7 @@ def slot(src: str, piece: Column) -> Column:
 
 
 def lay_out(
-    graph: Graph, buckets: int | None = None, piece_rows: int | None = None, path: str | None = None
+    graph: Graph, buckets: int | None = None, piece_rows: int | None = None, path: str | None = None, shares: bool = False
 ) -> Graph:
     """Write the graph once so that no later walk shuffles its edges.
 
@@ -125,6 +127,9 @@ def lay_out(
     large share of all edges, so hubs are cut into pieces of about ``piece_rows`` edges
     by a hash of the target, and each piece has a bucket key of its own.
 
+    With ``shares`` the layout is nested: edges and nodes carry the share of the graph from which on they belong to
+    it, and the edges of a bucket are sorted by it, so that a fraction of the graph is a prefix of every file.
+
     With ``path`` the layout stays there for ``open_graph``; without, it goes with the
     application. What is written on the way always does.
     """
@@ -134,6 +139,8 @@ def lay_out(
     # Written first: counting, cutting and bucketing then read it instead of assembling
     # the edges again.
     arcs = graph.edges.select("src", "dst", "level", "dst_type")
+    if shares:
+        arcs = arcs.withColumn("share", F.greatest(_share("src"), _share("dst")))
     written, total, odd_levels = ws.save_counting(arcs, "arcs", ~F.col("level").between(-1, 1))
 
     bounded = piece_rows is None
@@ -159,18 +166,16 @@ def lay_out(
         cores = spark.sparkContext.defaultParallelism
         buckets = min(MAX_BUCKETS, max(cores, -(-total // BUCKET_ROWS)))
     table = f"tierwalk_edges_{uuid.uuid4().hex}"
-    (
-        arcs.repartition(buckets, key)
-        .sortWithinPartitions(key)
-        .write.bucketBy(buckets, key)
-        .sortBy(key)
-        .option("path", f"{root}/edges")
-        .format("parquet")
-        .saveAsTable(table)
-    )
+    order = ["share", key] if shares else [key]
+    writer = arcs.repartition(buckets, key).sortWithinPartitions(*order).write.bucketBy(buckets, key).sortBy(*order)
+    if shares:
+        writer = writer.option("parquet.block.size", NESTED_BYTES)
+    writer.option("path", f"{root}/edges").format("parquet").saveAsTable(table)
     nodes = graph.nodes
     if graph.declared is not None:
         nodes = complete_nodes(graph.declared, written, graph.default_type)
+    if shares:
+        nodes = nodes.withColumn("share", _share("node_id"))
     # Ranged by id, so that a look-up of a few nodes reads a few row groups. Written
     # before, as the ranging samples its input and then reads it again.
     nodes, _ = ws.save(nodes, "completed")
@@ -201,10 +206,12 @@ def open_graph(spark: SparkSession, path: str) -> Graph:
     """A graph that ``lay_out`` wrote to ``path``, in any session; nothing is read or written for it."""
     facts = spark.read.schema(LAYOUT_FACTS).parquet(f"{path}/layout").first()
     table = f"tierwalk_edges_{uuid.uuid4().hex}"
-    columns = spark.read.parquet(f"{path}/edges").schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    schema = spark.read.parquet(f"{path}/edges").schema
+    columns = schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    order = f"share, {facts.key}" if "share" in schema.names else facts.key
     spark.sql(
         f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({facts.key})"
-        f" SORTED BY ({facts.key}) INTO {facts.buckets} BUCKETS LOCATION '{path}/edges'"
+        f" SORTED BY ({order}) INTO {facts.buckets} BUCKETS LOCATION '{path}/edges'"
     )
     return Graph(
         spark.read.parquet(f"{path}/nodes"),
@@ -332,18 +339,18 @@ def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
     return replace(graph, edges=kept, declared=None, buckets=None)
 
 
-def _kept(node_id: str, ratio: float) -> Column:
-    """Whether a node falls into the fraction: a hash of its id, so both ends of an edge
+def _share(node_id: str) -> Column:
+    """The share of the graph, of 2**32, from which on a node belongs to it: a hash of its id, so both ends of an edge
     are decided without a join."""
-    share = F.conv(F.substring(F.md5(F.col(node_id).cast("string")), 1, 8), 16, 10).cast("bigint")
-    return share < F.lit(int(ratio * 2**32))
+    return F.conv(F.substring(F.md5(F.col(node_id).cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
 def graph_fraction(graph: Graph, ratio: float) -> Graph:
-    """Induced subgraph on a fixed pseudo-random fraction of the nodes."""
-    return replace(
-        graph,
-        declared=None,
-        nodes=graph.nodes.filter(_kept("node_id", ratio)),
-        edges=graph.edges.filter(_kept("src", ratio) & _kept("dst", ratio)),
-    )
+    """Induced subgraph on a fixed pseudo-random fraction of the nodes; on a nested layout it hashes nothing and reads no more than its part."""
+    limit = F.lit(int(ratio * 2**32))
+    if "share" in graph.edges.columns:
+        nodes, edges = (df.filter(F.col("share") < limit) for df in (graph.nodes, graph.edges))
+    else:
+        nodes = graph.nodes.filter(_share("node_id") < limit)
+        edges = graph.edges.filter((_share("src") < limit) & (_share("dst") < limit))
+    return replace(graph, declared=None, nodes=nodes, edges=edges)

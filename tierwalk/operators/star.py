@@ -83,15 +83,23 @@ def answer_details(visit: Visit, answers: DataFrame) -> DataFrame:
 
 
 def compare_hierarchy(graph: Graph, batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
-    """Answers with and without inheritance side by side."""
-
-    def answers(hierarchy: bool, suffix: str) -> DataFrame:
-        rows = batch_star_query(graph, batch, domain, params.with_(hierarchy=hierarchy))
-        return rows.select(
-            *STAR,
+    """Answers with and without inheritance side by side.
+
+    Every star is asked twice in one batch, so both share one visit, and the walks that do not inherit either way."""
+    flags = F.array(F.struct(F.lit(0).alias("off"), F.lit(True).alias("hierarchy")), F.struct(F.lit(1).alias("off"), F.lit(False).alias("hierarchy")))
+    twice = (2 * F.col("star_id")).alias("star_id")
+    stars = batch.stars.select("*", F.inline(flags)).withColumn("star_id", 2 * F.col("star_id") + F.col("off")).drop("off")
+    first = batch.seeds.select("query_id", twice, "seed_id", "seed_type")
+    seeds = first.unionByName(first.withColumn("star_id", F.col("star_id") + 1))
+    answers = batch_star_query(graph, Batch(seeds, stars), domain, params)
+
+    def side(off: int, suffix: str) -> DataFrame:
+        return answers.where(F.col("star_id") % 2 == off).select(
+            "query_id",
+            (F.col("star_id") / 2).cast("int").alias("star_id"),
             "node_id",
             F.col("rank").alias(f"rank_{suffix}"),
             F.col("score").alias(f"score_{suffix}"),
         )
 
-    return answers(True, "on").join(answers(False, "off"), [*STAR, "node_id"], "full")
+    return side(0, "on").join(side(1, "off"), [*STAR, "node_id"], "full")

@@ -60,15 +60,16 @@ class Visit:
 
 
 def star_uses(batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
-    """One row per star and distinct seed, with the inheritance decision for the pair."""
+    """One row per star and distinct seed, with the inheritance decision for the pair.
+
+    Stars with a column ``hierarchy`` decide for themselves, those without go by the parameters."""
     star = ["query_id", "star_id"]
     seeds = batch.seeds.groupBy(*star, "seed_id").agg(F.min("seed_type").alias("seed_type"))
     sizes = seeds.groupBy(*star).agg(F.count(F.lit(1)).cast("int").alias("n_seeds"))
-    return (
-        seeds.join(batch.stars, star)
-        .join(sizes, star)
-        .withColumn("inherits", inherits(F.col("seed_type"), F.col("dst_type"), domain, params.hierarchy))
-    )
+    decided = inherits(F.col("seed_type"), F.col("dst_type"), domain, params.hierarchy)
+    if "hierarchy" in batch.stars.columns:
+        decided = F.col("hierarchy") & inherits(F.col("seed_type"), F.col("dst_type"), domain, True)
+    return seeds.join(batch.stars, star).join(sizes, star).withColumn("inherits", decided).drop("hierarchy")
 
 
 def few_ids(df: DataFrame, column: str, rows: int, limit: int) -> list[int]:
@@ -110,27 +111,12 @@ def wanted_edges(edges: DataFrame, uses: DataFrame) -> DataFrame:
     return edges.filter(F.col("dst_type").isin(*few)) if few else edges
 
 
-def propagate(
-    frontier: DataFrame,
-    rows: int,
-    walks: int,
-    visited: DataFrame,
-    graph: Graph,
-    keys,
-    hop: int,
-    params: ScoreParams,
-    ends: DataFrame | None = None,
-) -> DataFrame:
-    """One hop: send along the out-edges, reduce per (walk, node), keep the new pairs.
+def meet_edges(steps: DataFrame, rows: int, walks: int, graph: Graph) -> DataFrame:
+    """Out-edges of the nodes of a frontier: steps(node, ...) joined to the edges.
 
     ``rows`` and ``walks`` are the counts of frontier rows and of walks; they decide
-    how the frontier meets the edges. With ``ends(node_id)`` only pairs at those nodes
-    are kept; what was sent is narrowed, so that the edges stay where they are.
-
-    The partial aggregation runs before the shuffle, so a node with many parents costs
-    one row per task. The visited pairs are keyed like the groups and join in place.
+    how the two meet.
     """
-    steps = frontier.select(*keys, F.col("node_id").alias("node"), "n_paths", "hier", "lower_bound")
     edges, frontier_rows = graph.edges, rows
     if graph.hubs is None:
         key, steps = "src", steps.withColumn("key", F.col("node"))
@@ -155,9 +141,31 @@ def propagate(
         steps = F.broadcast(steps)
     elif graph.buckets and rows / graph.buckets + walks <= HASH_ROWS:
         steps = steps.hint("shuffle_hash")
+    return edges.join(steps, same)
+
 
+def propagate(
+    frontier: DataFrame,
+    rows: int,
+    walks: int,
+    visited: DataFrame,
+    graph: Graph,
+    keys,
+    hop: int,
+    params: ScoreParams,
+    ends: DataFrame | None = None,
+) -> DataFrame:
+    """One hop: send along the out-edges, reduce per (walk, node), keep the new pairs.
+
+    ``rows`` and ``walks`` are the counts of frontier rows and of walks. With ``ends(node_id)``
+    only pairs at those nodes are kept; what was sent is narrowed, so that the edges stay where they are.
+
+    The partial aggregation runs before the shuffle, so a node with many parents costs
+    one row per task. The visited pairs are keyed like the groups and join in place.
+    """
+    steps = frontier.select(*keys, F.col("node_id").alias("node"), "n_paths", "hier", "lower_bound")
     weight = edge_weight(F.col("level"), params)
-    sent = edges.join(steps, same).select(
+    sent = meet_edges(steps, rows, walks, graph).select(
         *keys,
         F.col("dst").alias("node_id"),
         "dst_type",

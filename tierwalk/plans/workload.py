@@ -76,10 +76,13 @@ def size_sweep(
     params: ScoreParams,
     ratios=SWEEP_RATIOS,
 ) -> DataFrame:
-    """A workload on growing fractions of the graph: one for all, or one per ratio."""
+    """A workload on growing fractions of the graph: one for all, or one per ratio.
+
+    A graph without a nested layout gets one first, which all ratios share."""
+    nested = graph if "share" in graph.edges.columns else lay_out(graph, shares=True)
     runs = []
     for ratio in ratios:
-        part = graph_fraction(graph, ratio) if ratio < 1 else graph
+        part = graph_fraction(nested, ratio) if ratio < 1 else graph
         queries = batch(ratio) if callable(batch) else batch
         runs.append((ratio, run_workload(part, queries, domain, params)))
     return _by_ratio(runs)

@@ -158,21 +158,26 @@ def pick_seeds(nodes: DataFrame, n: int, types=SEED_TYPES, stride: int = SEED_ST
 
 
 def _line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a query file with their positions among the lines that are not blank, from 0.
+    """Lines of query files with their positions among the lines that are not blank, from 0, files by path.
 
-    The scan's partition and place order the lines; one row per partition is added up
-    to tell where each begins.
+    A scan packs splits of files by size, so its partitions say nothing about the order of files: file, start of the split
+    and place within it order the lines; one row per split is added up to tell where each begins.
     """
-    place = F.monotonically_increasing_id()
-    lines = spark.read.text(path).withColumn("place", place).filter(F.trim("value") != "")
-    lines = lines.withColumn("part", F.shiftright("place", 33))
-    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+    split = ["file", "start"]
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    lines = lines.filter(F.trim("value") != "")
+    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    local = F.row_number().over(Window.partitionBy(*split).orderBy("place")) - 1
     return (
         lines.withColumn("local", local)
-        .join(offsets, "part")
+        .join(offsets, split)
         .select("value", (F.col("offset") + F.col("local")).cast("bigint").alias("query_id"))
     )
 

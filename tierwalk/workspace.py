@@ -42,17 +42,24 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Statements run inside drop their shuffle files once they have ended: what they wrote is all that is read later."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def _shuffles_removed(spark: SparkSession):
+    """Statements run inside drop their shuffle files once they have ended: what they wrote is all that is read later."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+#: Files of a log that a task writes side by side; after a reduce it writes one, and need not sort for that.
+WRITERS = "16"
+
+
 class Workspace:
     """One folder per run, under the shared root; gone when the application ends."""
 
@@ -111,8 +118,8 @@ class Log:
         """Write the rows of a hop; returns their number, and those for which each of ``counted`` holds."""
         seen = Observation()
         counts = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in counted.items())]
-        rows = df.select(*self.schema.names[:-1]).observe(seen, *counts).withColumn(self.hop, F.lit(hop))
-        with _shuffles_removed(self.spark):
+        rows = df.observe(seen, *counts).select(*self.schema.names[:-1], F.lit(hop).alias(self.hop))
+        with _shuffles_removed(self.spark), _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
             writer = rows.write.format("parquet").mode("append").partitionBy(self.hop)
             writer.bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.table)
         found = seen.get
