@@ -5,8 +5,23 @@ from collections import deque
 
 import pytest
 
-from tierwalk import ScoreParams, build_graph, chain_batch, graph_fraction, lay_out, open_graph, shortest_path, star_visit
+from brute import BruteGraph
+
+from tierwalk import (
+    ScoreParams,
+    batch_star_query,
+    build_graph,
+    chain_batch,
+    graph_fraction,
+    lay_out,
+    lookup_nodes,
+    open_graph,
+    remove_edges,
+    shortest_path,
+    star_visit,
+)
 from tierwalk.operators import paths, visit
+from tierwalk.operators.graph import close_graph, with_names
 from tierwalk.operators.stopping import check_levels
 from tierwalk.params import SYNTHETIC
 from tierwalk.sources import read_queries
@@ -117,6 +132,52 @@ def test_nested_layout(spark, random_graph, tmp_path):
         assert "LessThan(share" in text and "md5" not in text and "Bucketed" in text
 
 
+def splits(spark, df):
+    """How many pieces of files a scan reads."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")
+    try:
+        return df.select("*")._jdf.queryExecution().toRdd().getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_look_ups_read_their_buckets(spark, random_graph):
+    types, edges, _ = random_graph
+    graph = graph_from(spark, types, edges, buckets=16)
+    ids = spark.createDataFrame([(3,), (4,), (3,), (999,)], "node_id long")
+    for found in (lookup_nodes(graph, [3, 4]), lookup_nodes(graph, ids)):
+        assert sorted(r["node_id"] for r in found.collect()) == [3, 4]
+        assert "In(node_id, [" in plan(found)
+    assert splits(spark, lookup_nodes(graph, [3, 4])) <= splits(spark, graph.nodes) / 4
+    names = with_names(ids.distinct(), graph, rows=3)
+    assert sorted(r["node_id"] for r in names.collect()) == [3, 4] and "In(node_id, [" in plan(names)
+    close_graph(graph)
+
+
+def test_removed_edges_leave_the_buckets(spark, random_graph):
+    types, edges, graph = random_graph
+    rng = random.Random(5)
+    gone = rng.sample(sorted(edges), 30)
+    first, second = (spark.createDataFrame(some, "src long, dst long") for some in (gone[:20], gone[15:] + [(777, 1)]))
+    less = remove_edges(remove_edges(graph, first), second)
+    left = {e: v for e, v in edges.items() if e not in gone}
+    assert {(r["src"], r["dst"]) for r in less.edges.collect()} == set(left)
+    assert less.buckets == graph.buckets and less.hubs is graph.hubs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(visit.meet_edges(spark.createDataFrame([(n,) for n in range(9)], "node long"), 10**7, 10**7, less))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in text and text.count("Exchange hashpartitioning(slot") == 0
+    seeds = [(n, types[n]) for n in rng.sample(range(60), 2)]
+    for some in (less, graph_fraction(less, 0.9)):
+        kept = {r["node_id"] for r in some.nodes.collect()}
+        brute = BruteGraph({n: t for n, t in types.items() if n in kept}, {e: v for e, v in left.items() if kept.issuperset(e)})
+        got = batch_star_query(some, chain_batch(spark, {1: [(seeds, 0)]}), SYNTHETIC, ScoreParams(k=9, max_hops=4))
+        assert [(r["node_id"], round(r["score"], 7)) for r in got.orderBy("rank").collect()] == [(n, round(s, 7)) for n, s in brute.star(seeds, 0, k=9, max_hops=4)]
+
+
 def test_levels_are_known(spark, tmp_path):
     graph = graph_from(spark, {1: 0, 2: 0}, {(1, 2): 3}, path=str(tmp_path / "odd"))
     assert graph.odd_levels == 1 and open_graph(spark, str(tmp_path / "odd")).odd_levels == 1

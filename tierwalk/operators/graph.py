@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,6 +15,10 @@ from tierwalk.workspace import Workspace
 # A source with more edges than this is cut into pieces.
 PIECE_ROWS = 1_000_000
 BUCKET_ROWS = 5_000_000
+# A literal list of this many ids becomes exact row group tests in the parquet reader.
+ROW_GROUP_IDS = 10
+# A literal list of up to this many ids selects their buckets of a laid out graph.
+BUCKET_IDS = 2_000
 # Tables of up to this many rows (well under 100 MB) are broadcast.
 BROADCAST_ROWS = 200_000
 # Row groups of a nested layout; a fraction reads those that begin within it.
@@ -33,7 +38,8 @@ class Graph:
     serves the layout, which completes them from edges already written.
 
     The edges carry the type of their target, so a walk never joins the nodes. A laid
-    out graph has its edges in ``buckets`` by source. If some sources are hubs, they are
+    out graph has its edges in ``buckets`` by source, and its nodes by id. Edges taken out of it stay in the buckets:
+    ``stored`` are the edges as they lie, ``removed`` the pairs that do not count, ``edges`` what is left. If some sources are hubs, they are
     bucketed by ``slot``, a hash of source and piece; ``hubs(src, pieces)`` says into
     how many pieces each hub was cut. One bucket column is what lets Spark skip buckets.
     """
@@ -49,11 +55,37 @@ class Graph:
     table: str | None = None
     #: Edges with a level beyond -1 to 1; None if nobody counted.
     odd_levels: int | None = None
+    node_table: str | None = None
+    stored: DataFrame | None = None
+    removed: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
         return self.nodes.sparkSession
 
+    @property
+    def id_limit(self) -> int:
+        """Literal ids up to which a scan leaves something unread: only ids fewer than the buckets do."""
+        return min(BUCKET_IDS, self.buckets - 1) if self.buckets else ROW_GROUP_IDS
+
+    def edges_where(self, narrow: Callable[[DataFrame], DataFrame]) -> Graph:
+        """The graph with fewer edges; they stay in their buckets."""
+        stored = None if self.stored is None else narrow(self.stored)
+        return replace(self, edges=narrow(self.edges), stored=stored)
+
+
+def few_ids(df: DataFrame, column: str, rows: int, limit: int) -> list[int]:
+    """The distinct ids of a table that has at most ``limit`` rows, else none."""
+    if rows > limit:
+        return []
+    ids = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
+    return ids if len(ids) <= limit else []
+
+
+def only_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """Narrow a scan to the ids, if there are any; the join alone would read it all."""
+    return df.filter(F.col(column).isin(*ids)) if ids else df
+
 
 def _with_columns(nodes: DataFrame) -> DataFrame:
     name = F.col("name") if "name" in nodes.columns else F.lit(None).cast("string")
@@ -176,19 +208,18 @@ def lay_out(
         nodes = complete_nodes(graph.declared, written, graph.default_type)
     if shares:
         nodes = nodes.withColumn("share", _share("node_id"))
-    # Ranged by id, so that a look-up of a few nodes reads a few row groups. Written
-    # before, as the ranging samples its input and then reads it again.
-    nodes, _ = ws.save(nodes, "completed")
-    ranged = nodes.repartitionByRange("node_id").sortWithinPartitions("node_id")
-    ranged.write.parquet(f"{root}/nodes")
+    # By id, so that a look-up reads the buckets of its ids and a few row groups of them.
+    node_table = f"tierwalk_nodes_{uuid.uuid4().hex}"
+    dealt = nodes.repartition(buckets, "node_id").sortWithinPartitions("node_id")
+    writer = dealt.write.bucketBy(buckets, "node_id").sortBy("node_id")
+    writer.option("path", f"{root}/nodes").format("parquet").saveAsTable(node_table)
     # The layout is whole; what it was made from would be a second copy of the graph.
     ws.drop("arcs")
-    ws.drop("completed")
     if path:
         facts = [(buckets, key, n_pieces, bounded, odd_levels)]
         spark.createDataFrame(facts, LAYOUT_FACTS).coalesce(1).write.parquet(f"{root}/layout")
     return Graph(
-        spark.read.schema(nodes.schema).parquet(f"{root}/nodes"),
+        spark.table(node_table),
         spark.table(table),
         buckets=buckets,
         hubs=hubs if n_hubs else None,
@@ -196,6 +227,7 @@ def lay_out(
         n_pieces=n_pieces,
         table=table,
         odd_levels=odd_levels,
+        node_table=node_table,
     )
 
 
@@ -205,16 +237,21 @@ LAYOUT_FACTS = "buckets int, key string, n_pieces bigint, bounded boolean, odd_l
 def open_graph(spark: SparkSession, path: str) -> Graph:
     """A graph that ``lay_out`` wrote to ``path``, in any session; nothing is read or written for it."""
     facts = spark.read.schema(LAYOUT_FACTS).parquet(f"{path}/layout").first()
-    table = f"tierwalk_edges_{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{path}/edges").schema
-    columns = schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    order = f"share, {facts.key}" if "share" in schema.names else facts.key
-    spark.sql(
-        f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({facts.key})"
-        f" SORTED BY ({order}) INTO {facts.buckets} BUCKETS LOCATION '{path}/edges'"
-    )
+
+    def opened(part: str, key: str) -> str:
+        table = f"tierwalk_{part}_{uuid.uuid4().hex}"
+        schema = spark.read.parquet(f"{path}/{part}").schema
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        order = f"share, {key}" if part == "edges" and "share" in schema.names else key
+        spark.sql(
+            f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({key})"
+            f" SORTED BY ({order}) INTO {facts.buckets} BUCKETS LOCATION '{path}/{part}'"
+        )
+        return table
+
+    table, node_table = opened("edges", facts.key), opened("nodes", "node_id")
     return Graph(
-        spark.read.parquet(f"{path}/nodes"),
+        spark.table(node_table),
         spark.table(table),
         buckets=facts.buckets,
         hubs=spark.read.parquet(f"{path}/hubs") if facts.n_pieces else None,
@@ -222,13 +259,15 @@ def open_graph(spark: SparkSession, path: str) -> Graph:
         n_pieces=facts.n_pieces,
         table=table,
         odd_levels=facts.odd_levels,
+        node_table=node_table,
     )
 
 
 def close_graph(graph: Graph) -> None:
-    """Forget the catalog entry of a laid out graph; its files stay."""
-    if graph.table:
-        graph.spark.sql(f"DROP TABLE IF EXISTS {graph.table}")
+    """Forget the catalog entries of a laid out graph; its files stay."""
+    for table in (graph.table, graph.node_table):
+        if table:
+            graph.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def build_property_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -314,29 +353,40 @@ def with_type_names(nodes: DataFrame, domain: Domain) -> DataFrame:
 def with_names(answers: DataFrame, graph: Graph, rows: int | None = None) -> DataFrame:
     """Add node names; answers without a named node drop out.
 
-    ``rows`` bounds the number of answers, if the caller knows a bound; few answers go
-    to the nodes, not the nodes to the answers.
+    ``rows`` bounds the number of answers, if the caller knows a bound. Few answers are
+    written first and go to the nodes, of which only their buckets are read.
     """
     names = graph.nodes.filter(~F.col("implicit")).select("node_id", "name")
+    if rows is not None and graph.node_table and rows <= graph.id_limit:
+        answers, n = Workspace(graph.spark, "names").save(answers, "answers")
+        names = only_ids(names, "node_id", few_ids(answers, "node_id", n, graph.id_limit))
     if rows is not None and rows <= BROADCAST_ROWS:
         answers = F.broadcast(answers)
     return answers.join(names, "node_id")
 
 
 def lookup_nodes(graph: Graph, node_ids: list[int] | DataFrame) -> DataFrame:
-    """Nodes by id: a few literal ids, or a table with a column node_id."""
-    if isinstance(node_ids, DataFrame):
-        return graph.nodes.join(node_ids.select("node_id"), "node_id", "left_semi")
-    return graph.nodes.filter(F.col("node_id").isin(*node_ids))
+    """Nodes by id: a few literal ids, or a table with a column node_id.
+
+    Ids fewer than the buckets of a layout select their buckets, whichever way they come."""
+    if not isinstance(node_ids, DataFrame):
+        return graph.nodes.filter(F.col("node_id").isin(*node_ids))
+    ids = few_ids(node_ids, "node_id", 0, graph.id_limit)
+    return only_ids(graph.nodes, "node_id", ids).join(node_ids.select("node_id"), "node_id", "left_semi")
 
 
 def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
     """Drop the directed (src, dst) pairs; nodes stay as they are.
 
-    What is left is no longer served by buckets, so walks must not count on them.
+    A layout keeps its buckets: walks meet the stored edges and leave out the pairs among those they touch.
     """
-    kept = graph.edges.join(pairs.select("src", "dst"), ["src", "dst"], "left_anti")
-    return replace(graph, edges=kept, declared=None, buckets=None)
+    pairs = pairs.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
+    kept = graph.edges.join(pairs, ["src", "dst"], "left_anti")
+    if not graph.buckets:
+        return replace(graph, edges=kept, declared=None)
+    removed = pairs if graph.removed is None else graph.removed.unionByName(pairs)
+    stored = graph.edges if graph.stored is None else graph.stored
+    return replace(graph, edges=kept, declared=None, stored=stored, removed=removed)
 
 
 def _share(node_id: str) -> Column:
@@ -349,8 +399,7 @@ def graph_fraction(graph: Graph, ratio: float) -> Graph:
     """Induced subgraph on a fixed pseudo-random fraction of the nodes; on a nested layout it hashes nothing and reads no more than its part."""
     limit = F.lit(int(ratio * 2**32))
     if "share" in graph.edges.columns:
-        nodes, edges = (df.filter(F.col("share") < limit) for df in (graph.nodes, graph.edges))
-    else:
-        nodes = graph.nodes.filter(_share("node_id") < limit)
-        edges = graph.edges.filter((_share("src") < limit) & (_share("dst") < limit))
-    return replace(graph, declared=None, nodes=nodes, edges=edges)
+        part = graph.edges_where(lambda edges: edges.filter(F.col("share") < limit))
+        return replace(part, declared=None, nodes=graph.nodes.filter(F.col("share") < limit))
+    part = graph.edges_where(lambda edges: edges.filter((_share("src") < limit) & (_share("dst") < limit)))
+    return replace(part, declared=None, nodes=graph.nodes.filter(_share("node_id") < limit))

@@ -12,14 +12,14 @@ buckets of (walk, node) like the reduce of a hop, so earlier hops are read but n
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, upper_bound
 from tierwalk.operators.batch import Batch
-from tierwalk.operators.graph import BROADCAST_ROWS, Graph, slot
+from tierwalk.operators.graph import BROADCAST_ROWS, BUCKET_IDS, Graph, few_ids, only_ids, slot
 from tierwalk.operators.pruning import Pruner
 from tierwalk.operators.stopping import CoverageRule, EarlyRule, LinkRule, Rule, check_levels
 from tierwalk.params import Domain, ScoreParams
@@ -28,10 +28,6 @@ from tierwalk.workspace import Log, Workspace
 SHARED = ("seed_id", "inherits")
 PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
 
-# A literal list of this many ids becomes exact row group tests in the parquet reader.
-ROW_GROUP_IDS = 10
-# A literal list of up to this many sources selects their buckets of a laid out graph.
-BUCKET_IDS = 2_000
 # Wanted types that become literals of the last hop's scan.
 WANTED_TYPES = 100
 # Frontier rows a task may hold as a hash table; the edges then stream past unsorted.
@@ -72,19 +68,6 @@ def star_uses(batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
     return seeds.join(batch.stars, star).join(sizes, star).withColumn("inherits", decided).drop("hierarchy")
 
 
-def few_ids(df: DataFrame, column: str, rows: int, limit: int) -> list[int]:
-    """The distinct ids of a table that has at most ``limit`` rows, else none."""
-    if rows > limit:
-        return []
-    ids = [r[0] for r in df.select(column).distinct().limit(limit + 1).collect()]
-    return ids if len(ids) <= limit else []
-
-
-def only_ids(df: DataFrame, column: str, ids: list[int]) -> DataFrame:
-    """Narrow a scan to the ids, if there are any; the join alone would read it all."""
-    return df.filter(F.col(column).isin(*ids)) if ids else df
-
-
 def init_frontier(uses: DataFrame, graph: Graph, keys, ids: list[int]) -> DataFrame:
     """One state row per walk: its seed at distance 0, if the graph has that node."""
     nodes = only_ids(graph.nodes.select("node_id", "type_id"), "node_id", ids)
@@ -117,7 +100,7 @@ def meet_edges(steps: DataFrame, rows: int, walks: int, graph: Graph) -> DataFra
     ``rows`` and ``walks`` are the counts of frontier rows and of walks; they decide
     how the two meet.
     """
-    edges, frontier_rows = graph.edges, rows
+    edges, frontier_rows = graph.edges if graph.stored is None else graph.stored, rows
     if graph.hubs is None:
         key, steps = "src", steps.withColumn("key", F.col("node"))
         same = edges["src"] == steps["key"]
@@ -134,14 +117,17 @@ def meet_edges(steps: DataFrame, rows: int, walks: int, graph: Graph) -> DataFra
         # buckets could not serve.
         same = (edges["slot"] == steps["key"]) & (edges["src"].bitwiseXOR(steps["node"]) == 0)
 
-    # Only sources that are fewer than the buckets leave some unread.
-    limit = min(BUCKET_IDS, graph.buckets - 1) if graph.buckets else ROW_GROUP_IDS
-    edges = only_ids(edges, key, few_ids(steps, "key", frontier_rows, limit))
+    edges = only_ids(edges, key, few_ids(steps, "key", frontier_rows, graph.id_limit))
     if rows <= BROADCAST_ROWS:
         steps = F.broadcast(steps)
     elif graph.buckets and rows / graph.buckets + walks <= HASH_ROWS:
         steps = steps.hint("shuffle_hash")
-    return edges.join(steps, same)
+    met = edges.join(steps, same)
+    if graph.removed is not None:
+        gone = graph.removed.select(F.col("src").alias("gone_src"), F.col("dst").alias("gone_dst"))
+        # On the frontier's name for the source: a condition on edges alone would be pushed below the join and shuffle them all.
+        met = met.join(gone, (F.col("node") == F.col("gone_src")) & (F.col("dst") == F.col("gone_dst")), "left_anti")
+    return met
 
 
 def propagate(
@@ -235,7 +221,7 @@ def star_visit(
 
     if n_uses <= BROADCAST_ROWS:
         uses = F.broadcast(uses)
-    ids = few_ids(uses, "seed_id", n_uses, ROW_GROUP_IDS)
+    ids = few_ids(uses, "seed_id", n_uses, graph.id_limit)
 
     start = init_frontier(uses, graph, keys, ids)
     log = Log(ws, "state", start.schema, [*keys, "node_id"], "dist")
@@ -273,7 +259,7 @@ def star_visit(
             if hop + 1 == last and targets is not None:
                 ends = targets.select("node_id").distinct()
             elif hop + 1 == last:
-                reach = replace(graph, edges=wanted_edges(graph.edges, uses))
+                reach = graph.edges_where(lambda edges: wanted_edges(edges, uses))
             fresh = propagate(frontier, rows, hops[0], log.upto(hop), reach, keys, hop + 1, params, ends)
             hop += 1
             rows, *found = log.append(fresh, hop, **watched)
