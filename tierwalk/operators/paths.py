@@ -18,27 +18,34 @@ def walk_back(visit: Visit, ends: DataFrame) -> DataFrame:
     """Parent chains of visited pairs: ends(walk key, node_id, ...) plus ``path``, listed
     from the seed.
 
-    Going down hop by hop, each step joins the rows of one hop only, so the whole state
-    is read once.
+    Going down hop by hop, the pairs on some chain are picked out of the rows of one hop by their keys, which are no more
+    than the ends. Paths are put together from these, so no hop of the state is moved.
     """
     keys = list(visit.keys)
-    reached = visit.state.select(*keys, "node_id", "dist")
-    paths = ends.join(reached, [*keys, "node_id"]).withColumn("path", F.array("node_id"))
+    at = [*keys, "node_id"]
+    ws = Workspace(ends.sparkSession, "paths")
+    ends, n = ws.save(ends, "ends")
+
+    def picked(pairs: DataFrame, few: DataFrame) -> DataFrame:
+        few = few.select(*at).distinct()
+        return pairs.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, at, "left_semi")
+
+    placed, _ = ws.save(ends.join(picked(visit.state.select(*at, "dist"), ends), at), "placed")
+    levels, above = {}, None
     for hop in range(len(visit.hops) - 1, 0, -1):
-        parents = visit.state.filter(F.col("dist") == hop).select(
-            *keys, F.col("node_id").alias("head"), "parent_id"
-        )
+        heads = placed.where(F.col("dist") == hop).select(*at)
+        heads = heads if above is None else heads.unionByName(above)
+        rows = visit.state.where(F.col("dist") == hop).select(*at, "parent_id")
+        levels[hop], _ = ws.save(picked(rows, heads), f"level-{hop}")
+        above = levels[hop].select(*keys, F.col("parent_id").alias("node_id"))
+    paths = placed.withColumn("path", F.array("node_id"))
+    for hop, level in levels.items():
         on_hop = F.col("dist") - F.size("path") + 1 == hop
-        head = F.when(on_hop, F.col("path")[0])
+        longer = F.array_prepend("path", F.col("parent_id"))
         paths = (
-            paths.withColumn("head", head)
-            .join(parents, [*keys, "head"], "left")
-            .withColumn(
-                "path",
-                F.when(F.col("parent_id").isNull(), F.col("path")).otherwise(
-                    F.array_prepend("path", F.col("parent_id"))
-                ),
-            )
+            paths.withColumn("head", F.when(on_hop, F.col("path")[0]))
+            .join(level.withColumnRenamed("node_id", "head"), [*keys, "head"], "left")
+            .withColumn("path", F.when(F.col("parent_id").isNull(), F.col("path")).otherwise(longer))
             .drop("head", "parent_id")
         )
     return paths.drop("dist")
