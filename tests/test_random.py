@@ -54,9 +54,14 @@ def star_results(graph, batch, params):
         ({"max_hops": 2}, 5),
         ({"prune": "bound", "max_hops": 4}, 2),
         ({"stop": "coverage", "max_hops": 4}, 3),
+        ({"stop": "coverage", "max_hops": 3, "small": 300}, 3),
+        ({"prune": "bound", "max_hops": 3, "small": -1}, 2),
     ],
 )
-def test_stars(world, options, k):
+def test_stars(world, options, k, monkeypatch):
+    options = dict(options)
+    if "small" in options:  # state in buckets, from some hop on or from the start
+        monkeypatch.setattr("tierwalk.workspace.SMALL", options.pop("small"))
     graph, brute, chains, batch = world
     got = star_results(graph, batch, ScoreParams(k=k, **options))
     exact = {key: value for key, value in options.items() if key != "early_stop"}

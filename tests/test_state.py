@@ -46,23 +46,26 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_visited_pairs_are_not_shuffled(spark, random_graph):
-    """With broadcasts off, the only exchange on (walk, node) is the reduce of the hop itself."""
+@pytest.mark.parametrize("small", [-1, 10])
+def test_visited_pairs_are_not_shuffled(spark, random_graph, monkeypatch, small):
+    """With broadcasts off, the only exchange on (walk, node) is the reduce of the hop itself, from the start or once the state is large."""
     graph = random_graph[2]
+    monkeypatch.setattr("tierwalk.workspace.SMALL", small)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         ws = Workspace(spark, "test")
         uses = visit.star_uses(chain_batch(spark, {1: [([(1, 2), (2, 2)], 0)]}), SYNTHETIC, ScoreParams())
         start = visit.init_frontier(uses, graph, visit.SHARED, [])
         log = Log(ws, "state", start.schema, [*visit.SHARED, "node_id"], "dist")
-        for hop in range(3):
+        for hop in range(5):
             fresh = start if not hop else visit.propagate(log.upto(hop - 1, hop - 1), 9, 2, log.upto(hop - 1), graph, visit.SHARED, hop, ScoreParams())
-            if hop == 2:
+            if hop == 4:
                 text = plan(fresh)
                 assert text.count("Exchange hashpartitioning(seed_id") == 1 and "LeftAnti" in text
                 assert "Bucketed: true" in text.split("LeftAnti")[1]
             log.append(fresh, hop)
         rows = log.rows().count()
+        assert rows == log.total == log.rows().select(*visit.SHARED, "node_id").distinct().count() > 10
         log.close()
         assert log.rows().count() == rows and not spark.catalog.tableExists(log.table)
     finally:

@@ -99,12 +99,16 @@ class Workspace:
         return self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
 
+#: Rows up to which a log stays plain: they are broadcast where they meet anything, and buckets would only cost.
+SMALL = 200_000
+
+
 class Log:
     """Append-only table of a loop: one append per hop, kept in buckets of ``keys``.
 
     There are as many buckets as a shuffle has partitions, and a reduce on these keys leaves its rows dealt in the
     same way. So what a hop reduced meets everything logged before without moving it, and an append writes each bucket
-    from one task.
+    from one task. Up to ``SMALL`` rows are plain files; what outgrows that is dealt into buckets once, when it is next read.
     """
 
     def __init__(self, ws: Workspace, name: str, schema: StructType, keys: list[str], hop: str = "hop"):
@@ -113,21 +117,50 @@ class Log:
         self.path = f"{ws.path}/{name}"
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"tierwalk_log_{uuid.uuid4().hex}"
+        self.plain: list[int] | None = []  # hops in plain files; None once there are buckets
+        self.total = 0
 
     def append(self, df: DataFrame, hop: int, **counted: Column) -> tuple[int, ...]:
         """Write the rows of a hop; returns their number, and those for which each of ``counted`` holds."""
+        if self.total > SMALL:
+            self._deal()
         seen = Observation()
         counts = [F.count(F.lit(1)).alias("n"), *(F.count_if(c).alias(n) for n, c in counted.items())]
-        rows = df.observe(seen, *counts).select(*self.schema.names[:-1], F.lit(hop).alias(self.hop))
+        rows = df.observe(seen, *counts).select(*self.schema.names[:-1])
+        if self.plain is None:
+            self._write(rows.withColumn(self.hop, F.lit(hop)))
+        else:
+            with _shuffles_removed(self.spark):
+                rows.write.parquet(f"{self.path}-plain/{self.hop}={hop}")
+            self.plain.append(hop)
+        found = seen.get
+        self.total += found["n"]
+        return tuple(found[n] for n in ("n", *counted))
+
+    def _write(self, rows: DataFrame) -> None:
         with _shuffles_removed(self.spark), _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
             writer = rows.write.format("parquet").mode("append").partitionBy(self.hop)
             writer.bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.table)
-        found = seen.get
-        return tuple(found[n] for n in ("n", *counted))
+
+    def _deal(self) -> None:
+        if self.plain is None:
+            return
+        rows, self.plain = self._read(self.plain), None
+        self._write(rows.repartition(self.buckets, *self.keys))
+
+    def _read(self, hops: list[int]) -> DataFrame:
+        if not hops:
+            return self.spark.createDataFrame([], self.schema)
+        base = f"{self.path}-plain"
+        return self.spark.read.schema(self.schema).option("basePath", base).parquet(*(f"{base}/{self.hop}={h}" for h in hops))
 
     def upto(self, last: int, first: int = 0) -> DataFrame:
         """The rows of some hops; the others are not read."""
-        return self.spark.table(self.table).where(F.col(self.hop).between(first, last))
+        if first < last and self.total > SMALL:
+            self._deal()
+        if self.plain is None:
+            return self.spark.table(self.table).where(F.col(self.hop).between(first, last))
+        return self._read([h for h in self.plain if first <= h <= last])
 
     def close(self) -> None:
         """Forget the catalog entry; the rows stay."""
@@ -135,4 +168,4 @@ class Log:
 
     def rows(self) -> DataFrame:
         """All rows as a plain table, also when the log is closed."""
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.read.schema(self.schema).parquet(self.path) if self.plain is None else self._read(self.plain)
