@@ -37,6 +37,33 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(vectors.where("false"), vectors, "vec_id").collect() == []
 
 
+def test_posting_lists():
+    dice = np.random.default_rng(5)
+    vectors = dice.integers(-3, 4, (300, 6))
+    shard = topk.Shard(np.arange(300), vectors)
+    for t in range(6):
+        for weight, rows in ((2, np.flatnonzero(vectors[:, t] > 0)), (-1, np.flatnonzero(vectors[:, t] < 0))):
+            listed = shard.postings(t, weight)
+            assert sorted(listed) == rows.tolist() and (np.diff(vectors[listed, t]) >= 0).all()
+    best = topk.Best(10)
+    for at in (0, 150):  # the second shard meets a threshold
+        topk.Shard(np.arange(at, at + 150), vectors[at : at + 150]).search(7, vectors[7], best)
+    scores = [(-int(v @ vectors[7]), i) for i, v in enumerate(vectors) if i != 7]
+    assert [(-s, i) for s, i in zip(best.scores.tolist(), best.ids.tolist())] == sorted(scores)[:10]
+
+
+def test_only_essential_lists_are_read():
+    """A term that cannot bring anybody in is probed for the vectors of the others, and its list stays closed."""
+    vectors = np.array([[100, 1], [90, 0], [0, 1], [0, 1]])
+    shard, read = topk.Shard(np.arange(4), vectors), []
+    lists = shard.postings
+    shard.postings = lambda term, weight: read.append(term) or lists(term, weight)
+    best = topk.Best(1)
+    best.add(np.array([9]), np.array([9_500]))
+    shard.search(8, np.array([100, 3]), best)
+    assert read == [0] and best.ids.tolist() == [0] and best.scores.tolist() == [10_003]
+
+
 def part(kind, text=None, ref=None, units=None):
     return {"kind": kind, "text": text, "ref": ref, "units": units}
 

@@ -1,18 +1,19 @@
 """Exact top-k by inner product over integer vectors, with MaxScore.
 
-A query's terms are its non-zero components. In a shard of vectors each term has a
-posting list, the vectors whose component has the same sign as the query's, for only those can
-add to a score; its bound is the most it can add. Terms are ordered by bound. As long as
+A query's terms are its non-zero components. A shard of vectors keeps two posting lists a component, built once: the
+vectors where it is positive and those where it is negative, with their values. A term's list is the one of the query's own
+sign, for only that can add to a score; its bound is the most it can add. Terms are ordered by bound. As long as
 the bounds of the last terms together stay below the k-th best score so far, those terms are
-non-essential: a vector found in none of the essential lists cannot enter. The others are
-scored on the essential terms and then probed term by term while they can still compete.
+non-essential: a vector found in none of the essential lists cannot enter. The essential lists are traversed and what they
+add is summed per vector; whoever is found there is probed, while it can still compete, for what the essential terms take away and
+for the non-essential terms.
 
 Shards are slices of the vectors' own partitions, so nothing but results is shuffled: k rows
-per query and shard, of which a window keeps k. Queries are taken in blocks of a fixed number,
-each of which is broadcast.
+per query and shard, of which a window keeps k. Queries are taken in blocks of a fixed number, one block after another:
+a block is broadcast, what it found is written to the shared folder, and the broadcast goes.
 
 Defined results: a vector that is null, or holds a null, NaN or infinite component, takes no part,
-neither as a query nor as a candidate; so does a row whose id is null; components that one of two
+neither as a query nor as a candidate; so does a row whose id is null; ids are whole numbers (others raise); components that one of two
 vectors lacks add nothing; an empty vector scores 0; rows repeating an id are candidates of
 their own, except for a query of the same id; equal scores go by the smaller id.
 """
@@ -20,12 +21,14 @@ their own, except for a query of the same id; equal scores go by the smaller id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from tierwalk.workspace import Workspace
 
 #: Queries in a block, and vectors in a shard.
 BLOCK = 4_096
@@ -72,10 +75,20 @@ class Best:
 
 
 class Shard:
+    """Vectors with their posting lists: rows ordered by value within each component, the negative ones first."""
+
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         self.ids, self.columns = ids, np.ascontiguousarray(vectors.T)
         self.high = np.maximum(self.columns.max(axis=1, initial=0), 0)
         self.low = np.minimum(self.columns.min(axis=1, initial=0), 0)
+        order = np.argsort(self.columns, axis=1, kind="stable")
+        below, above = (self.columns < 0).sum(axis=1), (self.columns > 0).sum(axis=1)
+        self.negative = [rows[:n] for rows, n in zip(order, below.tolist(), strict=True)]
+        self.positive = [rows[len(rows) - n :] for rows, n in zip(order, above.tolist(), strict=True)]
+
+    def postings(self, term: int, weight: int) -> np.ndarray:
+        """The vectors to whose score a query's term can add."""
+        return self.positive[term] if weight > 0 else self.negative[term]
 
     def search(self, query_id: int, query: np.ndarray, best: Best) -> None:
         query = query[: len(self.columns)]
@@ -86,22 +99,25 @@ class Shard:
         rest = np.append(np.cumsum(bound[::-1])[::-1], 0)  # rest[i]: bounds of term i and all after it
         least = best.least()
         essential = int(np.count_nonzero(rest[:-1] >= least)) if least > -np.inf else len(terms)
-        if least <= 0 or not len(terms):
-            alive = np.arange(len(self.ids))  # a vector in no list scores 0 at most, which would do
-        else:
-            listed = np.zeros(len(self.ids), bool)
-            for t in terms[:essential]:
-                listed |= self.columns[t] > 0 if query[t] > 0 else self.columns[t] < 0
-            alive = np.flatnonzero(listed)
-        alive = alive[self.ids[alive] != query_id]
-        score = np.zeros(len(alive), np.int64)
-        for i, t in enumerate(terms):
+        added, listed = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+        for t in terms[:essential].tolist():
+            rows = self.postings(t, query[t])
+            added[rows] += query[t] * self.columns[t, rows]
+            listed[rows] = True
+        if least <= 0:
+            listed[:] = True  # a vector in no list scores 0 at most, which would do
+        alive = np.flatnonzero(listed & (added + rest[essential] >= least) & (self.ids != query_id))
+        score = added[alive]
+        # What essential terms take away, then all of the others; ``left`` is the most that can still be added.
+        for i, t in enumerate(terms.tolist()):
             if not len(alive):
                 return
             if i % 8 == 0 and least > -np.inf:
-                keep = score + rest[i] >= least
+                left = rest[max(i, essential)]
+                keep = score + left >= least
                 alive, score = alive[keep], score[keep]
-            score += query[t] * self.columns[t, alive]
+            part = query[t] * self.columns[t, alive]
+            score += np.minimum(part, 0) if i < essential else part
         best.add(self.ids[alive], score)
 
 
@@ -110,26 +126,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, key: str, k: int = 10, block:
 
     Both sides come from ``whole_vectors``.
     """
-    spark = vectors.sparkSession
-    total = queries.count()
+    space = Workspace(vectors.sparkSession, "topk")
+    asked, total = space.save(queries.select(F.col(key).cast("long").alias(key), "vector"), "queries")
     blocks = max(1, -(-total // block))
     # One more than needed keeps a block below its size although hashing deals unevenly.
     blocks = blocks if blocks == 1 else blocks + blocks // 4 + 1
-    found = [
-        _search_block(vectors, queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, k)
-        for b in range(blocks)
-    ] or [spark.createDataFrame([], "query_id bigint")]
+    vectors = vectors.select(F.col(key).cast("long").alias(key), "vector")
+    for b in range(blocks):
+        _search_block(vectors, asked.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b), key, k, space, f"found-{b}")
+    found = space.read(_found(key), *(f"found-{b}" for b in range(blocks)))
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return (
-        reduce(DataFrame.unionByName, found)
-        .withColumn("rank", F.row_number().over(by_score))
+        found.withColumn("rank", F.row_number().over(by_score))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", key, "score")
     )
 
 
-def _search_block(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
-    asked = queries.select(key, "vector").toArrow().combine_chunks()
+def _found(key: str) -> StructType:
+    return StructType([StructField(name, LongType()) for name in ("query_id", key, "score")])
+
+
+def _search_block(vectors: DataFrame, queries: DataFrame, key: str, k: int, space: Workspace, name: str) -> None:
+    asked = queries.toArrow().combine_chunks()
     query_ids = asked.column(0).to_numpy()
     rows = asked.column(1).combine_chunks() if asked.num_rows else pa.array([], pa.list_(pa.int64()))
     rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
@@ -153,6 +172,5 @@ def _search_block(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> D
             ["query_id", key, "score"],
         )
 
-    return vectors.select(F.col(key).cast("long").alias(key), "vector").mapInArrow(
-        search, f"query_id bigint, {key} bigint, score bigint"
-    )
+    space.write(vectors.mapInArrow(search, _found(key)), name)
+    shared.unpersist()
