@@ -1,7 +1,7 @@
 """Token counts without materialising ids.
 
 Pieces are counted once per distinct pre-token of the whole corpus, and joined to each document's
-pre-token frequencies. The frequent pre-tokens (a fixed number of them, so of bounded size) are
+pre-token frequencies. The frequent pre-tokens (a fixed number of them; long ones by their digest, so of bounded size) are
 broadcast and meet the frequencies inside the task that reads the text; the rest are rare by
 construction, so their (document, pre-token) rows are few and no join key is hot.
 
@@ -13,6 +13,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from tierwalk.llm.batches import IS_SPACE, Texts, coded, pieces
 from tierwalk.workspace import Workspace
 
-#: Pre-tokens that are broadcast.
-HEAD = 200_000
+#: Pre-tokens that are broadcast, and characters up to which one goes by itself; a longer one goes by its digest.
+HEAD, NAME = 200_000, 64
 
 # White space as the tokenizer's pattern knows it.
 _SPACE = r"\t-\r \x85\xA0  -     　"
@@ -139,6 +140,18 @@ def with_pieces(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.mapInArrow(encode, "token string, n bigint, n_pieces bigint")
 
 
+def _name(token: str) -> str:
+    """A name of bounded length: the token, or something too long to be a short token."""
+    return token if len(token) <= NAME else "#" + hashlib.sha256(token.encode()).hexdigest()
+
+
+def frequent(known: DataFrame, head: int) -> dict[str, int]:
+    """Pieces of the ``head`` most frequent pre-tokens, by name."""
+    name = F.when(F.length("token") <= NAME, F.col("token")).otherwise(F.concat(F.lit("#"), F.sha2("token", 256)))
+    named = known.select(name.alias("name"), "n", "n_pieces").orderBy(F.desc("n"), "name").limit(head)
+    return dict(zip(*(c.to_pylist() for c in named.select("name", "n_pieces").toArrow().columns), strict=True))
+
+
 def count_tokens(docs: DataFrame, path: str, head: int = HEAD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: key, n_bytes, n_tokens.
 
@@ -147,15 +160,14 @@ def count_tokens(docs: DataFrame, path: str, head: int = HEAD, key: str = "doc_i
     spark = docs.sparkSession
     space = Workspace(spark, "counts")
     known, _ = space.save(with_pieces(vocabulary(docs, path, text), path), "vocabulary")
-    frequent = known.orderBy(F.desc("n"), "token").limit(head).select("token", "n_pieces").toArrow()
-    shared = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in frequent.columns), strict=True)))
+    shared = spark.sparkContext.broadcast(frequent(known, head))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in pieces(batches, text):
             texts = Texts(batch.column(1))
             owner, token, times, names = _batch_counts(texts, path)
-            pieces_of = np.fromiter((of.get(x, -1) for x in names), np.int64, len(names))
+            pieces_of = np.fromiter((of.get(_name(x), -1) for x in names), np.int64, len(names))
             each = pieces_of[token]
             found = each >= 0
             sums = np.bincount(owner[found], (each * times)[found], len(texts)).astype(np.int64)
