@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from tierwalk.llm.batches import Texts, Words, pieces
 
-#: Distinct words whose ids a worker remembers from batch to batch and task to task.
-REMEMBERED = 300_000
+#: Distinct words whose ids a worker remembers from batch to batch and task to task, and the longest of them in bytes.
+REMEMBERED, LONGEST = 300_000, 64
+
+#: Characters of a text by which rows of one key are dealt to different files.
+DEALT = 64
 
 #: Plain words that go to the library at a time, the mark of a word end in the vocabulary, and the parts it cuts words into.
 TOGETHER, WORD_END = 256, "</w>"
@@ -87,7 +90,8 @@ class Encoder:
         fresh = {w: next(together if p else alone) for w, p in zip(new, plain, strict=True)}
         known = self.known
         out = [fresh[w] if w in fresh else known[w] for w in distinct]
-        for w in new[: max(0, REMEMBERED - len(known))]:
+        short = [w for w in new if len(w) <= LONGEST]
+        for w in short[: max(0, REMEMBERED - len(known))]:
             known[w] = fresh[w]
         return out
 
@@ -116,7 +120,7 @@ def _encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_id", text: str = "text") -> None:
-    """Encode every row and write the files. One shuffle, of the texts, by ranges of the key."""
+    """Encode every row and write the files. One shuffle, of the texts, by ranges of the key and of how the text begins."""
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_
             )
             first += int(offsets[-1])
 
-    ordered = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
+    ordered = docs.select(key, text).repartitionByRange(key, F.substring(text, 1, DEALT)).sortWithinPartitions(key, text)
     writer = ordered.mapInArrow(encode, f"{key} {kind}, part int, first bigint, n int, ids array<int>").write
     for option, value in (
         ("compression", "zstd"),
