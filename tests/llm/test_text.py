@@ -60,6 +60,45 @@ def test_token_counts(docs, corpus, head):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+LONG = ["漢" * 70_000, "-" * 50_000, "ab" * 30_000, "x" * 64, "x" * 65, "é" * 65, "#" + "0" * 64]
+
+
+@pytest.mark.parametrize("head", [3, 10**5])
+def test_long_words_go_by_their_digest(spark, head):
+    rows = [(i, f"{w} and {w}") for i, w in enumerate(LONG)] + [(20 + i, LONG[1]) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    library = Tokenizer.from_file(BYTE)
+    want = [(i, len(t.encode()), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted(map(tuple, counts.count_tokens(frame, BYTE, head=head).collect())) == want
+    known = counts.with_pieces(counts.vocabulary(frame, BYTE), BYTE)
+    assert max(map(len, counts.frequent(known, head))) <= counts.NAME + 1
+
+
+def test_long_words_are_not_remembered():
+    encoder = tokenfile.Encoder(WORD)
+    library = Tokenizer.from_file(WORD)
+    ids, offsets = encoder.encode(Texts(pa.array(LONG)), 2)
+    for text, a, b in zip(LONG, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert encoder.known and max(map(len, encoder.known)) <= tokenfile.LONGEST
+
+
+def test_rows_of_one_key_are_dealt_by_text(spark, tmp_path):
+    dice = random.Random(2)
+    rows = [(5, f"{dice.randrange(10**6)} tail") for _ in range(4000)] + [(5, None), (5, ""), (4, "b"), (6, "a")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if there were much to write
+    try:
+        tokenfile.write(spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path / "ids"), WORD, end=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    tokens = tokenfile.read(spark, str(tmp_path / "ids"))
+    assert tokens.select("part").distinct().count() > 1
+    got = [(r["doc_id"], r["n"]) for r in tokenfile.with_start(tokens, tokens).orderBy("start").collect()]
+    library = Tokenizer.from_file(WORD)
+    texts = sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    assert got == [(i, len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in texts]
+
+
 def test_token_counts_of_nothing(no_docs):
     assert counts.count_tokens(no_docs, BYTE).collect() == []
 
@@ -242,6 +281,36 @@ def test_decontamination_edges(spark, docs, no_docs, monkeypatch):
     assert all(r["found"] == [] for r in decontam.find(docs, items(spark, []), hits="found").collect())
 
 
+def test_fit_reaches_the_optimum():
+    """The penalised likelihood of a cumulative-link model, written out, and its slopes by differences."""
+    dice = np.random.default_rng(4)
+    n, width, l2 = 400, 5, 0.02
+    has = dice.random((n, width)) < 0.4
+    latent = has @ np.array([2.0, -1.5, 0.7, 0.0, 0.3]) + dice.logistic(size=n)
+    grade = np.digitize(latent, [-0.5, 0.4, 1.6])
+    text, column = np.nonzero(has)
+
+    def loss(values):
+        weights, raw = values[:width], values[width:]
+        cuts = np.concatenate([[-np.inf], [raw[0], raw[0] + np.exp(raw[1]), raw[0] + np.exp(raw[1]) + np.exp(raw[2])], [np.inf]])
+        score = has @ weights
+        chance = 1 / (1 + np.exp(-(cuts[grade + 1] - score))) - 1 / (1 + np.exp(-(cuts[grade] - score)))
+        return -np.log(chance).mean() + l2 / 2 * (weights**2).sum()
+
+    def slopes(f, values, step=1e-5):
+        return np.array([(f(values + step * e) - f(values - step * e)) / (2 * step) for e in np.eye(len(values))])
+
+    best = np.append(np.zeros(width), [-1.0, 0.0, 0.0])  # Newton's steps, by differences
+    for _ in range(30):
+        curve = np.array([slopes(lambda v, i=i: slopes(loss, v, 1e-4)[i], best, 1e-4) for i in range(len(best))])
+        best = best - np.linalg.solve(curve + 1e-6 * np.eye(len(best)), slopes(loss, best))
+    assert np.abs(slopes(loss, best)).max() < 1e-6
+    weights, cuts = ordinal.fit_weights(text, column, grade, width, 4, steps=2000, l2=l2)
+    found = np.concatenate([weights, [cuts[0]], np.log(np.diff(cuts))])
+    assert np.abs(slopes(loss, found)).max() < 1e-3 and loss(found) - loss(best) < 1e-5
+    assert np.abs(found - best).max() < 0.02
+
+
 def test_classifier_on_held_out_ratings(spark):
     from tierwalk.llm.queries import graded, table
 
