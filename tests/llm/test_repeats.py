@@ -117,14 +117,45 @@ def test_cut_repeats(docs, corpus, shard_bytes):
     assert all((a or "") == b for a, b, m in text.values() if not m)
 
 
-@pytest.mark.parametrize("shard_bytes", [8 << 20, 3000])
-def test_drop_repeats(docs, corpus, shard_bytes):
-    out = suffixes.drop_repeats(docs, window=50, shard_bytes=shard_bytes, prefix="_")
+@pytest.mark.parametrize("shard_bytes, hot", [(8 << 20, 20_000), (3000, 20_000), (3000, 1)])
+def test_drop_repeats(docs, corpus, shard_bytes, hot):
+    out = suffixes.drop_repeats(docs, window=50, shard_bytes=shard_bytes, hot=hot, prefix="_")
     got = [(r["doc_id"], r["_n_bytes"], r["_n_removed"], r["_n_spans"], hashlib.md5(r["_kept"]).hexdigest()) for r in out.collect()]
     want = [(*w[:4], hashlib.md5(w[4]).hexdigest()) for w in drop_bytes(corpus, 50)]
     assert ordered(got) == ordered(want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 4), st.text("ab", min_size=20, max_size=60)), min_size=1, max_size=8), st.integers(1, 20))
+def test_suffixes_are_ordered(rows, depth):
+    data, starts, docs = b"".join(t.encode() for _, t in rows), [], []
+    place = 0
+    for doc, text in rows:
+        starts += range(place, place + len(text) - depth + 1)
+        docs += [doc] * (len(text) - depth + 1)
+        place += len(text)
+    found, group = suffixes.order_suffixes(np.frombuffer(data, np.uint8), np.array(starts), np.array(docs), depth)
+    begins = [data[s : s + depth] for s in starts]
+    holders = {}
+    for begin, doc in zip(begins, docs, strict=True):
+        holders.setdefault(begin, set()).add(doc)
+    want = sorted(begin for begin in begins if len(holders[begin]) > 1)
+    assert [begins[i] for i in found.tolist()] == want and len(set(found.tolist())) == len(found)
+    assert all((group[i] == group[i - 1]) == (want[i] == want[i - 1]) for i in range(1, len(want)))
+
+
+def test_one_line_in_many_contexts(spark):
+    """A passage that every document has, between others, as blocks of its gram and as windows dealt one by one."""
+    dice, line = random.Random(9), "the same sixty bytes or more stand in all of these documents, always"
+    rows = [(i, "".join(dice.choice("qwertyuiop") for _ in range(70)) + line + "".join(dice.choice("asdf") for _ in range(70))) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = ordered(drop_bytes(rows, 50))
+    for hot in (10, 10**6):
+        got = suffixes.drop_repeats(frame, shard_bytes=6000, hot=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept").collect()
+        assert ordered((*r[:4], bytes(r[4])) for r in got) == want
+    assert sum(w[2] for w in want) >= 299 * len(line)
+
+
 def test_repeats_of_nothing(no_docs):
     assert phrases.cut_repeats(no_docs).collect() == []
     assert suffixes.drop_repeats(no_docs).collect() == []

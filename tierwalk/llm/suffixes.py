@@ -1,20 +1,20 @@
 """Byte-level dedup by a suffix order that is only as deep as the threshold.
 
-Suffixes are ordered by digits, the most significant first, and a group is followed no further once
-it is known to lie in one document:
+1. A cut, by blocks of suffixes (see ``anchors``): all windows in a row that share their least hashed gram are one entry. Entries
+are dealt to partitions by gram. What lies under a gram of one document only occurs nowhere else and is done. Blocks
+equal as a whole are settled: one of them, in the first document, stands for all, and whoever holds another drops it.
+2. The order, of what is left: different blocks under one gram of several documents. Their bytes travel to the partition of their
+gram, where every suffix that starts a window is ordered by passes over its bytes, most significant digit first, eight bytes a digit. After
+each pass a group is followed only while it holds several documents, and no pass goes beyond the threshold, so the groups
+left in the end are exactly the repeated windows.
 
-1. The first digit of a window is its least hashed gram (see ``anchors``); all windows in
-   a row that share it are one entry, a block. Entries are dealt to partitions by that digit and sorted
-   there. A gram in one document only is done.
-2. The second digit is the whole block. Entries equal in it are repeated windows, all of them, and settled: whoever is not
-   the first document drops them. Grams under which blocks differ go on.
-3. The last digit is the window itself, for the blocks that are left, once per different block. Equal ones are
-   repeated windows. There is no deeper digit: the order stops at the threshold.
+A gram with very many different blocks hands out its windows one by one, dealt by window instead of by gram, so
+that no partition gets all of them.
 
 Entries travel as packed arrays, one row per batch and partition, and each document's shard is told just
 what concerns it. Shards and partitions grow in number with the corpus and not in size.
 
-Defined results: a null or empty text has no bytes; a null id neither drops nor makes others drop anything; rows of one
+Defined results: a null or empty text has no bytes; a null id neither drops nor makes others drop anything; ids are whole numbers (others raise); rows of one
 id are one document, so they drop nothing because of each other; texts shorter than the threshold stay whole; what is kept is bytes, as a cut may
 fall inside a character; all columns are kept, and added columns replace ones of the same name; an empty table gives no rows.
 """
@@ -28,22 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwalk.llm.anchors import Blocks, blocks, covered, inside, ranges
+from tierwalk.llm.anchors import Blocks, RangeHash, blocks, covered, inside, ranges
 from tierwalk.llm.batches import Texts, mix, pieces
 from tierwalk.workspace import Workspace
 
 #: Bytes of a window, of a gram, and of text in a shard or batch, which takes a hundred times as much while it is hashed.
 WINDOW, GRAM, SHARD_BYTES = 50, 20, 2 << 20
 
-#: Shards whose entries meet in one partition of the order.
-SHARDS_PER_PART = 4
+#: Shards whose entries meet in one partition of the order, bytes of a digit, and different blocks up to which a gram is one key.
+SHARDS_PER_PART, DIGIT, HOT = 4, 8, 20_000
 
 #: Byte values as 64-bit tokens.
 _TOKENS = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))
 
-SETTLED, PROBED, SINGLE = 1, 2, 3
+SETTLED, PROBED, SINGLE, SPLIT = 1, 2, 3, 4
 _REPLY = "shard int, kind int, value bigint, first bigint"
-_NEVER = np.iinfo(np.int64).max
+_BLOCKS = "part int, shard int, sizes binary, docs binary, data binary"
 
 
 def _blocks(texts: Texts, window: int, gram: int) -> tuple[Blocks, np.ndarray]:
@@ -111,8 +111,8 @@ def first_digits(texts: DataFrame, n_parts: int, window: int, gram: int) -> Data
     return texts.select("shard", "doc", "text").mapInArrow(run, "part int, payload binary")
 
 
-def order_blocks(table: pa.Table) -> pa.Table:
-    """The first two digits of one partition: replies about settled blocks, and about blocks to be probed."""
+def order_blocks(table: pa.Table, hot: int = HOT) -> pa.Table:
+    """The cut in one partition: replies about settled blocks, and about blocks whose suffixes are to be ordered."""
     gram, block, doc, shard = _unpacked(table, "u8 u8 i8 i4")
     order = np.argsort(gram, kind="stable")
     gram, doc = gram[order], doc[order]
@@ -127,45 +127,86 @@ def order_blocks(table: pa.Table) -> pa.Table:
     first = _spread(doc[begins], begins, len(doc))
     late = doc > first
     variants = _groups(gram[begins])
-    several = _spread(np.diff(np.append(variants, len(begins))) > 1, variants, len(begins))
-    probed = begins[several]
+    n_variants = _spread(np.diff(np.append(variants, len(begins))), variants, len(begins))
+    probed = begins[n_variants > 1]
     at = np.append(np.flatnonzero(late), probed)
-    kind = np.append(np.full(int(late.sum()), SETTLED), np.full(len(probed), PROBED))
+    kind = np.append(np.full(int(late.sum()), SETTLED), np.where(n_variants[n_variants > 1] > hot, SPLIT, PROBED))
     return _reply(shard[at], kind, block[at], first[at])
 
 
-def last_digits(docs: pa.Table, replies: pa.Table, n_parts: int, window: int, gram: int) -> pa.Table:
-    """Packed windows (window, document, shard) of the blocks of one shard that are to be probed, dealt by window."""
-    nothing = _packed(np.zeros(0, np.int64), [])
+def send_blocks(docs: pa.Table, replies: pa.Table, n_parts: int, window: int, gram: int) -> pa.Table:
+    """The bytes of the blocks of one shard whose suffixes are to be ordered, dealt by gram or, one window each, by window."""
     if not len(replies) or not len(docs):
-        return pa.Table.from_batches([nothing])
-    found, owner = _blocks(Texts(docs.column("text").combine_chunks()), window, gram)
+        return pa.table([[]] * 5, pa.schema([("part", pa.int32()), ("shard", pa.int32()), *((n, pa.binary()) for n in ("sizes", "docs", "data"))]))
+    texts = Texts(docs.column("text").combine_chunks())
+    found, owner = _blocks(texts, window, gram)
     ids, valid = _ids(docs.column("doc").combine_chunks())
     wanted = replies.column("value").to_numpy().view(np.uint64)
     order = np.argsort(wanted, kind="stable")
     wanted, first = wanted[order], replies.column("first").to_numpy()[order]
+    split = replies.column("kind").to_numpy()[order] == SPLIT
     rank = np.minimum(np.searchsorted(wanted, found.value), len(wanted) - 1)
     at = np.flatnonzero((wanted[rank] == found.value) & (ids[owner] == first[rank]) & valid[owner])
     at = at[np.unique(found.value[at], return_index=True)[1]]
-    start = ranges(found.first[at], found.last[at] + 1)
-    value, doc = found.hashes.of(start, start + window), np.repeat(ids[owner[at]], found.last[at] - found.first[at] + 1)
-    part = (value % np.uint64(n_parts)).astype(np.int64)
-    order = np.lexsort((doc, value, part))
-    value, doc, part = value[order], doc[order], part[order]
-    new = _groups(value, doc)
-    shard = np.full(len(new), replies.column("shard")[0].as_py(), np.int32)
-    return pa.Table.from_batches([_packed(part[new], [value[new], doc[new], shard])])
-
-
-def order_windows(table: pa.Table) -> pa.Table:
-    """The last digit of one partition: replies about windows that also start in an earlier document."""
-    value, doc, shard = _unpacked(table, "u8 i8 i4")
-    order = np.lexsort((doc, value))
-    value, doc, shard = value[order], doc[order], shard[order]
-    begins = _groups(value)
-    first = _spread(doc[begins], begins, len(doc))
-    late = doc > first
-    return _reply(shard[late], SINGLE, value[late], first[late])
+    alone = split[rank[at]]
+    some, apart = at[~alone], at[alone]
+    single = ranges(found.first[apart], found.last[apart] + 1)
+    start, size = np.append(found.first[some], single), np.append(found.last[some] - found.first[some] + window, np.full(len(single), window))
+    doc = ids[np.append(owner[some], np.repeat(owner[apart], found.last[apart] - found.first[apart] + 1))]
+    part = np.append(found.gram[some], found.hashes.of(single, single + window)) % np.uint64(n_parts)
+    order = np.argsort(part, kind="stable")
+    part, start, size, doc = part[order].astype(np.int32), start[order], size[order], doc[order]
+    data, ends = texts.bytes[ranges(start, start + size)], np.cumsum(size)
+    begins = _groups(part)
+    bounds = list(zip(begins.tolist(), np.append(begins, len(part))[1:].tolist(), strict=True))
+    columns = [
+        pa.array(part[begins]),
+        pa.array(np.full(len(begins), replies.column("shard")[0].as_py(), np.int32)),
+        pa.array([size[a:b].astype("<u4").tobytes() for a, b in bounds], pa.binary()),
+        pa.array([doc[a:b].tobytes() for a, b in bounds], pa.binary()),
+        pa.array([data[ends[a] - size[a] : ends[b - 1]].tobytes() for a, b in bounds], pa.binary()),
+    ]
+    return pa.table(columns, ["part", "shard", "sizes", "docs", "data"])
+
+
+def order_suffixes(data: np.ndarray, at: np.ndarray, doc: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffixes, group of each): those whose first ``depth`` bytes another document has too, ordered by these bytes.
+
+    Suffix i starts at data[at[i]], in document doc[i], and has at least ``depth`` bytes.
+    """
+    padded = np.append(data, np.zeros(DIGIT, np.uint8))
+    digits = np.ndarray(len(data) + 1, ">u8", padded, strides=(1,))  # the eight bytes from every place
+    rows, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for done in range(0, depth, DIGIT):
+        digit = digits[at[rows] + done].astype(np.uint64) >> np.uint64(8 * max(0, DIGIT - (depth - done)))
+        order = np.lexsort((digit, group)) if done else np.argsort(digit, kind="stable")
+        rows, group, digit = rows[order], group[order], digit[order]
+        begins = _groups(group, digit)
+        if not len(begins):
+            break
+        low, high = np.minimum.reduceat(doc[rows], begins), np.maximum.reduceat(doc[rows], begins)
+        size = np.diff(np.append(begins, len(rows)))
+        several = low != high
+        rows, group = rows[np.repeat(several, size)], np.repeat(np.arange(int(several.sum())), size[several])
+    return rows, group
+
+
+def order_windows(table: pa.Table, window: int) -> pa.Table:
+    """The order in one partition: replies about windows that also start in an earlier document."""
+    column = {n: table.column(n).to_pylist() for n in ("sizes", "docs", "data")}
+    size = np.frombuffer(b"".join(column["sizes"]), "<u4").astype(np.int64)
+    doc, data = np.frombuffer(b"".join(column["docs"]), np.int64), np.frombuffer(b"".join(column["data"]), np.uint8)
+    shard = np.repeat(table.column("shard").to_numpy(), [len(x) // 4 for x in column["sizes"]])
+    begin, count = np.cumsum(size) - size, size - window + 1
+    at, owner = ranges(begin, begin + count), np.repeat(np.arange(len(size)), count)
+    rows, group = order_suffixes(data, at, doc[owner], window)
+    begins = _groups(group)
+    least = np.minimum.reduceat(doc[owner[rows]], begins) if len(begins) else np.zeros(0, np.int64)
+    first = _spread(least, begins, len(rows))
+    late = doc[owner[rows]] > first
+    rows, first = rows[late], first[late]
+    value = RangeHash(_TOKENS[data]).of(at[rows], at[rows] + window)
+    return _reply(shard[owner[rows]], SINGLE, value, first)
 
 
 def _firsts(value: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +256,7 @@ def drop_repeats(
     window: int = WINDOW,
     gram: int = GRAM,
     shard_bytes: int = SHARD_BYTES,
+    hot: int = HOT,
     key: str = "doc_id",
     text: str = "text",
     prefix: str = "",
@@ -232,14 +274,20 @@ def drop_repeats(
     dealt = docs.select(shard.alias("shard"), F.struct(*docs.columns).alias("row"))
 
     entries = first_digits(texts, n_parts, window, gram)
-    replies, _ = space.save(entries.groupBy("part").applyInArrow(order_blocks, _REPLY), "blocks")
+    def cut_blocks(table: pa.Table) -> pa.Table:
+        return order_blocks(table, hot)
+
+    replies, _ = space.save(entries.groupBy("part").applyInArrow(cut_blocks, _REPLY), "blocks")
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        return send_blocks(left, right, n_parts, window, gram)
 
-    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        return last_digits(left, right, n_parts, window, gram)
+    def order(table: pa.Table) -> pa.Table:
+        return order_windows(table, window)
 
-    probed = replies.where(F.col("kind") == PROBED)
-    windows = texts.groupBy("shard").cogroup(probed.groupBy("shard")).applyInArrow(probe, "part int, payload binary")
-    singles, _ = space.save(windows.groupBy("part").applyInArrow(order_windows, _REPLY), "windows")
+    left = replies.where(F.col("kind").isin(PROBED, SPLIT))
+    sent = texts.groupBy("shard").cogroup(left.groupBy("shard")).applyInArrow(send, _BLOCKS)
+    singles, _ = space.save(sent.groupBy("part").applyInArrow(order, _REPLY), "windows")
 
     names = docs.columns
     at, by = names.index(text), names.index(key)
