@@ -6,6 +6,7 @@ from collections import deque
 import pytest
 
 from brute import BruteGraph
+from pyspark.sql import functions as F
 
 from tierwalk import (
     ScoreParams,
@@ -204,3 +205,41 @@ def test_query_files_in_order(spark, tmp_path):
             assert [r["seed_id"] for r in seeds.orderBy("query_id").collect()] == want
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_walks_on_one_node(spark, monkeypatch):
+    """A thousand walks through one node: its edges go to them, and they are not brought into one task."""
+    walks = range(1000, 2000)
+    types = {n: 2 for n in walks} | {n: 1 for n in (1, 2, 3)} | {n: 0 for n in range(10, 40)}
+    edges = {(n, 1 + n % 2): n % 3 - 1 for n in walks} | {(1, n): 1 for n in range(10, 40)} | {(2, 3): 0, (3, 10): -1}
+    graph = graph_from(spark, types, edges, buckets=8)
+    batch = chain_batch(spark, {n: [([(n, 2)], 0)] for n in walks})
+    params = ScoreParams(max_hops=3)
+    columns = ("seed_id", "inherits", "node_id", "n_paths", "hier", "closeness", "lower_bound", "parent_id", "dist")
+
+    def state():
+        return sorted(map(tuple, star_visit(graph, batch, SYNTHETIC, params).state.select(*columns).collect()))
+
+    want = state()
+    monkeypatch.setattr(visit, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(visit, "HOT_WALKS", 200)
+    uses = visit.star_uses(batch, SYNTHETIC, params)
+    start = visit.init_frontier(uses, graph, visit.SHARED, [])
+    steps = visit.propagate(start, 1000, 1000, start, graph, visit.SHARED, 1, params).withColumnRenamed("node_id", "node")
+    hot, arcs = visit.hot_nodes(steps, graph)
+    assert hot == [1, 2] and sorted(r["src"] for r in arcs.collect()) == [1] * len(edges_of(edges, 1)) + [2] * len(edges_of(edges, 2))
+    spread = steps.repartition(8).select(*visit.SHARED, "node", "n_paths", "hier", "lower_bound")
+    met = visit.meet(spread, 1000, 1000, graph)
+    tasks = met.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(tasks) >= 8 and "BroadcastHashJoin" in plan(met)
+    assert met.count() == spread.join(graph.edges, F.col("node") == F.col("src")).count()
+    assert state() == want
+    monkeypatch.setattr(visit, "HOT_EDGES", len(edges_of(edges, 2)))
+    assert set(visit.hot_nodes(steps, graph)[0]) <= {1, 2} and state() == want
+    monkeypatch.setattr(visit, "HOT_EDGES", 0)
+    assert visit.hot_nodes(steps, graph) == ([], None) and state() == want
+
+
+def edges_of(edges, node):
+    """Edges out of a node."""
+    return {(s, d) for s, d in edges if s == node}

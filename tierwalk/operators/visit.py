@@ -32,6 +32,8 @@ PER_STAR = ("query_id", "star_id", "seed_id", "inherits")
 WANTED_TYPES = 100
 # Frontier rows a task may hold as a hash table; the edges then stream past unsorted.
 HASH_ROWS = 1_000_000
+# Walks that must stand on a node before its edges go to them instead of them to the edges; how many such nodes and edges at most.
+HOT_WALKS, HOT_NODES, HOT_EDGES = 10_000, 1_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -130,6 +132,44 @@ def meet_edges(steps: DataFrame, rows: int, walks: int, graph: Graph) -> DataFra
     return met
 
 
+def hot_nodes(steps: DataFrame, graph: Graph) -> tuple[list[int], DataFrame | None]:
+    """Nodes of a frontier on which many walks stand, busiest first, and their edges: together ``HOT_EDGES`` at most.
+
+    Hubs are not among them: the layout deals their edges, and each piece meets the walks by itself.
+    """
+    crowds = steps.groupBy("node").agg(F.count(F.lit(1)).alias("walks")).filter(F.col("walks") > HOT_WALKS)
+    if graph.hubs is not None:
+        crowds = crowds.join(graph.hubs.select(F.col("src").alias("node")), "node", "left_anti")
+    found = [r["node"] for r in crowds.orderBy(F.desc("walks"), "node").limit(HOT_NODES).collect()]
+    if not found:
+        return [], None
+    nodes = graph.spark.createDataFrame([(n,) for n in found], "node bigint")
+    arcs = meet_edges(nodes, len(found), 1, graph).select("src", "dst", "dst_type", "level")
+    degree = {r["src"]: r["count"] for r in arcs.groupBy("src").count().collect()}
+    hot, edges = [], 0
+    for node in found:
+        if edges + degree.get(node, 0) <= HOT_EDGES:
+            hot.append(node)
+            edges += degree.get(node, 0)
+    return hot, arcs.filter(F.col("src").isin(*hot)) if hot else None
+
+
+def meet(steps: DataFrame, rows: int, walks: int, graph: Graph) -> DataFrame:
+    """As ``meet_edges``, with src, dst, dst_type and level of the edges only, and no node as a single key of many walks.
+
+    A frontier that has to be shuffled to the edges would bring all walks on a node into one task. The walks on the
+    busiest nodes stay where they are, spread like the state they come from, and the edges of these nodes are broadcast.
+    """
+    columns = [*steps.columns, "src", "dst", "dst_type", "level"]
+    # A walk is on a node once, so fewer walks cannot make a crowd.
+    hot, arcs = hot_nodes(steps, graph) if rows > BROADCAST_ROWS and walks > HOT_WALKS else ([], None)
+    if not hot:
+        return meet_edges(steps, rows, walks, graph).select(*columns)
+    crowded = F.col("node").isin(*hot)
+    apart = steps.filter(crowded).join(F.broadcast(arcs), F.col("node") == F.col("src"))
+    return meet_edges(steps.filter(~crowded), rows, walks, graph).select(*columns).unionByName(apart.select(*columns))
+
+
 def propagate(
     frontier: DataFrame,
     rows: int,
@@ -151,7 +191,7 @@ def propagate(
     """
     steps = frontier.select(*keys, F.col("node_id").alias("node"), "n_paths", "hier", "lower_bound")
     weight = edge_weight(F.col("level"), params)
-    sent = meet_edges(steps, rows, walks, graph).select(
+    sent = meet(steps, rows, walks, graph).select(
         *keys,
         F.col("dst").alias("node_id"),
         "dst_type",
