@@ -49,6 +49,11 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _letters(word: str) -> bool:
+    """Plain, and one part, without asking the patterns."""
+    return word.isascii() and word.isalpha()
+
+
 class Encoder:
     """Whole texts to ids, calling the library once per distinct word of a batch.
 
@@ -73,7 +78,7 @@ class Encoder:
         out = []
         for group, data in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
             marks = np.flatnonzero(self.ends[np.frombuffer(data, np.int32)])
-            parts = np.cumsum([len(_PART.findall(w.lower())) for w in group])
+            parts = np.cumsum([1 if _letters(w) else len(_PART.findall(w.lower())) for w in group])
             if parts[-1] != len(marks):  # not a vocabulary of this kind
                 out += self._encoded(group)
                 continue
@@ -82,17 +87,19 @@ class Encoder:
         return out
 
     def _ids(self, distinct: list[bytes]) -> list[bytes]:
-        new = [w for w in distinct if w not in self.known]
-        words = [w.decode() for w in new]
-        plain = [bool(_PLAIN.match(w)) for w in words]
+        known = self.known
+        out = [known.get(w) for w in distinct]
+        new = [i for i, ids in enumerate(out) if ids is None]
+        words = [distinct[i].decode() for i in new]
+        plain = [_letters(w) or bool(_PLAIN.match(w)) for w in words]
         alone = iter(self._encoded([w for w, p in zip(words, plain, strict=True) if not p]))
         together = iter(self._encoded_together([w for w, p in zip(words, plain, strict=True) if p]))
-        fresh = {w: next(together if p else alone) for w, p in zip(new, plain, strict=True)}
-        known = self.known
-        out = [fresh[w] if w in fresh else known[w] for w in distinct]
-        short = [w for w in new if len(w) <= LONGEST]
-        for w in short[: max(0, REMEMBERED - len(known))]:
-            known[w] = fresh[w]
+        for i, p in zip(new, plain, strict=True):
+            out[i] = next(together if p else alone)
+        room = REMEMBERED - len(known)
+        if room > 0:
+            short = [i for i in new if len(distinct[i]) <= LONGEST]
+            known.update((distinct[i], out[i]) for i in short[:room])
         return out
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
