@@ -112,6 +112,12 @@ def graph_of(spark: SparkSession, folder: str) -> Graph:
     return _GRAPHS[key]
 
 
+def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of a folder's graph, from its layout if there is one; none is written for them."""
+    key = (spark.sparkContext.applicationId, folder)
+    return (_GRAPHS.get(key) or commerce_graph(spark, folder)).nodes
+
+
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
 
@@ -306,7 +312,7 @@ def star_set_seeds(spark, folder):
 
 
 def picked_seeds(spark, folder):
-    return pick_seeds(graph_of(spark, folder).nodes, 50)
+    return pick_seeds(nodes_of(spark, folder), 50)
 
 
 # --- visits and stars ----------------------------------------------------------------

@@ -172,3 +172,11 @@ def test_queries_differ_from_the_plain_ones(name):
 def test_every_leg_of_the_size_sweep_has_rows():
     rows = connect(FOLDER).execute(f"SELECT ratio, COUNT(*) FROM ({q.ORACLE['size_sweep']}) GROUP BY ratio").fetchall()
     assert len(rows) == 5 and all(n for _, n in rows)
+
+
+def test_seeds_are_picked_without_a_layout(spark):
+    folder = "/root/testdata/sf0.001/"
+    rows = q.QUERIES["pick_seeds"](spark, folder).collect()
+    assert (spark.sparkContext.applicationId, folder) not in q._GRAPHS
+    want = connect(folder).execute(q.ORACLE["pick_seeds"]).fetchall()
+    assert sorted(map(tuple, rows)) == sorted(want) and want
