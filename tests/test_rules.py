@@ -18,6 +18,7 @@ from tierwalk import (
     star_batch,
     star_visit,
 )
+from tierwalk.operators import chain as chains
 from tierwalk.operators import visit as visits
 from tierwalk.operators.chain import keep_leading
 from tierwalk.params import SYNTHETIC
@@ -180,3 +181,25 @@ def test_seeds_are_picked_without_a_layout(spark):
     assert (spark.sparkContext.applicationId, folder) not in q._GRAPHS
     want = connect(folder).execute(q.ORACLE["pick_seeds"]).fetchall()
     assert sorted(map(tuple, rows)) == sorted(want) and want
+
+
+@pytest.fixture(scope="module")
+def fan(spark):
+    """From 1 two hops to 3, and two hops to each of the fan 51 to 59, from where the walk could go on."""
+    wide = [(50, n, 0) for n in range(51, 60)] + [(n, n + 100, 0) for n in range(51, 60)]
+    types = {n: 4 for e in wide for n in e[:2]} | {1: 0, 2: 4, 3: 1}
+    return graph_from(spark, types, [(1, 2, 0), (2, 3, 0), (1, 50, 0), *wide])
+
+
+def _one_link(spark):
+    rows = [(1, 0, 1, 1, 0, 0.9), (1, 1, 1, 3, 1, 0.9)]
+    found = spark.createDataFrame(rows, "query_id long, star_id int, rank int, node_id long, type_id int, score double")
+    return chain_batch(spark, {1: [([(1, 4)], 0), ([(3, 4)], 1)]}), found
+
+
+@pytest.mark.parametrize("prune", [None, "bound"])
+def test_links_walk_towards_their_targets(spark, fan, prune):
+    batch, found = _one_link(spark)
+    visit, _ = chains.link_visit(fan, batch, found, SYNTHETIC, ScoreParams(max_hops=3, prune=prune))
+    assert {r.node_id for r in visit.state.collect()} == {1, 2, 50, 3}
+    assert visit.linked
