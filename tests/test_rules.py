@@ -183,6 +183,17 @@ def test_seeds_are_picked_without_a_layout(spark):
     assert sorted(map(tuple, rows)) == sorted(want) and want
 
 
+@pytest.mark.parametrize("max_hops", [None, 4])
+def test_stars_asked_for_answers_end_by_themselves(spark, path, max_hops):
+    params, batch = ScoreParams(k=1, max_hops=max_hops), star_batch(spark, [(1, 4)], 0)
+    graph = lay_out(path)
+    full = star_visit(graph, batch, SYNTHETIC, params)
+    short = star_visit(graph, batch, SYNTHETIC, params, answers_only=True)
+    assert len(full.hops) >= 5 and len(short.hops) == 3
+    assert answers(graph, [(1, 4)], params) == answers(path, [(1, 4)], params) == [(1, 10, 0.9)]
+    close_graph(graph)
+
+
 @pytest.fixture(scope="module")
 def fan(spark):
     """From 1 two hops to 3, and two hops to each of the fan 51 to 59, from where the walk could go on."""

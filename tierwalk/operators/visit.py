@@ -273,7 +273,8 @@ def star_visit(
 
     ``answers_only`` leaves out what cannot lead to one of the k answers. At ``max_hops`` these are the nodes
     that can be none: nobody walks on from there, and the last hop is the largest. For links they are, at every hop,
-    the nodes from which no target can be reached in the hops left.
+    the nodes from which no target can be reached in the hops left. Stars end like with ``early_stop``, once no
+    other node can enter their k best, if the layout knows that its levels allow it.
     ``targets``      (query_id, star_id, node_id): wanted nodes, in place of all nodes of
                      the wanted type (links of a chain)
     ``seed_scores``  (query_id, star_id, seed_id, seed_score): star scores of link seeds,
@@ -294,6 +295,8 @@ def star_visit(
     watched = {}
     try:
         rows = log.append(start, 0)[0]
+        # Few stars are decided before their second hop: those that end by themselves are judged from there on.
+        judged_from, plain = 1, params.stop == "fixpoint" and not params.prune
         if params.early_stop:
             check_levels(graph)
             rule = EarlyRule(ws, uses, keys, params)
@@ -303,6 +306,8 @@ def star_visit(
             rule = LinkRule(ws, uses, log.upto(0), keys, targets)
             few = few_ids(targets, "node_id", 0, BUCKET_IDS)
             watched = {"hits": F.col("node_id").isin(*few)} if few else {}
+        elif answers_only and plain and graph.odd_levels == 0 and (params.max_hops is None or params.max_hops > 2):
+            rule, judged_from = EarlyRule(ws, uses, keys, params), 2
 
         hops, hop, hits = [rows], 0, None
         last = params.max_hops if answers_only else None
@@ -316,8 +321,8 @@ def star_visit(
             new = frontier if hop > 1 else log.upto(1)
             if hop and pruner:
                 frontier, rows = pruner.judge(hop, new, frontier)
-            if hop and rule:
-                rule.after(hop, new, hits)
+            if hop >= judged_from and rule:
+                rule.after(hop, new if hop > judged_from else log.upto(hop), hits)
                 if not rule.running:
                     break
                 if rule.stops is not None:
