@@ -13,6 +13,7 @@ from tierwalk import (
     close_graph,
     general_query,
     lay_out,
+    link_candidates,
     open_graph,
     remove_edges,
     star_batch,
@@ -214,3 +215,25 @@ def test_links_walk_towards_their_targets(spark, fan, prune):
     visit, _ = chains.link_visit(fan, batch, found, SYNTHETIC, ScoreParams(max_hops=3, prune=prune))
     assert {r.node_id for r in visit.state.collect()} == {1, 2, 50, 3}
     assert visit.linked
+
+
+@pytest.mark.parametrize("prune", [None, "bound"])
+def test_unbounded_links_try_short_bounds_first(spark, fan, monkeypatch, prune):
+    batch, found = _one_link(spark)
+    bounds, walk = [], chains.link_visit
+
+    def watched(graph, batch, answers, domain, params):
+        bounds.append(params.max_hops)
+        return walk(graph, batch, answers, domain, params)
+
+    monkeypatch.setattr(chains, "link_visit", watched)
+    rows = link_candidates(fan, batch, found, SYNTHETIC, ScoreParams(prune=prune)).collect()
+    assert [(r.source_id, r.target_id, round(r.closeness, 6)) for r in rows] == [(1, 3, 0.81)]
+    assert bounds == [3]
+
+
+def test_links_without_a_way_end(spark, monkeypatch):
+    """No short bound reaches the target: the walk goes on as far as it may."""
+    graph = graph_from(spark, {1: 0, 2: 4, 3: 1}, [(1, 2, 0)])
+    batch, found = _one_link(spark)
+    assert link_candidates(graph, batch, found, SYNTHETIC, ScoreParams()).collect() == []
