@@ -150,9 +150,9 @@ def _chain(spark, folder, chains, **changes) -> DataFrame:
     return _tuples(general_query(graph_of(spark, folder), batch, COMMERCE, PARAMS.with_(**changes)))
 
 
-def _visit(spark, folder, hops=HOPS):
+def _visit(spark, folder, hops=HOPS, **options):
     batch = chain_batch(spark, STAR_ONLY)
-    return star_visit(graph_of(spark, folder), batch, COMMERCE, PARAMS.with_(max_hops=hops))
+    return star_visit(graph_of(spark, folder), batch, COMMERCE, PARAMS.with_(max_hops=hops), **options)
 
 
 # --- graph -------------------------------------------------------------------------
@@ -358,7 +358,7 @@ def named_star_query(spark, folder):
 
 
 def star_details(spark, folder):
-    visit = _visit(spark, folder)
+    visit = _visit(spark, folder, answers_only=True)
     rows = answer_details(visit, star_answers(visit, K))
     return _rounded(
         rows.select("rank", "node_id", F.inline("detail")), "closeness", "lower_bound"
@@ -428,7 +428,7 @@ def _links(spark, folder, **changes):
 
 
 def found_paths(spark, folder):
-    visit = _visit(spark, folder)
+    visit = _visit(spark, folder, answers_only=True)
     paths = answer_paths(visit, star_answers(visit, K))
     return paths.withColumn("path", _ids("path"))
 
