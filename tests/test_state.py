@@ -243,3 +243,45 @@ def test_many_walks_on_one_node(spark, monkeypatch):
 def edges_of(edges, node):
     """Edges out of a node."""
     return {(s, d) for s, d in edges if s == node}
+
+
+@pytest.mark.parametrize("prune", [None, "bound"])
+def test_filled_types_get_no_messages(spark, monkeypatch, prune):
+    """Once a walk has every node of a type, nothing is sent there, and what it finds stays the same."""
+    types = {0: 2, **{n: 0 for n in range(1, 6)}, **{n: 1 for n in range(6, 12)}, 12: 2}
+    edges = {(a, b): 0 for n in range(1, 6) for a, b in [(0, n), (n, 0), (n, n + 5), (n + 5, n), (n, n + 6), (12, n + 6)]}
+    graph = graph_from(spark, types, edges, buckets=2)
+    batch = chain_batch(spark, {1: [([(0, 2), (12, 2)], 0)]})
+    params = ScoreParams(max_hops=None, prune=prune)
+
+    def rows():
+        found = star_visit(graph, batch, SYNTHETIC, params)
+        return sorted(map(str, found.state.select(*sorted(found.state.columns)).collect())), found.hops
+
+    want, known, after = rows(), [], visit.Filled.after
+
+    def watching(self, hop, log):
+        full = after(self, hop, log)
+        known.append([] if full is None else sorted((r["seed_id"], r["dst_type"]) for r in full.collect()))
+        return full
+
+    for module in ("workspace", "operators.filled"):
+        monkeypatch.setattr(f"tierwalk.{module}.SMALL", -1)
+    monkeypatch.setattr(visit.Filled, "after", watching)
+    assert rows() == want
+    assert known[:2] == [[], [(0, 0)]]
+
+
+def test_reduces_are_dealt_like_the_edges(spark, random_graph, monkeypatch):
+    """A larger graph has more buckets, and its walk as many partitions and buckets of state."""
+    types, edges, _ = random_graph
+    parts = []
+    append = Log.append
+
+    def watching(self, *args, **counted):
+        parts.append((self.buckets, spark.conf.get("spark.sql.shuffle.partitions")))
+        return append(self, *args, **counted)
+
+    monkeypatch.setattr(Log, "append", watching)
+    star_visit(graph_from(spark, types, edges, buckets=5), chain_batch(spark, {1: [([(1, 2)], 0)]}), SYNTHETIC, ScoreParams())
+    assert set(parts) == {(5, "5")} and spark.conf.get("spark.sql.shuffle.partitions") == "2"
