@@ -16,6 +16,7 @@ from tierwalk import (
     with_names,
     with_type_names,
 )
+from tierwalk.operators.graph import dedup_edges
 from tierwalk.params import BIBLIOGRAPHY, PRODUCT
 from tierwalk.plans.decompose import decompose_query
 
@@ -130,3 +131,27 @@ def test_decompose(spark):
     )
     assert tuples(got.seeds) == tuples(want.seeds)
     assert tuples(got.stars) == tuples(want.stars)
+
+
+def test_parallel_edges_are_not_sorted(spark):
+    """The strongest level is found by hashing, ties and nulls as before."""
+    rows = [(1, 2, -2), (1, 2, 2), (1, 2, 1), (3, 4, -1), (3, 4, 0), (5, 6, None), (5, 6, -3), (7, 8, None), (9, 9, 0)]
+    found = dedup_edges(spark.createDataFrame(rows, "src long, dst long, level int"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.schema["level"].dataType.simpleString() == "int"
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, 2, 2), (3, 4, -1), (5, 6, -3), (7, 8, None), (9, 9, 0)]
+
+
+def test_layout_completes_nodes_from_sources_and_loose_targets(spark):
+    """Ends without a node row on either side become nodes, in the layout as without; its tables declare no order to sort by."""
+    nodes = spark.createDataFrame([(1, 2), (2, 1)], "node_id long, type_id int")
+    edges = spark.createDataFrame([(1, 2, 0), (2, 3, 1), (4, 1, 0), (5, 6, -1)], "src long, dst long, level int")
+    graph = build_graph(nodes, edges)
+    laid = lay_out(graph, buckets=2)
+    for g in (graph, laid):
+        assert sorted((r.node_id, r.type_id, r.implicit) for r in g.nodes.collect()) == [
+            (1, 2, False), (2, 1, False), (3, 0, True), (4, 0, True), (5, 0, True), (6, 0, True)
+        ]
+        assert sorted(g.edges.columns) == ["dst", "dst_type", "level", "src"]
+    told = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {laid.table}").collect()}
+    assert told["Sort Columns"] == "[]" if "Sort Columns" in told else True

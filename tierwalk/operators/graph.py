@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierwalk.params import Domain
-from tierwalk.workspace import Workspace
+from tierwalk.workspace import WRITERS, Workspace, setting
 
 # A source with more edges than this is cut into pieces.
 PIECE_ROWS = 1_000_000
@@ -24,6 +24,8 @@ BUCKET_IDS = 2_000
 BROADCAST_ROWS = 200_000
 # Row groups of a nested layout; a fraction reads those that begin within it.
 NESTED_BYTES = 16 << 20
+# Nodes of a task, as shuffled, up to which edges meet them in a hash table; not under Spark's advisory size of a partition.
+HASH_BYTES = "64m"
 # Spark's own limit.
 MAX_BUCKETS = 100_000
 # With the piece size also at least total / MAX_HUBS, which is a bucket's share of the largest graphs, no more
@@ -36,7 +38,8 @@ class Graph:
     """nodes(node_id, type_id, name, raw_name, implicit) and edges(src, dst, level, dst_type).
 
     ``declared`` are the nodes that were given, as against those only seen in edges; it
-    serves the layout, which completes them from edges already written.
+    serves the layout, which completes them from edges already written. ``marked`` are the edges with a column ``loose``:
+    the target is not declared.
 
     The edges carry the type of their target, so a walk never joins the nodes. A laid
     out graph has its edges in ``buckets`` by source, and its nodes by id. Edges taken out of it stay in the buckets:
@@ -59,6 +62,7 @@ class Graph:
     node_table: str | None = None
     stored: DataFrame | None = None
     removed: DataFrame | None = None
+    marked: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -72,7 +76,7 @@ class Graph:
     def edges_where(self, narrow: Callable[[DataFrame], DataFrame]) -> Graph:
         """The graph with fewer edges; they stay in their buckets."""
         stored = None if self.stored is None else narrow(self.stored)
-        return replace(self, edges=narrow(self.edges), stored=stored)
+        return replace(self, edges=narrow(self.edges), stored=stored, marked=None)
 
 
 def few_ids(df: DataFrame, column: str, rows: int, limit: int) -> list[int]:
@@ -100,9 +104,14 @@ def _with_columns(nodes: DataFrame) -> DataFrame:
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
-    """One row per (src, dst): the largest absolute level, the positive one on a tie."""
-    strongest = F.max(F.struct(F.abs("level").alias("size"), F.col("level").alias("level")))
-    return edges.groupBy("src", "dst").agg(strongest["level"].alias("level"))
+    """One row per (src, dst): the largest absolute level, the positive one on a tie.
+
+    Size and sign are one number, which is aggregated by hashing; a struct would sort all edges before and after the shuffle."""
+    level, kind = F.col("level").cast("bigint"), edges.schema["level"].dataType
+    strongest = F.max(2 * F.abs(level) + F.when(level > 0, 1).otherwise(0)).alias("strongest")
+    size = F.shiftright("strongest", 1)
+    signed = F.when(F.col("strongest") % 2 == 1, size).otherwise(-size).cast(kind)
+    return edges.groupBy("src", "dst").agg(strongest).select("src", "dst", signed.alias("level"))
 
 
 def build_graph(
@@ -127,15 +136,21 @@ def build_graph(
     if not distinct_edges:
         arcs = dedup_edges(arcs)
     types = known.select(F.col("node_id").alias("dst"), F.col("type_id").alias("dst_type"))
-    typed = arcs.join(types, "dst", "left").select(
-        "src", "dst", "level", F.coalesce("dst_type", F.lit(default_type)).cast("int").alias("dst_type")
+    types = types.withColumn("found", F.lit(True))
+    marked = arcs.join(types, "dst", "left").select(
+        "src",
+        "dst",
+        "level",
+        F.coalesce("dst_type", F.lit(default_type)).cast("int").alias("dst_type"),
+        F.col("found").isNull().alias("loose"),
     )
-    return Graph(complete_nodes(known, arcs, default_type), typed, known, default_type)
+    ends = arcs.select(F.col("src").alias("node_id")).union(arcs.select("dst")).distinct()
+    nodes = complete_nodes(known, ends, default_type)
+    return Graph(nodes, marked.drop("loose"), known, default_type, marked=marked)
 
 
-def complete_nodes(declared: DataFrame, edges: DataFrame, default_type: int) -> DataFrame:
-    """Declared nodes plus the edge ends that are not among them."""
-    ends = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+def complete_nodes(declared: DataFrame, ends: DataFrame, default_type: int) -> DataFrame:
+    """Declared nodes plus the edge ends (node_id) that are not among them."""
     implicit = ends.join(declared, "node_id", "left_anti").select(
         "node_id",
         F.lit(default_type).cast("int").alias("type_id"),
@@ -171,10 +186,13 @@ def lay_out(
     root = path or ws.path
     # Written first: counting, cutting and bucketing then read it instead of assembling
     # the edges again.
-    arcs = graph.edges.select("src", "dst", "level", "dst_type")
+    facts = ["src", "dst", "level", "dst_type"]
+    arcs = graph.edges.select(*facts) if graph.marked is None else graph.marked.select(*facts, "loose")
     if shares:
         arcs = arcs.withColumn("share", F.greatest(_share("src"), _share("dst")))
-    written, total, odd_levels = ws.save_counting(arcs, "arcs", ~F.col("level").between(-1, 1))
+    # Where the nodes of a task are few, the edges stream past them unsorted.
+    with setting(spark, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", HASH_BYTES):
+        written, total, odd_levels = ws.save_counting(arcs, "arcs", ~F.col("level").between(-1, 1))
 
     bounded = piece_rows is None
     size = piece_rows or max(PIECE_ROWS, -(-total // MAX_HUBS))
@@ -187,7 +205,7 @@ def lay_out(
     )
     if path:
         hubs.write.parquet(f"{root}/hubs")
-    arcs, key, n_pieces = written, "src", 0
+    arcs, key, n_pieces = written.drop("loose"), "src", 0
     if n_hubs:
         n_pieces = hubs.agg(F.sum("pieces")).first()[0]
         side = F.broadcast(hubs) if bounded else hubs
@@ -200,25 +218,31 @@ def lay_out(
         buckets = min(MAX_BUCKETS, max(cores, -(-total // BUCKET_ROWS)))
     table = f"tierwalk_edges_{uuid.uuid4().hex}"
     order = ["share", key] if shares else [key]
-    writer = arcs.repartition(buckets, key).sortWithinPartitions(*order).write.bucketBy(buckets, key).sortBy(*order)
+    writer = arcs.repartition(buckets, key).sortWithinPartitions(*order).write.bucketBy(buckets, key)
     if shares:
         writer = writer.option("parquet.block.size", NESTED_BYTES)
-    writer.option("path", f"{root}/edges").format("parquet").saveAsTable(table)
+    # A task writes one bucket in the order it is in; a declared order would have every task sort its rows again, by bucket.
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+        writer.option("path", f"{root}/edges").format("parquet").saveAsTable(table)
     nodes = graph.nodes
     if graph.declared is not None:
-        nodes = complete_nodes(graph.declared, written, graph.default_type)
+        # Sources are told apart bucket by bucket; of the targets only those without a node row are left to look at.
+        loose = written.where("loose") if graph.marked is not None else written
+        ends = spark.table(table).select(F.col("src").alias("node_id")).distinct().union(loose.select("dst")).distinct()
+        nodes = complete_nodes(graph.declared, ends, graph.default_type)
     if shares:
         nodes = nodes.withColumn("share", _share("node_id"))
     # By id, so that a look-up reads the buckets of its ids and a few row groups of them.
     node_table = f"tierwalk_nodes_{uuid.uuid4().hex}"
     dealt = nodes.repartition(buckets, "node_id").sortWithinPartitions("node_id")
-    writer = dealt.write.bucketBy(buckets, "node_id").sortBy("node_id")
-    writer.option("path", f"{root}/nodes").format("parquet").saveAsTable(node_table)
+    writer = dealt.write.bucketBy(buckets, "node_id")
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+        writer.option("path", f"{root}/nodes").format("parquet").saveAsTable(node_table)
     # The layout is whole; what it was made from would be a second copy of the graph.
     ws.drop("arcs")
     if path:
-        facts = [(buckets, key, n_pieces, bounded, odd_levels)]
-        spark.createDataFrame(facts, LAYOUT_FACTS).coalesce(1).write.parquet(f"{root}/layout")
+        row = (buckets, key, n_pieces, bounded, odd_levels)
+        spark.createDataFrame([row], LAYOUT_FACTS).coalesce(1).write.parquet(f"{root}/layout")
     return Graph(
         spark.table(node_table),
         spark.table(table),
@@ -384,10 +408,10 @@ def remove_edges(graph: Graph, pairs: DataFrame) -> Graph:
     pairs = pairs.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"))
     kept = graph.edges.join(pairs, ["src", "dst"], "left_anti")
     if not graph.buckets:
-        return replace(graph, edges=kept, declared=None)
+        return replace(graph, edges=kept, declared=None, marked=None)
     removed = pairs if graph.removed is None else graph.removed.unionByName(pairs)
     stored = graph.edges if graph.stored is None else graph.stored
-    return replace(graph, edges=kept, declared=None, stored=stored, removed=removed)
+    return replace(graph, edges=kept, declared=None, stored=stored, removed=removed, marked=None)
 
 
 def _share(node_id: str) -> Column:
