@@ -140,3 +140,12 @@ def test_file_sweep_and_sinks(spark, tmp_path):
     for millis in (5, 6):
         write_run_metrics(spark, f"{out}-runs", "star", 5, millis)
     assert tuples(spark.read.parquet(f"{out}-runs")) == [("star", 5, 5), ("star", 5, 6)]
+
+
+def test_separators_need_no_pattern(spark):
+    """A plain separator is not quoted, one with a meaning in patterns is."""
+    lines = spark.createDataFrame([("1|2|higher",)], "value string")
+    assert [tuple(r) for r in parse_edge_lines(lines, "|").collect()] == [(1, 2, 1)]
+    plain = parse_edge_lines(spark.createDataFrame([("1\t2\thigher",)], "value string"))
+    assert "\\Q" not in plain._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in plain.collect()] == [(1, 2, 1)]

@@ -20,8 +20,10 @@ SEED_STRIDE = 10
 
 
 def _fields(lines: DataFrame, sep: str) -> DataFrame:
-    """Split the lines on a literal separator, leaving out blank ones."""
-    quoted = "\\Q" + sep + "\\E"
+    """Split the lines on a literal separator, leaving out blank ones.
+
+    One plain character is split without a pattern; quoted, a pattern would be compiled for every line."""
+    quoted = sep if len(sep) == 1 and sep not in ".$|()[{^?*+\\" else "\\Q" + sep + "\\E"
     return lines.filter(F.trim("value") != "").select(F.split("value", quoted).alias("f"))
 
 
