@@ -149,3 +149,18 @@ def test_separators_need_no_pattern(spark):
     plain = parse_edge_lines(spark.createDataFrame([("1\t2\thigher",)], "value string"))
     assert "\\Q" not in plain._jdf.queryExecution().analyzed().toString()
     assert [tuple(r) for r in plain.collect()] == [(1, 2, 1)]
+
+
+def test_adjacency_sections_are_cut_before_they_are_split(spark):
+    texts = {
+        1: "higher: 2 3 lower: 4 same: 5",
+        2: "lower:  6 same:",
+        3: "same: 7 8 ",
+        4: "higher: lower: 9",
+        5: "higher: 1 xlower: 2",
+    }
+    lines = spark.createDataFrame([(f"{n}\t0\t{t}",) for n, t in texts.items()], "value string")
+    edges = parse_adjacency(lines)[1]
+    assert "rlike" not in edges._jdf.queryExecution().analyzed().toString().lower()
+    got = sorted(tuple(r) for r in edges.select("src", "dst", "level").collect())
+    assert got == [(1, 2, 1), (1, 3, 1), (1, 4, -1), (1, 5, 0), (2, 6, -1), (3, 7, 0), (3, 8, 0), (4, 9, -1), (5, 1, 1), (5, 2, -1)]

@@ -66,13 +66,17 @@ def _section(text: Column, keyword: str) -> Column:
     others = "|".join(k for k in SECTION_LEVELS if k != keyword)
     # The first occurrence counts; the keyword is followed by a colon and a space.
     rest = F.substring(text, F.locate(keyword, text) + len(keyword) + 2, F.length(text))
-    tokens = (
+    # The text is cut before it is split, so that each neighbour is looked at once.
+    found = F.regexp_instr(rest, F.lit(others))
+    before = F.substring(rest, F.lit(1), found - 1)
+    whole = F.length(before) - F.length(F.substring_index(before, " ", -1))
+    own = (
         F.when(rest == "", F.array(F.lit("")))
         .when(F.rtrim(rest) == "", F.array().cast("array<string>"))
-        .otherwise(F.split(F.rtrim(rest), " "))
+        .when(found == 0, F.split(F.rtrim(rest), " "))
+        .when(whole == 0, F.array().cast("array<string>"))
+        .otherwise(F.split(F.substring(before, F.lit(1), whole - 1), " "))
     )
-    end = F.array_position(F.transform(tokens, lambda t: t.rlike(others)), True)
-    own = F.when(end == 0, tokens).otherwise(F.slice(tokens, F.lit(1), (end - 1).cast("int")))
     return F.when(F.contains(text, F.lit(keyword)), own)
 
 
