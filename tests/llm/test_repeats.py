@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -183,3 +184,30 @@ def test_range_hash():
     one = ranges.of(np.array([20]), np.array([30]))
     assert one == ranges.of(np.array([3]), np.array([13])) and one == ranges.runs(10)[3]
     assert len(set(ranges.runs(10).tolist())) == 30
+
+
+def test_a_shard_holds_one_slice_of_its_texts_at_a_time(monkeypatch):
+    """Same cuts and probes whatever the slice, in far less memory than for the shard as a whole."""
+    dice = random.Random(3)
+    names = [f"word{n}" for n in range(5000)]
+    shared = [dice.choices(names, k=60) for _ in range(200)]
+    texts = [" ".join(dice.choices(names, k=40) + dice.choice(shared) + dice.choices(names, k=40)) for _ in range(2500)]
+    docs = pa.record_batch({"doc_id": pa.array(range(2500)), "text": pa.array(texts), "shard": pa.array([7] * 2500, pa.int32())})
+    words, found = phrases._blocks(Texts(docs.column("text")), 35, 8)
+    windows, n = np.unique(found.hashes.runs(35), return_counts=True)
+    value = np.append(found.value, windows[n > 1])
+    kind = np.append(np.full(len(found.value), phrases.PROBED), np.full((n > 1).sum(), phrases.SINGLE))
+    marks = pa.table({"shard": np.full(len(value), 7, np.int32), "kind": kind, "value": value.view(np.int64)})
+
+    def run(slice_bytes):
+        monkeypatch.setattr(phrases, "SLICE_BYTES", slice_bytes)
+        tracemalloc.start()
+        cut = phrases.cut_shard(docs, marks, 35, 8, "text", ["kept", "n_words", "n_removed"])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return cut.to_pydict(), phrases.probe_windows(pa.table(docs), marks, 35, 8).to_pydict(), peak
+
+    whole, sliced, tiny = run(1 << 30), run(1 << 17), run(1)
+    assert whole[:2] == sliced[:2] == tiny[:2]
+    assert sum(whole[0]["n_removed"]) > 2000 * 60
+    assert 3 * sliced[2] < whole[2]

@@ -6,7 +6,7 @@ longest single text, which is always held whole).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that wide rows do not pile up."""
     for batch in batches:
         column = batch.column(text)
@@ -120,7 +120,7 @@ def coded(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 
 def hashes(values: pa.Array) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(v) for v in values.to_pylist()), dtype=np.uint64, count=len(values))
+    return np.fromiter(map(digest, values.to_numpy(zero_copy_only=False)), dtype=np.uint64, count=len(values))
 
 
 def windows(values: np.ndarray, size: int) -> np.ndarray:

@@ -4,12 +4,13 @@
    passage, all its windows are. A block seen once may still share windows with others
    that have its gram; such blocks hand out their windows one by one.
 2. These windows are counted; those seen twice are recurring passages too.
-3. Documents are dealt to shards of bounded size. Each shard compiles one Aho-Corasick automaton over
-   sequences of words, one for each different run of confirmed passages in it, and streams all its
-   documents through. What a match covers is cut out.
+3. Documents are dealt to shards of bounded size, and what is confirmed goes to the shards it occurs in. A shard takes its
+   documents slice by slice: each slice compiles one Aho-Corasick automaton over sequences of words, one for each different
+   run of confirmed passages in it, and streams its documents through. What a match covers is cut out.
 
 Shards grow in number with the corpus and not in size, and each gets only the passages that occur in it, so work
-and memory follow the text. Counts are summed per task before they are shuffled.
+and memory follow the text; an automaton and the arrays over words and bytes are those of one slice (of its longest
+text, if that is longer). Counts are summed per task before they are shuffled.
 
 Defined results: a null or empty text has no words; fewer words than a window stay as they are;
 null ids, repeated rows and ids are rows like any other, and count as occurrences of their own; all columns are kept; added columns
@@ -30,8 +31,8 @@ from tierwalk.llm.anchors import Blocks, blocks, covered, inside, ranges
 from tierwalk.llm.batches import Texts, Words, pieces
 from tierwalk.workspace import Workspace
 
-#: Words of a window, words of a gram, and bytes of text in a shard.
-WINDOW, GRAM, SHARD_BYTES = 35, 8, 8 << 20
+#: Words of a window, words of a gram, bytes of text in a shard, and those that a shard works on at a time.
+WINDOW, GRAM, SHARD_BYTES, SLICE_BYTES = 35, 8, 8 << 20, 1 << 20
 
 SETTLED, PROBED, SINGLE = 1, 2, 3
 
@@ -78,11 +79,18 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def probe_windows(docs: pa.Table, marks: pa.Table, window: int, gram: int) -> pa.Table:
     """(value, shard, n): the windows of the blocks that are to be probed, each block once."""
-    _, found = _blocks(Texts(docs.column("text").combine_chunks()), window, gram)
-    probed = np.flatnonzero(_among(found.value, _sorted(marks, PROBED)))
-    probed = probed[np.unique(found.value[probed], return_index=True)[1]]
-    start = ranges(found.first[probed], found.last[probed] + 1)
-    value, n = np.unique(found.hashes.of(start, start + window), return_counts=True)
+    wanted = _sorted(marks, PROBED)
+    done, values = np.zeros(len(wanted), bool), [np.zeros(0, np.uint64)]
+    for batch in pieces(docs.select(["text"]).to_batches(), "text", SLICE_BYTES):
+        _, found = _blocks(Texts(batch.column(0)), window, gram)
+        probed = np.flatnonzero(_among(found.value, wanted))
+        probed = probed[np.unique(found.value[probed], return_index=True)[1]]
+        place = np.searchsorted(wanted, found.value[probed])
+        probed = probed[~done[place]]
+        done[place] = True
+        start = ranges(found.first[probed], found.last[probed] + 1)
+        values.append(found.hashes.of(start, start + window))
+    value, n = np.unique(np.concatenate(values), return_counts=True)
     shard = marks.column("shard")[0].as_py() if len(marks) else 0
     return pa.table({"value": _signed(value), "shard": pa.array(np.full(len(value), shard, np.int32)), "n": n.astype(np.int64)})
 
@@ -99,15 +107,14 @@ def passages(marked: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(opens), np.flatnonzero(shuts)
 
 
-def cut_shard(texts: Texts, marks: pa.Table, window: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(what is kept of each text, its words, its words removed)."""
+def cut_slice(texts: Texts, known: np.ndarray, single: np.ndarray, window: int, gram: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(what is kept of each text, its words, its words removed), given the settled blocks and single windows of the shard."""
     words = Words(texts)
     codes, _ = words.coded()
     n_words = np.diff(words.first)
     found = blocks(words.hashed(), words.first, window, gram)
-    settled = np.flatnonzero(_among(found.value, _sorted(marks, SETTLED)))
+    settled = np.flatnonzero(_among(found.value, known))
     start, stop = found.first[settled], found.last[settled] + window
-    single = _sorted(marks, SINGLE)
     if len(single):
         at = np.flatnonzero(_among(found.hashes.runs(window), single) & inside(words.first, len(words), window))
         start, stop = np.append(start, at), np.append(stop, at + window)
@@ -145,6 +152,20 @@ def cut_shard(texts: Texts, marks: pa.Table, window: int, gram: int) -> tuple[li
     return kept, n_words, n_removed
 
 
+def cut_shard(docs: pa.RecordBatch, marks: pa.Table, window: int, gram: int, text: str, added: list[str]) -> pa.Table:
+    """docs, with what is kept of each text, its words and its words removed as columns ``added``."""
+    known, single = _sorted(marks, SETTLED), _sorted(marks, SINGLE)
+    fields = [pa.field(name, kind) for name, kind in zip(added, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+    schema = pa.schema([*docs.schema, *fields])
+    done = []
+    for batch in pieces([docs], text, SLICE_BYTES):
+        kept, n_words, n_removed = cut_slice(Texts(batch.column(text)), known, single, window, gram)
+        out = pa.array([k.decode() for k in kept], pa.string())
+        counts = [pa.array(n.astype(np.int64)) for n in (n_words, n_removed)]
+        done.append(pa.RecordBatch.from_arrays([*batch.columns, out, *counts], schema=schema))
+    return pa.Table.from_batches(done, schema)
+
+
 def cut_repeats(
     docs: DataFrame,
     window: int = WINDOW,
@@ -191,15 +212,9 @@ def cut_repeats(
     twice = probes.groupBy("value").agg(F.sum("n").alias("total")).where("total > 1").select("value")
     singles = probes.join(twice, "value").select("shard", F.lit(SINGLE).alias("kind"), "value")
 
-    names = docs.columns
-    at = names.index(text)
-
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = left.column("row").combine_chunks()
-        columns = rows.flatten()
-        kept, n_words, n_removed = cut_shard(Texts(columns[at]), right, window, gram)
-        out = pa.array([k.decode() for k in kept], pa.string())
-        return pa.Table.from_arrays([*columns, out, pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64))], names=[*names, *added])
+        rows = pa.RecordBatch.from_struct_array(left.column("row").combine_chunks())
+        return cut_shard(rows, right, window, gram, text, added)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     fields += [f"`{added[0]}` string", f"`{added[1]}` bigint", f"`{added[2]}` bigint"]
