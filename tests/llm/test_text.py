@@ -83,6 +83,37 @@ def test_long_words_are_not_remembered():
     assert encoder.known and max(map(len, encoder.known)) <= tokenfile.LONGEST
 
 
+NASTY = [*"aZsSt19.,!-_<>|'éÉßİıſ×÷ŉǅÿĀɏɐɿʰªµ²¡漢… K\u212b\u0308\u0331\u0307\u0338\u00a0\u0085\x1c\x00\x7fHI", "'S", "'re", "<|endoftext|>", "<|ENDOFTEXT|>", "\u2003"]
+
+
+def test_parts_of_words_are_cut_as_the_library_cuts_them():
+    dice, library = random.Random(4), Tokenizer.from_file(WORD)
+    texts = ["".join(dice.choices(NASTY, k=dice.randrange(12))) for _ in range(6000)]
+    texts += [a + b + c for a in "aA.1é" for b in NASTY for c in "aA.1é"]
+    encoder = tokenfile.Encoder(WORD)
+    for again in range(2):
+        ids, offsets = encoder.encode(Texts(pa.array(texts)), 2)
+        for text, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2], (again, text)
+
+
+def test_the_library_gets_parts_once_whatever_stands_beside_them():
+    encoder = tokenfile.Encoder(WORD)
+    encoder.encode(Texts(pa.array(["Naïve word, WORD.", None, "(word) naïve... don't 12"])), 2)
+    assert set(encoder.known) == {w.encode() for w in ("naïve", "word", ",", ".", "...", "(", ")", "don't", "1", "2")}
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_only_known_ways_of_cutting_are_done_here(path):
+    encoder = tokenfile.Encoder(path)
+    words = ["Word,word", "x1", "don't", "naïve."]
+    library = Tokenizer.from_file(path)
+    ids, offsets = encoder.encode(Texts(pa.array(words)), 2)
+    for text, a, b in zip(words, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        assert ids[a:b].tolist() == [*library.encode(text, add_special_tokens=False).ids, 2]
+    assert (b"Word,word" in encoder.known) == (path == BYTE)
+
+
 def test_rows_of_one_key_are_dealt_by_text(spark, tmp_path):
     dice = random.Random(2)
     rows = [(5, f"{dice.randrange(10**6)} tail") for _ in range(4000)] + [(5, None), (5, ""), (4, "b"), (6, "a")]

@@ -15,6 +15,7 @@ ignored; an empty table gives an empty file set.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from array import array
@@ -22,23 +23,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tierwalk.llm.batches import Texts, Words, pieces
+from tierwalk.llm.batches import IS_SPACE, LOWER, Texts, Words, coded, pieces
 
-#: Distinct words whose ids a worker remembers from batch to batch and task to task, and the longest of them in bytes.
+#: Distinct parts whose ids a worker remembers from batch to batch and task to task, and the longest of them in bytes.
 REMEMBERED, LONGEST = 300_000, 64
 
 #: Characters of a text by which rows of one key are dealt to different files.
 DEALT = 64
 
-#: Plain words that go to the library at a time, the mark of a word end in the vocabulary, and the parts it cuts words into.
+#: Parts that go to the library at a time, the mark of a word end in the vocabulary, and how tokenizers that are known here cut words.
 TOGETHER, WORD_END = 256, "</w>"
-_PLAIN = regex.compile(r"(?!.*<\|)[\x21-\x7e\xa1-\xac\xae-\u024f]+$")
-_PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+#: Kinds of bytes: white space; letters (A-Z, a-z and, in two bytes, U+00C0 to U+027F); digits; other ASCII; what only the library can judge.
+GAP, LETTER, DIGIT, OTHER, FOREIGN = range(5)
+_KIND = np.full(256, FOREIGN, np.uint8)
+_KIND[0x21:0x7F] = OTHER
+_KIND[0x30:0x3A] = DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _KIND[0x80:0xC0] = _KIND[0xC3:0xCA] = LETTER
+_KIND[ord("'")] = FOREIGN
+_KIND[IS_SPACE] = GAP
+
+#: Multiplication and division sign, and the letter that becomes two characters in lower case.
+_NO_LETTERS = (0xC3, (0x97, 0xB7)), (0xC4, (0xB0,))
 
 
 @functools.lru_cache(2)
@@ -49,17 +60,51 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _letters(word: str) -> bool:
-    """Plain, and one part, without asking the patterns."""
-    return word.isascii() and word.isalpha()
+def _cuts_words(tokenizer) -> bool:
+    """Whether it lower-cases and cuts words as ``_SPLIT`` does, and nothing else that differs from word to word."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None:
+        return False
+    normal, cut = (json.loads(step.__getstate__()) for step in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    steps = [n["type"] for n in normal.get("normalizers", [])]
+    cuts = cut.get("pretokenizers", [{}])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and (normal["normalizers"][1]["pattern"], normal["normalizers"][1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [c.get("type") for c in cuts] == ["Split", "ByteLevel"]
+        and (cuts[0]["pattern"], cuts[0]["behavior"], cuts[0]["invert"]) == ({"Regex": _SPLIT}, "Removed", True)
+        and not (cuts[1]["add_prefix_space"] or cuts[1]["use_regex"])
+    )
+
+
+def parts(words: Words, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes in which A-Z of all but foreign words are lower case; start and stop of the parts; which bytes are of foreign words).
+
+    A word is foreign if it holds a byte of that kind or a sign of two bytes that is no letter. It is one part. Parts of other words are runs of
+    letters, single digits, and runs of other characters.
+    """
+    data = words.texts.bytes
+    kind = kinds[data]
+    for lead, tails in _NO_LETTERS:
+        after = np.flatnonzero(data[:-1] == lead) + 1
+        kind[after[np.isin(data[after], tails)]] = FOREIGN
+    foreign = np.maximum.reduceat(kind, words.start) == FOREIGN
+    foreign = np.repeat(np.append(False, foreign), np.diff(words.start, prepend=0, append=len(data)))
+    inner = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    inner &= (kind[1:] != GAP) & (kind[:-1] != GAP) & ~foreign[1:]
+    opens, shuts = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+    opens[1:], shuts[1:-1] = inner, inner
+    # A text may end and the next one begin without white space.
+    opens[words.start] = shuts[words.stop] = True
+    return np.where(foreign, data, LOWER[data]), np.flatnonzero(opens), np.flatnonzero(shuts), foreign
 
 
 class Encoder:
-    """Whole texts to ids, calling the library once per distinct word of a batch.
+    """Whole texts to ids, calling the library once per distinct part of the words of a batch.
 
     Right for tokenizers that never join characters across white space and drop it, so that a
-    text's ids are those of its words one after another. If the vocabulary marks word ends,
-    plain words go to the library many at a time, and their ids are told apart by counting the marks.
+    text's ids are those of its words one after another. If it lower-cases and cuts words as ``_SPLIT`` does, words of plain
+    characters are cut here, and their parts go to the library many at a time: each ends with one mark of a word end. All other
+    words, and all words of other tokenizers, go to it one by one as they are.
     """
 
     def __init__(self, path: str):
@@ -67,58 +112,58 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.kinds = _KIND.copy() if _cuts_words(self.tokenizer) else np.where(IS_SPACE, GAP, FOREIGN).astype(np.uint8)
+        # A special string is found before anything is cut, so words in which one may begin are left to the library.
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.kinds[token.content.encode()[0]] = FOREIGN
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
         return [array("i", x.ids).tobytes() for x in made]
 
-    def _encoded_together(self, words: list[str]) -> list[bytes]:
-        """Of words without special strings, below U+0250."""
+    def _encoded_together(self, words: list[bytes]) -> list[bytes]:
+        """Of parts, which hold one mark each."""
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         out = []
-        for group, data in zip(groups, self._encoded([" ".join(g) for g in groups]), strict=True):
-            marks = np.flatnonzero(self.ends[np.frombuffer(data, np.int32)])
-            parts = np.cumsum([1 if _letters(w) else len(_PART.findall(w.lower())) for w in group])
-            if parts[-1] != len(marks):  # not a vocabulary of this kind
+        for group, data in zip(groups, self._encoded([b" ".join(g) for g in groups]), strict=True):
+            stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(data, np.int32)]) + 1)).tolist()
+            if len(stops) != len(group):  # not a vocabulary of this kind
                 out += self._encoded(group)
                 continue
-            stops = (4 * (marks[parts - 1] + 1)).tolist()
             out += [data[a:b] for a, b in zip([0, *stops], stops)]
         return out
 
-    def _ids(self, distinct: list[bytes]) -> list[bytes]:
-        known = self.known
-        out = [known.get(w) for w in distinct]
-        new = [i for i, ids in enumerate(out) if ids is None]
-        words = [distinct[i].decode() for i in new]
-        plain = [_letters(w) or bool(_PLAIN.match(w)) for w in words]
-        alone = iter(self._encoded([w for w, p in zip(words, plain, strict=True) if not p]))
-        together = iter(self._encoded_together([w for w, p in zip(words, plain, strict=True) if p]))
-        for i, p in zip(new, plain, strict=True):
-            out[i] = next(together if p else alone)
-        room = REMEMBERED - len(known)
+    def _ids(self, distinct: list[bytes], alone: np.ndarray) -> list[bytes]:
+        out = list(map(self.known.get, distinct))
+        new = np.array([i for i, ids in enumerate(out) if ids is None], np.int64)
+        for some, encoded in ((new[alone[new]], self._encoded), (new[~alone[new]], self._encoded_together)):
+            some = some.tolist()
+            for i, ids in zip(some, encoded([distinct[i] for i in some]), strict=True):
+                out[i] = ids
+        room = REMEMBERED - len(self.known)
         if room > 0:
-            short = [i for i in new if len(distinct[i]) <= LONGEST]
-            known.update((distinct[i], out[i]) for i in short[:room])
+            short = [i for i in new.tolist() if len(distinct[i]) <= LONGEST]
+            self.known.update((distinct[i], out[i]) for i in short[:room])
         return out
 
     def encode(self, texts: Texts, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by ``end``; offsets of the texts in them)."""
         words = Words(texts)
-        codes, distinct = words.coded()
-        ids = self._ids(distinct.to_pylist())
-        width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(width) - width
-        flat = np.frombuffer(b"".join(ids), np.int32)
-        each = width[codes] if len(codes) else np.zeros(0, np.int64)
-        total = np.append(0, np.cumsum(each))
-        offsets = total[words.first] + np.arange(len(texts) + 1)
-        # Place of each word's first id in the output: ids before it, and an end for each text before it.
-        owner = np.searchsorted(words.first, np.arange(len(codes)), side="right") - 1
-        out = np.full(offsets[-1], end, np.int32)
-        within = np.arange(total[-1]) - np.repeat(total[:-1], each)
-        out[np.repeat(total[:-1] + owner, each) + within] = flat[np.repeat(begin[codes] if len(codes) else each, each) + within]
-        return out, offsets
+        if not len(words):
+            return np.full(len(texts), end, np.int32), np.arange(len(texts) + 1)
+        data, start, stop, foreign = parts(words, self.kinds)
+        codes, distinct = coded(data, start, stop)
+        alone = np.zeros(len(distinct), bool)
+        alone[codes[foreign[start]]] = True
+        ids = self._ids(distinct.to_numpy(zero_copy_only=False).tolist(), alone)
+        # The end id is one more part, behind the last of each text.
+        stops = np.searchsorted(start, texts.offsets[1:])
+        codes = np.insert(codes, stops, len(ids))
+        ids.append(np.int32(end).tobytes())
+        taken = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+        place = np.frombuffer(taken.buffers()[1], np.int64)[: len(codes) + 1]
+        offsets = np.append(0, place[stops + np.arange(1, len(texts) + 1)] // 4)
+        return np.frombuffer(taken.buffers()[2], np.int32)[: offsets[-1]], offsets
 
 
 @functools.lru_cache(1)
