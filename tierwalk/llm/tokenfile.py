@@ -32,6 +32,9 @@ from tierwalk.llm.batches import IS_SPACE, LOWER, Texts, Words, coded, pieces
 #: Distinct parts whose ids a worker remembers from batch to batch and task to task, and the longest of them in bytes.
 REMEMBERED, LONGEST = 300_000, 64
 
+#: Bytes of text that are encoded at a time.
+PIECE_BYTES = 4 << 20
+
 #: Characters of a text by which rows of one key are dealt to different files.
 DEALT = 64
 
@@ -177,7 +180,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, key: str = "doc_
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, first = _encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, PIECE_BYTES):
             ids, offsets = encoder.encode(Texts(batch.column(1)), end)
             n = np.diff(offsets)
             yield pa.record_batch(
