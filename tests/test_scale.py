@@ -4,8 +4,10 @@ import threading
 
 import pytest
 
+from tierwalk import ScoreParams, build_graph, chain_batch, lay_out, star_answers, star_visit
+from tierwalk.operators import chain as chains
+from tierwalk.operators import visit as visits
 from tierwalk.params import SYNTHETIC
-from tierwalk import ScoreParams, build_graph, chain_batch, lay_out
 from tierwalk.plans import workload
 from tierwalk.workspace import setting
 
@@ -61,3 +63,55 @@ def test_a_setting_is_held_by_many(spark):
     with pytest.raises(KeyError), setting(spark, key, "9"), setting(spark, key, "11"):
         raise KeyError
     assert spark.conf.get(key) == before
+
+
+def fork(spark):
+    """From 0 to 1 in two hops, from 20 to 21 only in six, and a crowd behind 0."""
+    far = [20, 30, 31, 32, 33, 34, 21]
+    pairs = [(0, 10), (10, 1), (1, 20), *zip(far, far[1:])] + [(0, 50)] + [(50, n) for n in range(51, 70)]
+    types = {n: 4 for pair in pairs for n in pair} | {0: 0, 1: 1, 20: 1, 21: 3}
+    nodes = spark.createDataFrame(sorted(types.items()), "node_id long, type_id int")
+    return lay_out(build_graph(nodes, spark.createDataFrame([(a, b, 0) for a, b in pairs], "src long, dst long, level int")), buckets=2)
+
+
+@pytest.mark.parametrize("prune", [None, "bound"])
+def test_only_links_that_miss_pairs_start_again(spark, monkeypatch, prune):
+    """The first link ends under the shortest bound, so longer ones walk from the sources of the second only."""
+    graph = fork(spark)
+    rows = [(1, 0, 1, 0, 0, 0.9), (1, 1, 1, 1, 1, 0.9), (1, 2, 1, 21, 3, 0.9)]
+    found = spark.createDataFrame(rows, "query_id long, star_id int, rank int, node_id long, type_id int, score double")
+    batch = chain_batch(spark, {1: [([(0, 0)], 0), ([(1, 1)], 1), ([(21, 3)], 3)]})
+    params, walk, walks = ScoreParams(prune=prune), chains.link_visit, []
+    whole, targets = walk(graph, batch, found, SYNTHETIC, params)
+    pairs = ["query_id", "star_id", "seed_id", "node_id", "dist", "closeness"]
+    want = {tuple(r) for r in visits.seen_by_star(whole, targets).select(*pairs).collect()}
+
+    def watched(*args):
+        visit, targets = walk(*args)
+        walks.append((args[4].max_hops, sorted(r.seed_id for r in visit.uses.select("seed_id").distinct().collect())))
+        return visit, targets
+
+    scans = []
+    ids, monkeyed = visits.only_ids, lambda df, column, ids_: scans.append(column) or ids(df, column, ids_)
+    monkeypatch.setattr(chains, "link_visit", watched)
+    monkeypatch.setattr(visits, "only_ids", monkeyed)
+    got, _ = chains.shortest_links(graph, batch, found, SYNTHETIC, params)
+    there = {(0, 0, 1), (1, 1, 21)}
+    seen = {tuple(r) for r in got.select(*pairs).collect()}
+    assert {r for r in seen if r[1:4] in there} == {r for r in want if r[1:4] in there} and len({r[1:4] for r in seen} & there) == 2
+    assert walks == [(3, [0, 1]), (4, [1]), (None, [1])]
+    # One step back under a bound of 3, another under 4.
+    assert scans.count("dst") == 2
+
+
+def test_pruned_stars_end_with_their_answers(spark):
+    """Once no open node can enter the k best, a pruned walk for answers goes no further, and its answers are those of the whole walk."""
+    pairs = [(0, 2), (1, 2), (0, 3), (1, 3), (3, 4), (4, 5), (5, 6)]
+    nodes = spark.createDataFrame([(n, {0: 4, 1: 4, 2: 0, 6: 0}.get(n, 1)) for n in range(7)], "node_id long, type_id int")
+    graph = lay_out(build_graph(nodes, spark.createDataFrame([(a, b, 0) for a, b in pairs], "src long, dst long, level int")), buckets=2)
+    batch, params = chain_batch(spark, {1: [([(0, 4), (1, 4)], 0)]}), ScoreParams(k=1, prune="bound")
+    whole = star_visit(graph, batch, SYNTHETIC, params)
+    short = star_visit(graph, batch, SYNTHETIC, params, answers_only=True)
+    answers = [list(map(tuple, star_answers(v, 1).collect())) for v in (whole, short)]
+    assert answers[0] == answers[1] and len(answers[0]) == 1
+    assert sum(whole.hops) == 12 and sum(short.hops) < 12

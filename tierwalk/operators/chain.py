@@ -6,13 +6,15 @@ star i+1 is seeded with the answers of star i and aimed at the answers of star i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierwalk.operators.batch import Batch
 from tierwalk.operators.graph import Graph
 from tierwalk.operators.star import STAR, batch_star_query, top_k
-from tierwalk.operators.visit import Visit, seen_by_star, star_visit
+from tierwalk.operators.visit import Near, Visit, seen_by_star, star_visit
 from tierwalk.params import RANK_DIGITS, Domain, ScoreParams
 from tierwalk.workspace import Workspace
 
@@ -27,9 +29,11 @@ def star_scores(answers: DataFrame, node: str, score: str) -> DataFrame:
 
 
 def link_visit(
-    graph: Graph, batch: Batch, answers: DataFrame, domain: Domain, params: ScoreParams
+    graph: Graph, batch: Batch, answers: DataFrame, domain: Domain, params: ScoreParams, taken: Near | None = None
 ) -> tuple[Visit, DataFrame]:
-    """The walk from the answers of each star to those of the next, and its targets."""
+    """The walk from the answers of each star to those of the next, and its targets.
+
+    ``taken`` are the steps back from the targets that an earlier walk took."""
     following = batch.stars.select("query_id", (F.col("star_id") - 1).alias("star_id"), "dst_type")
     links = following.filter(F.col("star_id") >= 0)
     seeds = answers.join(links, STAR, "left_semi").select(
@@ -46,6 +50,7 @@ def link_visit(
         targets=targets.select(*STAR, "node_id"),
         seed_scores=star_scores(answers, "seed_id", "seed_score"),
         answers_only=True,
+        taken=taken,
     )
     return visit, targets
 
@@ -56,20 +61,28 @@ SHORT_LINKS = (3, 4)
 
 def shortest_links(
     graph: Graph, batch: Batch, answers: DataFrame, domain: Domain, params: ScoreParams
-) -> tuple[Visit, DataFrame]:
-    """As ``link_visit``, for its pairs of source and target only.
+) -> tuple[DataFrame, DataFrame]:
+    """The pairs of source and target that ``link_visit`` reaches, as seen by their stars, and the targets.
 
-    A pair is the same under any bound that reaches it, so a short bound is enough if all are reached under it. If not,
-    the walk starts again with a longer one, at last with its own.
+    A pair is the same under any bound that reaches it, so a short bound is enough for a link of which all pairs are reached
+    under it. The others start again with a longer one, at last with their own. No link looks at another, also not under pruning.
     """
-    if params.stop == "fixpoint":
-        for bound in SHORT_LINKS:
-            if params.max_hops is not None and params.max_hops <= bound:
-                break
-            visit, targets = link_visit(graph, batch, answers, domain, params.with_(max_hops=bound))
-            if visit.linked:
-                return visit, targets
-    return link_visit(graph, batch, answers, domain, params)
+    short = SHORT_LINKS if params.stop == "fixpoint" else ()
+    bounds = [b for b in short if params.max_hops is None or b < params.max_hops]
+    found, known = [], ()
+    for bound in (*bounds, params.max_hops):
+        visit, targets = link_visit(graph, batch, answers, domain, params.with_(max_hops=bound), *known)
+        seen, known = seen_by_star(visit, targets), (visit.near,)
+        if visit.linked or bound == params.max_hops:
+            found.append(seen)
+            break
+        if visit.stops is not None:
+            ended = visit.stops.select(*STAR)
+            found.append(seen.join(ended, STAR, "left_semi"))
+            # A link is there because of the star it leads to.
+            led = ended.withColumn("star_id", F.col("star_id") + 1)
+            batch = Batch(batch.seeds, batch.stars.join(led, STAR, "left_anti"))
+    return reduce(DataFrame.unionByName, found), targets
 
 
 def link_candidates(
@@ -80,10 +93,8 @@ def link_candidates(
     ``pair_score`` is star score of the source plus closeness; ``star_id`` is i.
     """
     sources = star_scores(answers, "source_id", "source_score")
-    visit, targets = shortest_links(graph, batch, answers, domain, params)
-    reached = seen_by_star(visit, targets).select(
-        *STAR, F.col("seed_id").alias("source_id"), "node_id", "closeness"
-    )
+    seen, targets = shortest_links(graph, batch, answers, domain, params)
+    reached = seen.select(*STAR, F.col("seed_id").alias("source_id"), "node_id", "closeness")
     pairs = (
         reached.join(targets, [*STAR, "node_id"])
         .join(sources, [*STAR, "source_id"])

@@ -54,7 +54,7 @@ class Pruner:
     def __init__(self, ws: Workspace, uses: DataFrame, keys, params: ScoreParams, targets: DataFrame | None, seed_scores: DataFrame | None):
         self.ws, self.uses, self.keys, self.params = ws, uses, list(keys), params
         self.targets, self.seed_scores = targets, seed_scores
-        self.totals = Totals(ws, keys)
+        self.totals = Totals(ws, keys, sums=("score", "lower_bound", "upper_bound"))
         self.best: DataFrame | None = None
         self.pairs: list[str] = []
 

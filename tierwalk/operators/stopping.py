@@ -129,7 +129,7 @@ class EarlyRule(Rule):
 
     def __init__(self, ws: Workspace, uses: DataFrame, keys, params: ScoreParams):
         super().__init__(ws, uses.select(*STAR).distinct(), uses, keys)
-        self.totals, self.params = Totals(ws, keys, wanted_only=True), params
+        self.totals, self.params = Totals(ws, keys, wanted_only=True, sums=("n_inherits", "score"), name="standings"), params
 
     def after(self, hop: int, new: DataFrame, hits: int | None) -> None:
         running = self.running_uses()

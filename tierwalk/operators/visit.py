@@ -12,13 +12,14 @@ buckets of (walk, node) like the reduce of a hop, so earlier hops are read but n
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierwalk.functions import closeness, edge_weight, inherits, lower_bound, upper_bound
-from tierwalk.operators.batch import Batch
+from tierwalk.operators.batch import Batch, small_table
 from tierwalk.operators.filled import Filled
 from tierwalk.operators.graph import BROADCAST_ROWS, BUCKET_IDS, Graph, few_ids, only_ids, slot
 from tierwalk.operators.pruning import Pruner
@@ -37,6 +38,15 @@ HASH_ROWS = 1_000_000
 HOT_WALKS, HOT_NODES, HOT_EDGES = 10_000, 1_000, 1_000_000
 
 
+@dataclass
+class Near:
+    """Nodes with a target at most 0, 1, ... hops ahead, the last step back that was taken and its rows."""
+
+    found: list[DataFrame] = field(default_factory=list)
+    last: DataFrame | None = None
+    rows: int = 0
+
+
 @dataclass(frozen=True)
 class Visit:
     """Result of a walk.
@@ -49,6 +59,7 @@ class Visit:
     ``stops``  last hop that counts per star, for the stop rules that end stars apart
     ``hops``   new rows per hop
     ``linked`` for links: every source has reached every target
+    ``near``   for links: the steps back from the targets that were taken
     """
 
     uses: DataFrame
@@ -58,6 +69,7 @@ class Visit:
     stops: DataFrame | None
     hops: tuple[int, ...]
     linked: bool = False
+    near: Near | None = None
 
 
 def star_uses(batch: Batch, domain: Domain, params: ScoreParams) -> DataFrame:
@@ -146,7 +158,7 @@ def hot_nodes(steps: DataFrame, graph: Graph) -> tuple[list[int], DataFrame | No
     found = [r["node"] for r in crowds.orderBy(F.desc("walks"), "node").limit(HOT_NODES).collect()]
     if not found:
         return [], None
-    nodes = graph.spark.createDataFrame([(n,) for n in found], "node bigint")
+    nodes = small_table(graph.spark, {"node": pa.int64()}, [(n,) for n in found])
     arcs = meet_edges(nodes, len(found), 1, graph).select("src", "dst", "dst_type", "level")
     degree = {r["src"]: r["count"] for r in arcs.groupBy("src").count().collect()}
     hot, edges = [], 0
@@ -245,25 +257,26 @@ def propagate(
     )
 
 
-def near_targets(ws: Workspace, graph: Graph, targets: DataFrame, hops: int) -> list[DataFrame]:
+def near_targets(ws: Workspace, graph: Graph, targets: DataFrame, hops: int, at: Near) -> list[DataFrame]:
     """Nodes with a target at most 0, 1, ... ``hops`` hops ahead, up to where they are too many to be broadcast.
 
-    Each step back is one pass over the two ids of the edges. Edges that were removed count too: then more nodes are
-    near than have to be.
+    Each step back is one pass over the two ids of the edges, except those that ``at`` has from an earlier walk, which had these
+    targets or more. Edges that were removed count too. Either way more nodes are near than have to be.
     """
     edges = (graph.edges if graph.stored is None else graph.stored).select("src", "dst")
-    near, rows = ws.save(targets.select("node_id").distinct(), "near-0")
-    found = [F.broadcast(near) if rows <= BROADCAST_ROWS else near]
-    while len(found) <= hops and rows <= BROADCAST_ROWS:
-        into = only_ids(edges, "dst", few_ids(near, "node_id", rows, BUCKET_IDS))
-        heads = F.broadcast(near.select(F.col("node_id").alias("dst")))
+    if at.last is None:
+        at.last, at.rows = ws.save(targets.select("node_id").distinct(), "near-0")
+        at.found.append(F.broadcast(at.last) if at.rows <= BROADCAST_ROWS else at.last)
+    while len(at.found) <= hops and at.rows <= BROADCAST_ROWS:
+        into = only_ids(edges, "dst", few_ids(at.last, "node_id", at.rows, BUCKET_IDS))
+        heads = F.broadcast(at.last.select(F.col("node_id").alias("dst")))
         behind = into.join(heads, "dst", "left_semi").select(F.col("src").alias("node_id"))
         # One row too many tells that they are too many.
-        some = behind.union(near).distinct().limit(BROADCAST_ROWS + 1)
-        near, rows = ws.save(some, f"near-{len(found)}")
-        if rows <= BROADCAST_ROWS:
-            found.append(F.broadcast(near))
-    return found
+        some = behind.union(at.last).distinct().limit(BROADCAST_ROWS + 1)
+        at.last, at.rows = ws.save(some, f"near-{len(at.found)}")
+        if at.rows <= BROADCAST_ROWS:
+            at.found.append(F.broadcast(at.last))
+    return at.found[: max(hops, 0) + 1]
 
 
 def star_visit(
@@ -274,6 +287,7 @@ def star_visit(
     targets: DataFrame | None = None,
     seed_scores: DataFrame | None = None,
     answers_only: bool = False,
+    taken: Near | None = None,
 ) -> Visit:
     """Walk from all seeds of a batch.
 
@@ -285,14 +299,15 @@ def star_visit(
                      the wanted type (links of a chain)
     ``seed_scores``  (query_id, star_id, seed_id, seed_score): star scores of link seeds,
                      for the thresholds of a link under bound pruning
+    ``taken``        steps back from these targets, or more, that an earlier walk took
     """
     # Reduces and logs are dealt at least as finely as the edges, so that a task holds as much on a larger graph.
     parts = max(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), graph.buckets or 0)
     with setting(graph.spark, "spark.sql.shuffle.partitions", str(parts)):
-        return _walk(graph, batch, domain, params, targets, seed_scores, answers_only)
+        return _walk(graph, batch, domain, params, targets, seed_scores, answers_only, taken)
 
 
-def _walk(graph, batch, domain, params, targets, seed_scores, answers_only) -> Visit:
+def _walk(graph, batch, domain, params, targets, seed_scores, answers_only, taken) -> Visit:
     keys = PER_STAR if params.prune else SHARED
     ws = Workspace(graph.spark, "visit")
     uses, n_uses = ws.save(star_uses(batch, domain, params), "uses")
@@ -310,7 +325,7 @@ def _walk(graph, batch, domain, params, targets, seed_scores, answers_only) -> V
         rows = log.append(start, 0)[0]
         filled = Filled(ws, graph, keys, rows)
         # Few stars are decided before their second hop: those that end by themselves are judged from there on.
-        judged_from, plain = 1, params.stop == "fixpoint" and not params.prune
+        judged_from = 1
         if params.early_stop:
             check_levels(graph)
             rule = EarlyRule(ws, uses, keys, params)
@@ -320,15 +335,16 @@ def _walk(graph, batch, domain, params, targets, seed_scores, answers_only) -> V
             rule = LinkRule(ws, uses, log.upto(0), keys, targets)
             few = few_ids(targets, "node_id", 0, BUCKET_IDS)
             watched = {"hits": F.col("node_id").isin(*few)} if few else {}
-        elif answers_only and plain and graph.odd_levels == 0 and (params.max_hops is None or params.max_hops > 2):
+        elif answers_only and graph.odd_levels == 0 and (params.max_hops is None or params.max_hops > 2):
+            # Also under pruning: it keeps pairs from being visited, and a pair visited later is under the same cap.
             rule, judged_from = EarlyRule(ws, uses, keys, params), 2
 
         hops, hop, hits = [rows], 0, None
         last = params.max_hops if answers_only else None
-        near: list[DataFrame] = []
+        near, at = [], taken or Near()
         if last and targets is not None:
             # The coverage rule counts the nodes visited before the last hop.
-            near = near_targets(ws, graph, targets, 0 if params.stop == "coverage" else last - 2)
+            near = near_targets(ws, graph, targets, 0 if params.stop == "coverage" else last - 2, at)
         while rows and (params.max_hops is None or hop < params.max_hops):
             frontier = log.upto(hop, hop)
             # Seeds count with the first hop.
@@ -368,7 +384,7 @@ def _walk(graph, batch, domain, params, targets, seed_scores, answers_only) -> V
         for kept in (rule, pruner, log):
             if kept:
                 kept.close()
-    return Visit(uses, log.rows(), keys, params, rule.stops if rule else None, tuple(hops), linked)
+    return Visit(uses, log.rows(), keys, params, rule.stops if rule else None, tuple(hops), linked, at)
 
 
 def seen_by_star(visit: Visit, nodes: DataFrame | None = None) -> DataFrame:
@@ -384,7 +400,7 @@ def seen_by_star(visit: Visit, nodes: DataFrame | None = None) -> DataFrame:
     if visit.stops is not None:
         rows = rows.join(visit.stops, ["query_id", "star_id"], "left").filter(
             F.col("dist") <= F.coalesce("last_hop", F.col("dist"))
-        )
+        ).drop("last_hop")
     return rows
 
 
