@@ -3,13 +3,18 @@
 import threading
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
+from suite import queries
 from tierwalk import ScoreParams, build_graph, chain_batch, lay_out, star_answers, star_visit
 from tierwalk.operators import chain as chains
+from tierwalk.operators import graph as graphs
 from tierwalk.operators import visit as visits
+from tierwalk.operators.totals import Totals
 from tierwalk.params import SYNTHETIC
 from tierwalk.plans import workload
-from tierwalk.workspace import setting
+from tierwalk.sources import parse_adjacency
+from tierwalk.workspace import Log, Workspace, setting
 
 
 def lane(spark, n=40, **layout):
@@ -115,3 +120,22 @@ def test_pruned_stars_end_with_their_answers(spark):
     answers = [list(map(tuple, star_answers(v, 1).collect())) for v in (whole, short)]
     assert answers[0] == answers[1] and len(answers[0]) == 1
     assert sum(whole.hops) == 12 and sum(short.hops) < 12
+
+
+def test_adjacency_is_cut_without_patterns(spark):
+    """No pattern runs over the text, and sections in any order, repeated or glued to other words are cut where they were."""
+    texts = {
+        1: "same: 1 lower: 2 higher: 3 same: 4",
+        2: "higher:   1 2   lower: 3",
+        3: "xsame: 4",
+        4: "higher: 1 2lower: 3",
+        5: "higher: 1 lower:2 same:3",
+        6: "é: ü higher: 5 6 same: 7",
+        7: "higher:   ",
+    }
+    lines = spark.createDataFrame([(f"{n}\t0\t{t}",) for n, t in texts.items()], "value string")
+    edges = parse_adjacency(lines)[1]
+    text = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in text.lower() and "rlike" not in text.lower()
+    got = sorted(tuple(r) for r in edges.select("src", "dst", "level").collect())
+    assert got == [(1, 1, 0), (1, 2, -1), (1, 3, 1), (2, 1, 1), (2, 2, 1), (2, 3, -1), (3, 4, 0), (4, 1, 1), (4, 3, -1), (5, 1, 1), (6, 5, 1), (6, 6, 1), (6, 7, 0)]

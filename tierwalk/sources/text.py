@@ -61,23 +61,38 @@ def parse_node_table_lines(lines: DataFrame, sep: str = "\t") -> DataFrame:
     )
 
 
-def _section(text: Column, keyword: str) -> Column:
-    """Tokens of one adjacency section, up to the token that opens another section."""
-    others = "|".join(k for k in SECTION_LEVELS if k != keyword)
+def _sections(rows: DataFrame, text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows, and by keyword the tokens of that adjacency section, up to the token that opens another section.
+
+    Each step is a column of its own, so that it is worked out once, and nothing is searched for by a pattern."""
+    keys = list(SECTION_LEVELS)
+
+    def each(name: str, value) -> None:
+        nonlocal rows
+        rows = rows.withColumns({f"{name}_{k}": value(k, lambda part, k=k: F.col(f"{part}_{k}")) for k in keys})
+
+    def others(key: str, rest: Column) -> list[Column]:
+        return [F.nullif(F.locate(k, rest), F.lit(0)) for k in keys if k != key]
+
     # The first occurrence counts; the keyword is followed by a colon and a space.
-    rest = F.substring(text, F.locate(keyword, text) + len(keyword) + 2, F.length(text))
+    each("at", lambda key, part: F.locate(key, F.col(text)))
+    each("rest", lambda key, part: F.when(part("at") > 0, F.substr(F.col(text), part("at") + len(key) + 2)))
     # The text is cut before it is split, so that each neighbour is looked at once.
-    found = F.regexp_instr(rest, F.lit(others))
-    before = F.substring(rest, F.lit(1), found - 1)
-    whole = F.length(before) - F.length(F.substring_index(before, " ", -1))
-    own = (
-        F.when(rest == "", F.array(F.lit("")))
-        .when(F.rtrim(rest) == "", F.array().cast("array<string>"))
-        .when(found == 0, F.split(F.rtrim(rest), " "))
-        .when(whole == 0, F.array().cast("array<string>"))
-        .otherwise(F.split(F.substring(before, F.lit(1), whole - 1), " "))
-    )
-    return F.when(F.contains(text, F.lit(keyword)), own)
+    each("found", lambda key, part: F.least(*others(key, part("rest"))))
+    each("before", lambda key, part: F.substr(part("rest"), F.lit(1), part("found") - 1))
+    each("whole", lambda key, part: F.length(part("before")) - F.length(F.substring_index(part("before"), " ", -1)))
+
+    def own(part) -> Column:
+        rest, trimmed = part("rest"), F.rtrim(part("rest"))
+        return (
+            F.when(rest.isNull(), None)
+            .when(rest == "", F.array(F.lit("")))
+            .when(part("found").isNull(), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " ")))
+            .when(part("whole") == 0, F.array().cast("array<string>"))
+            .otherwise(F.split(F.substr(part("before"), F.lit(1), part("whole") - 1), " "))
+        )
+
+    return rows, {k: own(lambda part, k=k: F.col(f"{part}_{k}")) for k in keys}
 
 
 def parse_adjacency(lines: DataFrame, sep: str = "\t", keep_sentinel: bool = False):
@@ -92,14 +107,12 @@ def parse_adjacency(lines: DataFrame, sep: str = "\t", keep_sentinel: bool = Fal
         F.get("f", F.lit(2)).alias("adjacency"),
     )
     nodes = rows.select(F.col("src").alias("node_id"), "type_id")
+    cut, tokens = _sections(rows.select("src", "adjacency"), "adjacency")
     sections = F.array(
-        *(
-            F.struct(F.lit(level).alias("level"), _section(F.col("adjacency"), key).alias("ids"))
-            for key, level in SECTION_LEVELS.items()
-        )
+        *(F.struct(F.lit(level).alias("level"), tokens[key].alias("ids")) for key, level in SECTION_LEVELS.items())
     )
     listed = (
-        rows.select("src", F.explode(sections).alias("s"))
+        cut.select("src", F.explode(sections).alias("s"))
         .select("src", F.col("s.level").alias("level"), F.explode("s.ids").alias("neighbour"))
     )
     if not keep_sentinel:
