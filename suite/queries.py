@@ -72,6 +72,8 @@ from tierwalk.sources.commerce import ID_SPAN
 from tierwalk.workspace import Workspace
 
 HOPS, K = 3, 5
+# Lines of a compressed text file.
+FILE_LINES = 250_000
 PARAMS = ScoreParams(k=K, max_hops=HOPS)
 STAR = ["query_id", "star_id"]
 
@@ -530,8 +532,10 @@ def file_workload(spark, folder):
         "\t".join(";".join([*(f"{i},{t}" for i, t in seeds), str(dst)]) for seeds, dst in chain)
         for chain in (C1, C2, C3)
     ]
-    edges.write.text(f"{root}/edges")
-    nodes.write.text(f"{root}/nodes")
+    # Compressed files cannot be split, so that each has as many lines as a task can take a few of.
+    for lines_of, name in ((edges, "edges"), (nodes, "nodes")):
+        packed = lines_of.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        packed.option("maxRecordsPerFile", FILE_LINES).text(f"{root}/{name}")
     spark.createDataFrame([(v,) for v in lines], "value string").coalesce(1).write.text(f"{root}/queries")
     read = build_graph(read_node_info(spark, f"{root}/nodes"), read_edge_list(spark, f"{root}/edges"))
     batch = Batch(*read_queries(spark, f"{root}/queries"))

@@ -122,6 +122,19 @@ def test_pruned_stars_end_with_their_answers(spark):
     assert sum(whole.hops) == 12 and sum(short.hops) < 12
 
 
+def test_layouts_leave_no_shuffle_files(spark, monkeypatch):
+    """Every table of a layout is written by a statement that drops its shuffle files."""
+    key, seen, save = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], DataFrameWriter.saveAsTable
+
+    def watching(self, *args, **kwargs):
+        seen.append(spark.conf.get(key))
+        return save(self, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", watching)
+    lane(spark, 12, buckets=2)
+    assert seen == ["true", "true"] and spark.conf.get(key) != "true"
+
+
 def test_adjacency_is_cut_without_patterns(spark):
     """No pattern runs over the text, and sections in any order, repeated or glued to other words are cut where they were."""
     texts = {
@@ -139,3 +152,19 @@ def test_adjacency_is_cut_without_patterns(spark):
     assert "regexp" not in text.lower() and "rlike" not in text.lower()
     got = sorted(tuple(r) for r in edges.select("src", "dst", "level").collect())
     assert got == [(1, 1, 0), (1, 2, -1), (1, 3, 1), (2, 1, 1), (2, 2, 1), (2, 3, -1), (3, 4, 0), (4, 1, 1), (4, 3, -1), (5, 1, 1), (6, 5, 1), (6, 6, 1), (6, 7, 0)]
+
+
+def test_text_files_are_packed(spark, monkeypatch):
+    """The files of a workload are compressed, and short enough for a task to take several of them."""
+    written, text = [], DataFrameWriter.text
+
+    def watching(self, path, *args, **kwargs):
+        text(self, path, *args, **kwargs)
+        written.append([f.split("/")[-1] for f in spark.read.text(path).inputFiles()])
+
+    monkeypatch.setattr(DataFrameWriter, "text", watching)
+    monkeypatch.setattr(queries, "FILE_LINES", 10_000)
+    monkeypatch.setattr(queries, "run_workload", lambda *args: spark.range(0).selectExpr("id as query_id", "array(id) as node_ids", "0.5D as score"))
+    queries.file_workload(spark, "/root/testdata/sf0.001")
+    edges, nodes = written[:2]
+    assert len(edges) >= 3 and all(name.endswith(".txt.gz") for name in edges + nodes)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierwalk.params import Domain
-from tierwalk.workspace import WRITERS, Workspace, setting
+from tierwalk.workspace import WRITERS, Workspace, setting, shuffles_removed
 
 # A source with more edges than this is cut into pieces.
 PIECE_ROWS = 1_000_000
@@ -222,7 +222,7 @@ def lay_out(
     if shares:
         writer = writer.option("parquet.block.size", NESTED_BYTES)
     # A task writes one bucket in the order it is in; a declared order would have every task sort its rows again, by bucket.
-    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+    with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
         writer.option("path", f"{root}/edges").format("parquet").saveAsTable(table)
     nodes = graph.nodes
     if graph.declared is not None:
@@ -236,7 +236,7 @@ def lay_out(
     node_table = f"tierwalk_nodes_{uuid.uuid4().hex}"
     dealt = nodes.repartition(buckets, "node_id").sortWithinPartitions("node_id")
     writer = dealt.write.bucketBy(buckets, "node_id")
-    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+    with shuffles_removed(spark), setting(spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
         writer.option("path", f"{root}/nodes").format("parquet").saveAsTable(node_table)
     # The layout is whole; what it was made from would be a second copy of the graph.
     ws.drop("arcs")

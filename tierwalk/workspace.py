@@ -66,7 +66,7 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
                 spark.conf.set(key, before)
 
 
-def _shuffles_removed(spark: SparkSession):
+def shuffles_removed(spark: SparkSession):
     """Statements run inside drop their shuffle files once they have ended: what they wrote is all that is read later."""
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
@@ -86,7 +86,7 @@ class Workspace:
     def write(self, df: DataFrame, name: str) -> int:
         """Write a table and return its row count, both in one job."""
         seen = Observation()
-        with _shuffles_removed(self.spark):
+        with shuffles_removed(self.spark):
             df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}")
         return seen.get["n"]
 
@@ -99,7 +99,7 @@ class Workspace:
         """As ``save``, with the number of rows for which ``counted`` holds, in the same job."""
         seen = Observation()
         watched = df.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(counted).alias("counted"))
-        with _shuffles_removed(self.spark):
+        with shuffles_removed(self.spark):
             watched.write.parquet(f"{self.path}/{name}")
         return self.read(df.schema, name), seen.get["n"], seen.get["counted"]
 
@@ -119,7 +119,7 @@ SMALL = 200_000
 
 
 class Log:
-    """Append-only table of a loop: one append per hop, kept in buckets of ``keys``.
+    """Append-only table of a loop: an append or a few per hop, kept in buckets of ``keys``.
 
     There are as many buckets as a shuffle has partitions, and a reduce on these keys leaves its rows dealt in the
     same way. So what a hop reduced meets everything logged before without moving it, and an append writes each bucket
@@ -136,7 +136,7 @@ class Log:
         self.total = 0
 
     def append(self, df: DataFrame, hop: int, **counted: Column) -> tuple[int, ...]:
-        """Write the rows of a hop; returns their number, and those for which each of ``counted`` holds."""
+        """Write rows of a hop; returns their number, and those for which each of ``counted`` holds."""
         if self.total > SMALL:
             self._deal()
         seen = Observation()
@@ -145,15 +145,16 @@ class Log:
         if self.plain is None:
             self._write(rows.withColumn(self.hop, F.lit(hop)))
         else:
-            with _shuffles_removed(self.spark):
-                rows.write.parquet(f"{self.path}-plain/{self.hop}={hop}")
-            self.plain.append(hop)
+            with shuffles_removed(self.spark):
+                rows.write.mode("append").parquet(f"{self.path}-plain/{self.hop}={hop}")
+            if hop not in self.plain:
+                self.plain.append(hop)
         found = seen.get
         self.total += found["n"]
         return tuple(found[n] for n in ("n", *counted))
 
     def _write(self, rows: DataFrame) -> None:
-        with _shuffles_removed(self.spark), setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
+        with shuffles_removed(self.spark), setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", WRITERS):
             writer = rows.write.format("parquet").mode("append").partitionBy(self.hop)
             writer.bucketBy(self.buckets, *self.keys).option("path", self.path).saveAsTable(self.table)
 
