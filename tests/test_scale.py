@@ -122,6 +122,32 @@ def test_pruned_stars_end_with_their_answers(spark):
     assert sum(whole.hops) == 12 and sum(short.hops) < 12
 
 
+@pytest.mark.parametrize("prune", [None, "bound"])
+def test_a_large_frontier_goes_in_turns(spark, monkeypatch, prune):
+    """Walk by walk in several writes, with the same pairs."""
+    graph = lane(spark, 24, buckets=2)
+    batch = chain_batch(spark, {1: [([(2, 2), (5, 2), (8, 2), (11, 2)], 0)]})
+    params = ScoreParams(k=2, max_hops=3, prune=prune)
+    columns = ("seed_id", "node_id", "dist", "n_paths", "closeness", "parent_id")
+
+    def state():
+        visit = star_visit(graph, batch, SYNTHETIC, params)
+        return sorted(map(tuple, visit.state.select(*columns).collect())), visit.hops
+
+    want, writes, append = state(), [], Log.append
+
+    def watching(self, df, hop, **counted):
+        if self.hop == "dist":
+            writes.append(hop)
+        return append(self, df, hop, **counted)
+
+    monkeypatch.setattr(visits, "TURN_ROWS", 3)
+    monkeypatch.setattr("tierwalk.workspace.SMALL", 10)
+    monkeypatch.setattr(Log, "append", watching)
+    assert state() == want
+    assert writes.count(0) == 1 and writes.count(1) > 1 and writes.count(2) > writes.count(1) and max(map(writes.count, writes)) <= visits.TURNS
+
+
 def test_layouts_leave_no_shuffle_files(spark, monkeypatch):
     """Every table of a layout is written by a statement that drops its shuffle files."""
     key, seen, save = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], DataFrameWriter.saveAsTable
