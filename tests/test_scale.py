@@ -148,6 +148,33 @@ def test_a_large_frontier_goes_in_turns(spark, monkeypatch, prune):
     assert writes.count(0) == 1 and writes.count(1) > 1 and writes.count(2) > writes.count(1) and max(map(writes.count, writes)) <= visits.TURNS
 
 
+def test_totals_are_read_without_sorting(spark):
+    """The last totals of a node are found by hashing, and a rule that asks for none of the scores logs none."""
+    ws = Workspace(spark, "test")
+    uses = spark.createDataFrame([(1, 0, 7, True, 0, 1)], "query_id long, star_id int, seed_id long, inherits boolean, dst_type int, n_seeds int")
+    fresh = spark.createDataFrame([(7, True, n, 0, 0.5, 0.25, 0.25) for n in (1, 2)], "seed_id long, inherits boolean, node_id long, type_id int, closeness double, lower_bound double, upper_bound double")
+    for sums in ((), ("score", "lower_bound")):
+        totals = Totals(ws, ["seed_id", "inherits"], sums=sums, name=f"totals-{len(sums)}")
+        try:
+            for hop, some in ((1, fresh), (2, fresh.where("node_id = 2"))):
+                totals.add(hop, some, uses)
+            last = totals.latest(2)
+            assert {r.node_id: tuple(r)[5:] for r in last.collect()} == {1: (1, 0.5, 0.25)[: 1 + len(sums)], 2: (2, 1.0, 0.5)[: 1 + len(sums)]}
+            assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+        finally:
+            totals.close()
+
+
+def test_types_are_found_without_sorting(spark):
+    """Of rows with one id the least type counts, a null before any, and names stay out of it."""
+    rows = [(1, 3, "b"), (1, 2, "c"), (2, None, "x"), (2, 1, "y"), (3, 1, "z")]
+    nodes = spark.createDataFrame(rows, "node_id long, type_id int, name string")
+    edges = spark.createDataFrame([(3, n, 0) for n in (1, 2, 4)], "src long, dst long, level int")
+    found = build_graph(nodes, edges, default_type=9).edges
+    assert {r.dst: r.dst_type for r in found.collect()} == {1: 2, 2: 9, 4: 9}
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_layouts_leave_no_shuffle_files(spark, monkeypatch):
     """Every table of a layout is written by a statement that drops its shuffle files."""
     key, seen, save = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], DataFrameWriter.saveAsTable
@@ -161,6 +188,14 @@ def test_layouts_leave_no_shuffle_files(spark, monkeypatch):
     assert seen == ["true", "true"] and spark.conf.get(key) != "true"
 
 
+def test_hubs_are_looked_for_in_full_cells_only(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, n) for n in range(30)] + [(n, 1) for n in range(2, 30)], "src long, dst long")
+    assert {r.src for r in graphs.crowded(edges, 20).select("src").distinct().collect()} == {1}
+    assert graphs.crowded(edges, 40).count() == 0
+    monkeypatch.setattr(graphs, "CELLS", 1)
+    assert graphs.crowded(edges, 20).count() == 58
+
+
 def test_adjacency_is_cut_without_patterns(spark):
     """No pattern runs over the text, and sections in any order, repeated or glued to other words are cut where they were."""
     texts = {
